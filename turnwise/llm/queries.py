@@ -6,29 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import langid, near_dedup, packing
+from turnwise.llm import html_text, langid, media, near_dedup, packing, pii, spm
 from turnwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
         "op2_language_id": op2_language_id,
+        "op5_media_columns": op5_media_columns,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_pii": op8_pii,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
