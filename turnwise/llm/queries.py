@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import html_text, langid, media, near_dedup, packing, pii, spm
+from turnwise.llm import fingerprints, html_text, langid, license_scan, media, near_dedup, packing, pii, secret_scan, spm
 from turnwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
         "op2_language_id": op2_language_id,
+        "op3_secret_scans": op3_secret_scans,
+        "op4_license_scans": op4_license_scans,
         "op5_media_columns": op5_media_columns,
+        "op6_document_fingerprints": op6_document_fingerprints,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_pii": op8_pii,
         "op9_best_fit_packing": op9_best_fit_packing,
