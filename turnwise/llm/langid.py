@@ -148,6 +148,34 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
     return [(r[0], r[1]) for r in picked.collect()]
 
 
+def predict_texts(texts: Iterable[str | None], n: int, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, scores, rejected) of ``n`` texts."""
+    lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+    held: list[str] = []
+    at: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        if at:
+            got, cos, bad = model.predict(counts(held))
+            score[at], rejected[at] = cos, bad
+            for i, x in zip(at, got, strict=True):
+                lang[i] = model.langs[x]
+        held.clear()
+        at.clear()
+
+    for i, text in enumerate(texts):
+        if model is not None and text is not None and any(map(str.isalpha, text)):
+            held.append(text)
+            at.append(i)
+            size += len(text)
+            if len(at) >= 64 or size >= CHUNK:
+                flush()
+                size = 0
+    flush()
+    return lang, score, rejected
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Predict every document of ``docs`` (``doc_id``, ``text``): see ``SCHEMA``."""
 
@@ -155,30 +183,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            n = batch.num_rows
-            lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-            texts, at, size = [], [], 0
-
-            def flush():
-                nonlocal size
-                if at:
-                    got, cos, bad = model.predict(counts(texts))
-                    score[at], rejected[at] = cos, bad
-                    for i, x in zip(at, got, strict=True):
-                        lang[i] = model.langs[x]
-                texts.clear()
-                at.clear()
-                size = 0
-
-            for i, text in enumerate(batch.column(2)):
-                text = text.as_py()
-                if model is not None and text is not None and any(map(str.isalpha, text)):
-                    texts.append(text)
-                    at.append(i)
-                    size += len(text)
-                    if len(at) >= 64 or size >= CHUNK:
-                        flush()
-            flush()
+            lang, score, rejected = predict_texts((x.as_py() for x in batch.column(2)), batch.num_rows, model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                 names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
@@ -191,3 +196,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def identify_languages(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """Fit on the labelled, not held out documents of ``docs`` and predict all of them."""
     return identify(docs, fit(training_rows(docs, per_lang)))
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, all columns kept; a null ``lang`` becomes the predicted one."""
+    names, at, to = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lang, _, rejected = predict_texts((x.as_py() for x in batch.column(at)), batch.num_rows, model)
+            columns = list(batch.columns)
+            columns[to] = pa.array([x if x is not None else y for x, y in zip(columns[to].to_pylist(), lang, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~rejected))
+
+    # Columns that Arrow's batches carry; text and lang as strings
+    typed = docs.withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")}).select(*names)
+    return typed.mapInArrow(run, typed.schema)
