@@ -86,19 +86,24 @@ def _upper_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clean_caption(c: Column) -> Column:
     """A caption without boilerplate lead-ins, with a capital first letter. Null and empty pass through."""
-    return F.when(c.isNull() | (c == ""), c).otherwise(py_strip(_upper_first(_drop_leads(py_strip(c), CAPTION_LEADS))))
+    cleaned = _once(_once(py_strip(c), lambda t: _drop_leads(t, CAPTION_LEADS)), _upper_first)
+    return F.when(c.isNull() | (c == ""), c).otherwise(py_strip(cleaned))
 
 
 def clean_generated_text(c: Column) -> Column:
     """As :func:`clean_caption`, for model answers: labels go first, each with one more colon after it."""
     out = py_strip(c)
     for label in MODEL_LABELS:
-        rest = py_strip(out.substr(F.lit(len(label) + 1), F.length(out)))
-        rest = F.when(rest.startswith(":"), py_strip(rest.substr(F.lit(2), F.length(rest)))).otherwise(rest)
-        out = F.when(F.lower(out).startswith(label.lower()), rest).otherwise(out)
-    return F.when(c.isNull() | (c == ""), c).otherwise(py_strip(_upper_first(_drop_leads(out, GENERATED_LEADS))))
+        out = F.regexp_replace(out, f"(?i)^{label}{_SPACE}*(?::{_SPACE}*)?", "")
+    cleaned = _once(_once(out, lambda t: _drop_leads(t, GENERATED_LEADS)), _upper_first)
+    return F.when(c.isNull() | (c == ""), c).otherwise(py_strip(cleaned))
 
 
 def trim_quotes(c: Column) -> Column:

@@ -83,7 +83,7 @@ def rank_stats(sessions: DataFrame, tops: tuple[int, ...] = (1, 5, 10)) -> DataF
 def improvement_breakdown(sessions: DataFrame) -> DataFrame:
     """Sessions of two turns or more whose first and last ranks are positive: improved, worsened, unchanged."""
     s = sessions.where("size(turns) >= 2").select(F.element_at("turns", 1)["best_gt_rank"].alias("a"), F.element_at("turns", -1)["best_gt_rank"].alias("b")).where("a > 0 AND b > 0")
-    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if("b < a").alias("improved"), F.count_if("b > a").alias("worsened"), F.count_if("b = a").alias("unchanged"))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("b < a")).alias("improved"), F.count_if(F.expr("b > a")).alias("worsened"), F.count_if(F.expr("b = a")).alias("unchanged"))
 
 
 def success_breakdown(sessions: DataFrame) -> DataFrame:
