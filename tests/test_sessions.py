@@ -59,11 +59,17 @@ def test_last_row_decides(spark):
     s = simple(spark, ("1", 2, [50, 20, 3]), ("1", 0, [4]))
     kept, _ = curate.curate(s)
     assert kept.count() == 0
-    s = simple(spark, ("1", 0, [4]), ("1", 2, [50, 20, 3]))
+    s = simple(spark, ("1", 0, [4]), ("1", 2, [20, 15, 3]))
     kept, _ = curate.curate(s)
     assert [(r.query_id, r.success_turn) for r in kept.collect()] == [("1", 2)]
 
 
+def test_equal_ids_pool_their_turns(spark):
+    s = simple(spark, ("1", 0, [4]), ("1", 2, [50, 15, 3]))
+    assert curate.curate(s)[0].count() == 0  # 4 and 50 are both ranks of turn 0
+    assert curate.curate(s, options=curate.Options(rank_margin=False))[0].count() == 1
+
+
 def test_toggles_cannot_widen(spark):
     s = simple(spark, ("1", -1, [50, 20]), ("2", 0, [3]))
     off = curate.Options(False, False, False, False, False, False)

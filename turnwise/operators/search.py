@@ -86,7 +86,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int =
         shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
         parts.append(corpus.select("corpus_idx", "vec").mapInArrow(_task_topk(shared, k), schema))
     if not parts:
-        return corpus.sparkSession.createDataFrame([], schema.replace("query_id", "query_id") + ", rank int").select("query_id", "rank", "corpus_idx", "sim")
+        return corpus.sparkSession.createDataFrame([], f"query_id {kind}, rank int, corpus_idx long, sim double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

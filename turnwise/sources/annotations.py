@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnwise.functions import text
 from turnwise.operators.durable import cut
@@ -20,8 +21,8 @@ def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def as_queries(df: DataFrame) -> DataFrame:
     """``df`` with the columns of ``queries``; those that it lacks are null."""
-    empty = df.sparkSession.createDataFrame([], QUERIES).schema
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty])
+    wanted = StructType.fromDDL(QUERIES)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def _hash_or_name(id_: Column, found: Column) -> Column:
