@@ -3,8 +3,8 @@
 Method: character 1- to 3-grams of the text's lower-case letters are hashed into a fixed number of dimensions, weighted
 ``sqrt(tf) * idf`` and scaled to unit length. Each language's training vectors are clustered by spherical k-means into up
 to ``CENTROIDS`` centroids. A text gets the language of the centroid with the greatest cosine. It is *rejected* when
-that cosine lies below the language's limit: the cosine that all but ``TAIL`` of its training texts reach, less a
-margin. Short texts have few n-grams and so lower cosines: below ``FULL`` letters the limit falls with the square root
+that cosine lies below the language's limit: ``SLACK`` times the cosine that all but ``TAIL`` of its training texts
+reach, so that texts of repeated words and the like stay and texts in another language go. Short texts have few n-grams and so lower cosines: below ``FULL`` letters the limit falls with the square root
 of the length.
 
 Training is bounded: about ``PER_LANG`` texts per language are fetched, chosen by a hash of their id, so the sample
@@ -31,8 +31,8 @@ CENTROIDS = 4
 #: The training sample: about so many texts per language.
 PER_LANG = 600
 ROUNDS = 8
-#: How far below the least typical training text a cosine may lie before the text is rejected.
-MARGIN = 0.05
+#: A language's limit as a share of the cosine that nearly all of its training texts reach.
+SLACK = 0.5
 #: The share of training texts that a language's limit leaves below it.
 TAIL = 0.002
 #: Number of letters from which a language's limit holds in full.
@@ -131,7 +131,7 @@ def fit(rows: list[tuple[str, str]], dims: int = DIMS, k: int = CENTROIDS) -> Mo
         c = _cluster(v, k)
         cents.append(c)
         owner += [n] * len(c)
-        limits.append(max(0.0, float(np.quantile(np.max(v @ c.T, axis=1), TAIL)) - MARGIN))
+        limits.append(SLACK * max(0.0, float(np.quantile(np.max(v @ c.T, axis=1), TAIL))))
     model.centroids, model.owner, model.limits = np.concatenate(cents).astype(np.float32), np.array(owner), np.array(limits)
     return model
 

@@ -6,7 +6,7 @@ written back in the same form. Equal values get equal pseudonyms in every docume
 leads back, see :func:`Pseudonyms.undo`.
 
 Kinds: payment cards (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers (valid areas), telephone numbers in
-international or bracketed form, IPv4 addresses, calendar dates of 1900-2099 in year-first, day-first with dots, or
+international or bracketed form (up to three stray marks between their parts are taken along), IPv4 addresses, calendar dates of 1900-2099 in year-first, day-first with dots, or
 month-first with slashes, and the local part of e-mail addresses. Separators, lengths, letter case, check digits
 and country prefixes stay. Numbers that fail validation are left alone.
 
@@ -40,7 +40,7 @@ _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 _FORM = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?=[A-Za-z0-9.-]{3,255}(?![A-Za-z0-9-]))(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])(?:(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5})(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+[0-9]{1,3}[^\w\s(+]{0,3}[\x20.-]?)?\([0-9]{2,4}\)[^\w\s]{0,3}[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5})(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-])",
     "ip": r"(?<![\w.-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w-]|\.[0-9])",
     "date": r"(?<![\w./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![\w/-])",
@@ -133,7 +133,7 @@ class Pseudonyms:
 
     def phone(self, form: str, back: bool = False) -> str | None:
         """The digits after the country prefix are permuted."""
-        m = re.match(r"\+[0-9]{1,3}(?=[\x20.(-])|\+[0-9]", form)
+        m = re.match(r"\+[0-9]{1,3}(?![0-9])|\+[0-9]", form)
         prefix, rest = (m[0], form[m.end() :]) if m else ("", form)
         digits = re.sub(r"\D", "", rest)
         if not 7 <= len(digits) <= 14:
