@@ -22,6 +22,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import small
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Element names by kind.
@@ -271,7 +273,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             sizes = pa.array(list(map(len, texts)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])

@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import stored, text_or_empty
+from turnwise.llm.common import small, stored, text_or_empty
 
 RATE = 16_000
 UNIT = 64
@@ -155,7 +155,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             raw = [x.as_py() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array([to_wav(payload(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"]
@@ -173,7 +173,7 @@ def audio_features(media: DataFrame) -> DataFrame:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, item in zip(batch.column(0), batch.column(1), strict=True):
                 got = from_wav(item.as_py() or b"")
                 if got is None:
@@ -227,7 +227,7 @@ def media_digests(media: DataFrame) -> DataFrame:
 
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
         names = [f.split()[0] for f in DIGEST_SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in small(batches):
             rows = [row(x.as_py() or b"") for x in batch.column(2)]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)

@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import small
+
 DEFAULT_KEY = "turnwise-demo-key"
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
@@ -222,7 +224,7 @@ def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame
         import pyarrow as pa
 
         names = Pseudonyms(key)
-        for batch in batches:
+        for batch in small(batches):
             texts, spans = [], []
             counts: list[list[int]] = [[] for _ in KINDS]
             for item in batch.column(1):

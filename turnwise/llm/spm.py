@@ -29,6 +29,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import small
+
 MARK = "▁"
 N_BEST = 4
 #: Penalty below the worst piece for a character that must be spelled in bytes.
@@ -235,7 +237,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, n: int = N_BEST)
         import pyarrow as pa
 
         lattice = Lattice(path)
-        for batch in batches:
+        for batch in small(batches):
             cols: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for rank, (score, ids) in enumerate(zip(*lattice.nbest(text.as_py() or "", n), strict=True)):
@@ -255,7 +257,7 @@ def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:
         import pyarrow as pa
 
         lattice = Lattice(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [lattice.decode(x or ()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "rank", "text"])
 
@@ -270,7 +272,7 @@ def encode_digests(docs: DataFrame, model: str | None = None, n: int = N_BEST) -
         import pyarrow as pa
 
         lattice = Lattice(path)
-        for batch in batches:
+        for batch in small(batches):
             sizes, crcs, scores, each, back = [], [], [], [], []
             for item in batch.column(1):
                 text = item.as_py() or ""
