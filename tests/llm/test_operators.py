@@ -586,3 +586,15 @@ def test_query_covers_its_table(spark, sf_dir, name):
     key, source = ("page_id", "pages") if name.startswith("op10") else ("doc_id", "documents")
     ids = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).distinct().count()
     assert got.select(key).distinct().count() == ids
+
+
+def test_licenses_same_as_sql(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    sf = sf_dir.replace("0.001", "0.01")
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet' UNION ALL BY NAME SELECT -1 AS doc_id, $${'. '.join(license_scan.SENTENCES.values())}$$ AS text UNION ALL BY NAME SELECT -2 AS doc_id")
+    docs = spark.createDataFrame(c.execute("SELECT doc_id, text FROM documents").fetchall(), "doc_id long, text string")
+    found = license_scan.scan_documents(docs)
+    got = found.select("doc_id", "n_sentences", *[F.array_join(x, ",").alias(x) for x in ("sentence_ids", "matches", "licenses")]).collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(license_scan.duckdb_sql()).fetchall())

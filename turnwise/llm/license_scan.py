@@ -137,3 +137,22 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", sentence_ids.alias("sentence_ids"), F.when(F.size("__ids") > 0, matched).otherwise(F.array().cast("array<string>")).alias("matches")).select(
         "doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids", "matches", F.array_sort(F.array_distinct("matches")).alias("licenses")
     )
+
+
+def duckdb_sql() -> str:
+    """The same scan of ``documents`` as one DuckDB statement, lists comma-joined."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
+    ids, names = list(SENTENCES), list(RULES)
+    most = max(len(re.split(r"(?<=[.!?:])[^\w.!?:]+(?=[^\W\d_])|\n+", v)) for v in SENTENCES.values())
+    cut = r"regexp_replace(t, '([.!?:])[^\p{L}\p{N}.!?:]+(\p{L})', '\1' || chr(1) || '\2', 'g')"
+    normal = r"trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))"
+    found = ", ".join(f"nullif(list_position({listed(map(normalised, SENTENCES.values()))}, array_to_string(s[i + 1:i + {n}], ' ')), 0)" for n in range(most, 0, -1))
+    line = "concat(' ', array_to_string(list_transform(k, lambda x: concat('s', x)), '  '), ' ')"
+    for n, rule in sorted(enumerate(names), key=lambda x: -len(RULES[x[1]])):
+        line = f"replace({line}, {quoted(' ' + '  '.join(f's{ids.index(i) + 1}' for i in RULES[rule]) + ' ')}, ' r{n} ')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quoted(ANCHOR)}) THEN list_transform(string_split_regex({cut}, chr(1) || '|\n+'), lambda x: {normal}) ELSE [] END AS s FROM d),
+b AS (SELECT doc_id, list_filter(list_transform(range(len(s)), lambda i: coalesce({found})), lambda x: x IS NOT NULL) AS k FROM a),
+c AS (SELECT doc_id, k, CASE WHEN len(k) > 0 THEN list_transform(regexp_extract_all({line}, 'r(\d+)', 1), lambda x: ({listed(names)})[CAST(x AS INTEGER) + 1]) ELSE [] END AS m FROM b)
+SELECT doc_id, CAST(len(k) AS BIGINT) AS n_sentences, array_to_string(list_transform(k, lambda x: ({listed(ids)})[x]), ',') AS sentence_ids, array_to_string(m, ',') AS matches, array_to_string(list_sort(list_distinct(m)), ',') AS licenses FROM c"""

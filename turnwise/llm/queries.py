@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnwise.llm import fingerprints, html_text, langid, license_scan, media, near_dedup, packing, pii, secret_scan, spm
 from turnwise.llm.common import table
@@ -25,7 +26,8 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+    found = license_scan.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "matches", "licenses")])
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +70,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the licence scan is plain SQL; the others train models, or need hashes and vocabularies that DuckDB lacks."""
+    return {"op4_license_scans": license_scan.duckdb_sql()}
