@@ -152,7 +152,7 @@ def duckdb_sql() -> str:
     for n, rule in sorted(enumerate(names), key=lambda x: -len(RULES[x[1]])):
         line = f"replace({line}, {quoted(' ' + '  '.join(f's{ids.index(i) + 1}' for i in RULES[rule]) + ' ')}, ' r{n} ')"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-a AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quoted(ANCHOR)}) THEN list_transform(string_split_regex({cut}, chr(1) || '|\n+'), lambda x: {normal}) ELSE [] END AS s FROM d),
+a AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quoted(ANCHOR)}) THEN list_transform(string_split_regex({cut}, chr(1) || '|\\n+'), lambda x: {normal}) ELSE [] END AS s FROM d),
 b AS (SELECT doc_id, list_filter(list_transform(range(len(s)), lambda i: coalesce({found})), lambda x: x IS NOT NULL) AS k FROM a),
-c AS (SELECT doc_id, k, CASE WHEN len(k) > 0 THEN list_transform(regexp_extract_all({line}, 'r(\d+)', 1), lambda x: ({listed(names)})[CAST(x AS INTEGER) + 1]) ELSE [] END AS m FROM b)
+c AS (SELECT doc_id, k, CASE WHEN len(k) > 0 THEN list_transform(regexp_extract_all({line}, 'r(\\d+)', 1), lambda x: ({listed(names)})[CAST(x AS INTEGER) + 1]) ELSE [] END AS m FROM b)
 SELECT doc_id, CAST(len(k) AS BIGINT) AS n_sentences, array_to_string(list_transform(k, lambda x: ({listed(ids)})[x]), ',') AS sentence_ids, array_to_string(m, ',') AS matches, array_to_string(list_sort(list_distinct(m)), ',') AS licenses FROM c"""
