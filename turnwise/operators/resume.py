@@ -43,3 +43,8 @@ def append_missing(have: DataFrame, items: DataFrame, key: str, make) -> DataFra
 def finish_captions(captions: DataFrame, groups: DataFrame, path: str = "image_path") -> DataFrame:
     """Captions of all paths, duplicates included, whether or not anything new was made."""
     return fan_out(captions, groups, path).dropDuplicates([path])
+
+
+def first_n(queries: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` by ``pos``: for trial runs, taken after finished ones are left out."""
+    return queries.orderBy("pos").limit(n)

@@ -140,3 +140,23 @@ def count_by(items: DataFrame, *keys: str) -> DataFrame:
 def index_lists(items: DataFrame, key: str, index: str) -> DataFrame:
     """(key, indices): the sorted indexes of each key, for sidecar files."""
     return items.groupBy(key).agg(F.sort_array(F.collect_list(index)).alias("indices"))
+
+
+def window_rate(sessions: DataFrame, n: int) -> DataFrame:
+    """The success rate of the last ``n`` sessions, by ``pos``."""
+    return success_rate(sessions.orderBy(F.col("pos").desc()).limit(n))
+
+
+def outcome_examples(sessions: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
+    """Up to ``n`` sessions of each outcome, chosen by a seeded hash; the limit is pushed below the exchange."""
+    outcome = F.when(F.coalesce("success", F.lit(False)), F.concat(F.lit("turn_"), F.col("success_turn").cast("string"))).otherwise(F.lit("no_success"))
+    w = Window.partitionBy("outcome").orderBy(F.xxhash64(F.col("query_id"), F.lit(seed)), "pos")
+    return sessions.withColumn("outcome", outcome).withColumn("__n", F.row_number().over(w)).where("__n <= " + str(int(n))).drop("__n")
+
+
+def baseline(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(annotations, captions, processed, coverage_pct): captions count blank ones too."""
+    a = rows.agg(F.count(F.lit(1)).alias("annotations"), F.sum(F.size("captions")).cast("long").alias("captions"))
+    p = sessions.agg(F.countDistinct("query_id").alias("processed"))
+    got = a.withColumn("__k", F.lit(1)).join(p.withColumn("__k", F.lit(1)), "__k").drop("__k")  # one row each
+    return got.select("*", ranks.percent(F.col("processed"), F.col("annotations")).alias("coverage_pct"))

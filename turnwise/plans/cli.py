@@ -54,7 +54,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         said = curate.filters.modification_texts(rows).select("text").distinct()
         kept, log = curate.curate(rows, encoded=models.encode_column(said, "text", models.hashing_encoder), options=options)
         log.show(truncate=False)
-        print(json.dumps(curate.envelope(rows, kept, options) | curate.report(rows, kept)))
+        report = curate.envelope(rows, kept, options) | curate.report(rows, kept)
+        print(json.dumps(report))
+        sessions.write_report(spark, report, f"{a.output}-report")
         if not a.analyze_only:
             sessions.write_sessions(kept, a.output)
     elif a.command == "export":

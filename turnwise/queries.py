@@ -287,6 +287,35 @@ def report_examples(spark, sf_dir):
     return stats.dialogues(stats.sample_sessions(sessions(spark, sf_dir), 3)).select("query_id", "final_rank", F.inline("dialogue"))
 
 
+@query(f"WITH {SESS}, l AS (SELECT success FROM sess ORDER BY conv_id DESC LIMIT 20) SELECT count(*) AS total, count(*) FILTER (success) AS successes, round(100.0::DOUBLE * count(*) FILTER (success) / count(*), 6) AS success_pct FROM l")
+def window_rate(spark, sf_dir):
+    return stats.window_rate(sessions(spark, sf_dir), 20).withColumn("success_pct", F.round("success_pct", 6))
+
+
+@query(f"WITH {SESS} SELECT (SELECT count(*) FROM sess) AS annotations, (SELECT count(*) FROM conversations) AS captions, (SELECT count(*) FROM sess WHERE success) AS processed, round(100.0::DOUBLE * (SELECT count(*) FROM sess WHERE success) / (SELECT count(*) FROM sess), 6) AS coverage_pct")
+def baseline_stats(spark, sf_dir):
+    got = stats.baseline(_annotation_rows(spark, sf_dir), sessions(spark, sf_dir).where("success"))
+    return got.withColumn("coverage_pct", F.round("coverage_pct", 6))
+
+
+@query(f"WITH {SESS} SELECT 'original' AS which, count(*) AS sessions, round(avg(total_turns), 6) AS avg_turns, round(avg(CASE WHEN success THEN CASE WHEN first_rank IS NULL OR last_rank.r IS NULL THEN 0 ELSE first_rank - last_rank.r END END), 6) AS avg_improvement FROM sess UNION ALL SELECT 'filtered', count(*), round(avg(total_turns), 6), round(avg(CASE WHEN first_rank IS NULL OR last_rank.r IS NULL THEN 0 ELSE first_rank - last_rank.r END), 6) FROM sess WHERE success_turn > 0")
+def filter_effect(spark, sf_dir):
+    s = sessions(spark, sf_dir)
+    got = stats.before_and_after(stats.session_summary(s), stats.session_summary(s.where("success_turn > 0")))
+    return got.withColumns({c: F.round(c, 6) for c in ("avg_turns", "avg_improvement")})
+
+
+@query(f"WITH {SESS} SELECT CAST(conv_id AS VARCHAR) AS query_id FROM sess WHERE NOT success ORDER BY conv_id LIMIT 5")
+def trial_run(spark, sf_dir):
+    s = sessions(spark, sf_dir)
+    return resume.first_n(resume.missing(s, s.where("success"), "query_id")).select("query_id")
+
+
+@query()
+def outcome_examples(spark, sf_dir):
+    return stats.outcome_examples(sessions(spark, sf_dir)).select("outcome", "query_id")
+
+
 _DONE = {
     "resume_antijoin_pair": ("cirr", "reference_image_id, target_image_id"),
     "resume_antijoin_triplet": ("fashioniq", "reference_image_id, target_image_id, relative_caption"),

@@ -70,3 +70,8 @@ def feature_width(features: DataFrame) -> int | None:
     """The width that vectors have, measured."""
     got = features.select(F.size("vec")).limit(1).collect()
     return got[0][0] if got else None
+
+
+def from_vector_map(rows: DataFrame) -> DataFrame:
+    """(pos, image_key, vec) from rows whose ``features`` is a map of vectors by key: the older file form."""
+    return rows.select(F.posexplode(F.map_entries("features")).alias("pos", "e")).select("pos", F.col("e.key").alias("image_key"), F.col("e.value").alias("vec"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +88,8 @@ SUBSET_FILES = {
 def subsets(names: list[str] | None = None) -> dict[str, str]:
     """The subsets asked for, or all."""
     return {k: v for k, v in SUBSET_FILES.items() if names is None or k in names}
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A small report as one JSON object."""
+    spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
