@@ -35,7 +35,8 @@ MARK = "▁"
 N_BEST = 4
 #: Penalty below the worst piece for a character that must be spelled in bytes.
 UNKNOWN = 10.0
-CACHE = 400_000
+#: Words of one generation of a worker's cache.
+CACHE = 500_000
 
 DIGEST_SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, nbest_crc32 array<long>, round_trip boolean"
 ENCODED_SCHEMA = "doc_id long, rank int, score double, ids array<int>"
@@ -65,9 +66,10 @@ class Lattice:
         if crossing:
             raise ValueError(f"pieces that cross words, such as {crossing[0]!r}, are not supported")
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
-        self.silent = {i for i in range(len(self.pieces)) if sp.is_control(i)}
+        # What each id decodes to
+        self.raw = [bytes((int(p[3:-1], 16),)) if sp.is_byte(i) else b"" if sp.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
+        self.raw[self.unknown] = b" \xe2\x81\x87 "
         self.longest = max(map(len, self.score))
         self.floor = min(s for s, _ in self.score.values()) - UNKNOWN
         # lengths of the pieces by their first three characters, so that few substrings are looked up
@@ -77,7 +79,9 @@ class Lattice:
                 lengths.setdefault(p[:3], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}
         self.cache = cache
+        # Two generations: when the young one is full it becomes the old one, whose words return as they are met again
         self.best: dict[str, tuple[float, bytes, float]] = {}
+        self.old: dict[str, tuple[float, bytes, float]] = {}
         self.more: dict[tuple[str, int], list[Segmentation]] = {}
 
     def spelled(self, char: str) -> tuple[int, ...]:
@@ -145,35 +149,41 @@ class Lattice:
         """(score, ids, loss of the second best segmentation, infinite if there is none); by Viterbi, remembered."""
         got = self.best.get(word)
         if got is None:
-            into, alpha = self.forward(word)
-            n = len(word)
-            # Backwards: the best way on from each place, the best path, and the best total of any edge beside it
-            beta = [float("-inf")] * n + [0.0]
-            total, second, tied, path = alpha[n], float("-inf"), False, n
-            pieces: list[tuple[int, ...]] = []
-            for place in range(n, 0, -1):
-                b, chosen = beta[place], place != path
-                for start, s, piece in into[place]:
-                    v = s + b
-                    if v > beta[start]:
-                        beta[start] = v
-                    whole = alpha[start] + v
-                    if not chosen and whole == total:
-                        chosen, path = True, start
-                        pieces.append(self.spelled(word[start]) if piece < 0 else (piece,))
-                    elif whole > second:
-                        second = whole
-                        tied = whole == total
-            ids = [i for p in reversed(pieces) for i in p]
-            # Where several segmentations are the best, the A-star search decides by ids
-            if tied:
-                ids = list(self.nbest_word(word, 1)[0][1])
-            got = (total, array("i", ids).tobytes(), total - second)
+            got = self.old.get(word) or self._search(word)
             if len(self.best) >= self.cache:
-                self.best.clear()
+                self.old, self.best = self.best, {}
             self.best[word] = got
         return got
 
+    def _search(self, word: str) -> tuple[float, bytes, float]:
+        into, alpha = self.forward(word)
+        n = len(word)
+        # Backwards: the best way on from each place, the best path, and the best total of any edge beside it
+        beta = [float("-inf")] * n + [0.0]
+        total, second, tied, path = alpha[n], float("-inf"), False, n
+        ids: list[int] = []
+        for place in range(n, 0, -1):
+            b, chosen = beta[place], place != path
+            for start, s, piece in into[place]:
+                v = s + b
+                if v > beta[start]:
+                    beta[start] = v
+                whole = alpha[start] + v
+                if not chosen and whole == total:
+                    chosen, path = True, start
+                    if piece < 0:
+                        ids += reversed(self.spelled(word[start]))
+                    else:
+                        ids.append(piece)
+                elif whole > second:
+                    second = whole
+                    tied = whole == total
+        ids.reverse()
+        # Where several segmentations are the best, the A-star search decides by ids
+        if tied:
+            ids = list(self.nbest_word(word, 1)[0][1])
+        return total, array("i", ids).tobytes(), total - second
+
     def words(self, text: str) -> list[str]:
         return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -184,7 +194,14 @@ class Lattice:
     def nbest(self, text: str, n: int = N_BEST) -> tuple[list[float], list[bytes]]:
         """(scores, ids as 32-bit numbers) of the ``n`` best segmentations of a text, best first."""
         words = self.words(text)
-        found = [self.best_word(w) for w in words]
+        known, search = self.best.get, self.best_word
+        found = []
+        for w in words:
+            got = known(w)
+            if got is None:
+                got = search(w)
+                known = self.best.get
+            found.append(got)
         total = sum([f[0] for f in found])
         parts = [f[1] for f in found]
         # At most n - 1 places differ from the best in any of the n best, and they are among those of least loss.
@@ -217,15 +234,8 @@ class Lattice:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of a sequence of ids."""
-        out: list[bytes] = []
-        pieces, byte_of, silent = self.pieces, self.byte_of, self.silent
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                out.append(bytes((b,)))
-            elif i not in silent:
-                out.append(pieces[i].encode() if i != self.unknown else b" \xe2\x81\x87 ")
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
