@@ -68,7 +68,7 @@ def test_nbest_is_exact(lattice, text):
 
 def test_small_cache_changes_nothing(lattice):
     text = "some words and other words, some more words"
-    assert spm.Lattice(spm.default_model(), cache=4).nbest(text) == lattice.nbest(text)
+    assert spm.Lattice(spm.default_model(), words=4).nbest(text) == lattice.nbest(text)
 
 
 def test_spm_awkward(awkward, nothing):

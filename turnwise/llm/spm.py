@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def default_model() -> str:
 class Lattice:
     """N-best search over the pieces of a SentencePiece model."""
 
-    def __init__(self, model: str, cache: int = CACHE):
+    def __init__(self, model: str, words: int = CACHE):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -78,7 +79,7 @@ class Lattice:
             if len(p) > 2:
                 lengths.setdefault(p[:3], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}
-        self.cache = cache
+        self.limit = words
         # Two generations: when the young one is full it becomes the old one, whose words return as they are met again
         self.best: dict[str, tuple[float, bytes, float]] = {}
         self.old: dict[str, tuple[float, bytes, float]] = {}
@@ -140,7 +141,7 @@ class Lattice:
         key = (word, n)
         got = self.more.get(key)
         if got is None:
-            if len(self.more) >= self.cache // 4:
+            if len(self.more) >= self.limit // 4:
                 self.more.clear()
             got = self.more[key] = self.nbest_word(word, n)
         return got
@@ -150,7 +151,7 @@ class Lattice:
         got = self.best.get(word)
         if got is None:
             got = self.old.get(word) or self._search(word)
-            if len(self.best) >= self.cache:
+            if len(self.best) >= self.limit:
                 self.old, self.best = self.best, {}
             self.best[word] = got
         return got
@@ -239,6 +240,12 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
+@cache
+def shared_lattice(path: str) -> Lattice:
+    """One lattice per Python worker: what its words cost is kept from task to task."""
+    return Lattice(path)
+
+
 def encode_documents(docs: DataFrame, model: str | None = None, n: int = N_BEST) -> DataFrame:
     """A row for each of the up to ``n`` best segmentations of each document: see ``ENCODED_SCHEMA``."""
     path = model or default_model()
@@ -246,7 +253,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, n: int = N_BEST)
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        lattice = Lattice(path)
+        lattice = shared_lattice(path)
         for batch in small(batches):
             cols: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -266,7 +273,7 @@ def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        lattice = Lattice(path)
+        lattice = shared_lattice(path)
         for batch in small(batches):
             texts = [lattice.decode(x or ()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "rank", "text"])
@@ -281,7 +288,7 @@ def encode_digests(docs: DataFrame, model: str | None = None, n: int = N_BEST) -
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        lattice = Lattice(path)
+        lattice = shared_lattice(path)
         for batch in small(batches):
             sizes, crcs, scores, each, back = [], [], [], [], []
             for item in batch.column(1):
