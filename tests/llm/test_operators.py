@@ -401,6 +401,23 @@ def test_no_link_of_shared_shingles_is_lost(spark, sf_dir):
     assert all(got[a] == got[b] for a, b in close)
 
 
+def test_near_pairs_inside_a_passage_of_many(spark):
+    """Texts that share nearly all their keys through a passage which 40 unlike texts hold as well."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(150)]
+    texts = [" ".join(passage + [f"u{i}x{j}" for j in range(90)]) for i in range(40)]
+    for i in range(0, 40, 4):  # each fourth word of the rest is another one: 22 edits of 240
+        rest = [f"v{i}x{j}" if j % 4 == 0 else f"u{i}x{j}" for j in range(90)]
+        texts.append(" ".join(passage + rest))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.cluster_id for r in near_dedup.near_duplicates(docs).collect()}
+    want = brute_classes(texts)
+    assert len(set(want)) == 40
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == len(AWKWARD)
