@@ -401,6 +401,20 @@ def test_no_link_of_shared_shingles_is_lost(spark, sf_dir):
     assert all(got[a] == got[b] for a, b in close)
 
 
+def test_keys_of_texts_with_spread_edits():
+    """Nearly every pair of long texts of an edit similarity of 0.8 or more shares a key."""
+    rng = np.random.default_rng(9)
+    for least, lost in ((0.8, 8), (0.85, 1), (0.9, 0)):
+        missed = 0
+        for _ in range(400):
+            a = rng.integers(0, 1 << 31, 1000).astype(np.uint32)
+            b = a.copy()
+            at = rng.choice(1000, round(1000 * (1 - least)), replace=False)
+            b[at] = rng.integers(0, 1 << 31, len(at))
+            missed += not (near_dedup.keys_of(a) == near_dedup.keys_of(b)).any()
+        assert missed <= lost
+
+
 def test_near_pairs_inside_a_passage_of_many(spark):
     """Texts that share nearly all their keys through a passage which 40 unlike texts hold as well."""
     rng = np.random.default_rng(8)
