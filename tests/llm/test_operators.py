@@ -192,6 +192,35 @@ def test_every_sentence_and_rule_is_recognised(spark):
         assert got[1000 + i].matches == [k]
 
 
+def test_wrapped_licences(spark):
+    """Published texts wrapped at any width, as comments too, and sentences with marks inside."""
+    import textwrap
+
+    rows, want = [], {}
+    for width in (25, 50, 78):
+        for name, rule in license_scan.RULES.items():
+            for mark in ("", "# "):
+                body = "\n\n".join(textwrap.fill(license_scan.SENTENCES[k], width, initial_indent=mark, subsequent_indent=mark, break_long_words=False) for k in rule)
+                want[len(rows)] = [name]
+                rows.append((len(rows), f"{mark}Some title\n\n{body}\n\nint x;"))
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+    you may not use this file except in compliance with the License.
+    You may obtain a copy of the License at
+
+        http://www.apache.org/licenses/LICENSE-2.0
+
+    Unless required by applicable law or agreed to in writing, software
+    distributed under the License is distributed on an "AS IS" BASIS,
+    WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+    See the License for the specific language governing permissions and
+    limitations under the License."""
+    for text, name in ((apache, "Apache-2.0 notice"), ("x.\nReleased!!! under? the... MIT! License.\ny", "MIT")):
+        want[len(rows)] = [name]
+        rows.append((len(rows), text))
+    got = {r.doc_id: r.matches for r in license_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_order_and_noise(spark, awkward, nothing):
     s = license_scan.SENTENCES
     rows = [(1, f"{s['bsd-source']} {s['bsd-permit']} {s['bsd-binary']}"), (2, "Licensed*** under### the&&& Apache%%% License,*** Version$$$ 2.0.### More."), (3, "the MIT License is nice")]

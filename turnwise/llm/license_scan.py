@@ -1,7 +1,7 @@
 """Licence recognition with SQL functions only.
 
-Method: sentence rules. A text falls into sentences; each is normalised (lower case, everything but letters and digits as
-one space) and looked up among known licence sentences. The sequence of identifiers found is then matched against ordered
+Method: sentence rules. A text falls into pieces at stops and line ends; each is normalised (lower case, everything but
+letters and digits as one space), and runs of pieces, however many, are looked up among known licence sentences. The sequence of identifiers found is then matched against ordered
 rules, longest first: a licence is recognised where its sentences follow each other in the rule's order, with no
 other known sentence between.
 
@@ -61,6 +61,8 @@ SENTENCES = {
     "spdx-gpl-3-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
 }
+# Longer forms of known sentences, as their licences' published notices have them.
+ALSO = {'Licensed under the Apache License, Version 2.0 (the "License");': "apache-2-header"}
 # Licences by the ordered identifiers of their sentences.
 RULES = {
     "Apache-2.0 notice": ["apache-2-header", "apache-2-compliance", "apache-2-obtain", "apache-2-as-is", "apache-2-limits"],
@@ -91,7 +93,7 @@ RULES = {
 }
 #: Every known sentence holds one of these; they are cut to parts so that one pattern serves.
 ANCHOR = r"(?i)licen[sc]|copyright|permission|rights|warrant|redistribut|public domain|liable"
-#: Sentences end at a stop, mark or colon before white space, at a semicolon, and at a line's end.
+#: Pieces end at a stop, mark or colon before white space, and at a line's end; a sentence is one or more of them.
 BREAK = r"(?<=[.!?:])[^\p{L}\p{N}.!?:]+(?=\p{L})|\n+"
 
 _OTHER = re.compile(r"[^\w]+|_+")
@@ -111,21 +113,20 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     ``sentence_ids`` are the known sentences in text order, ``matches`` the rules recognised in that order, and
     ``licenses`` the distinct ones, sorted.
     """
-    # A known sentence may itself hold a break: then it is looked up from its first part on.
     ids = list(SENTENCES)
-    parts = {k: [normalised(p) for p in re.split(r"(?<=[.!?:])[^\w.!?:]+(?=[^\W\d_])|\n+", v) if normalised(p)] for k, v in SENTENCES.items()}
-    whole = {normalised(v): k for k, v in SENTENCES.items()}
+    whole = {normalised(v): ids.index(k) for k, v in SENTENCES.items()} | {normalised(v): ids.index(k) for v, k in ALSO.items()}
     assert all(re.search(ANCHOR, v) for v in SENTENCES.values())
-    lookup = F.create_map([F.lit(x) for text, k in whole.items() for x in (text, ids.index(k))])
+    lookup = F.create_map([F.lit(x) for pair in whole.items() for x in pair])
     text = text_or_empty()
-    sentences = F.transform(F.split(text, BREAK), _normalised)
-    # a known sentence of several parts is put together from the next ones
-    most = max(map(len, parts.values()))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(ANCHOR), sentences).otherwise(F.array().cast("array<string>")).alias("__s"))
-    known = F.filter(
-        F.transform("__s", lambda s, i: F.coalesce(*[F.try_element_at(lookup, s if n == 1 else F.array_join(F.slice("__s", i + 1, n), " ")) for n in range(most, 0, -1)])),
-        lambda x: x.isNotNull(),
-    )
+    # Pieces stand between bars. A known sentence begins and ends with a piece and may run over any number of them; the
+    # look-ahead lets one begin inside another, the longest first.
+    line = F.concat(F.lit("|"), F.array_join(F.transform(F.split(text, BREAK), _normalised), "|"), F.lit("|"))
+    longest_first = sorted(whole, key=lambda x: -len(x))
+    pattern = r"\|(?=(" + "|".join(x.replace(" ", "[ |]+") for x in longest_first) + r")\|)"
+    # an anchor of two words may stand on two lines
+    anchor = ANCHOR.replace(" ", r"[^\p{L}\p{N}]+")
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(anchor), F.regexp_extract_all(line, F.lit(pattern), 1)).otherwise(F.array().cast("array<string>")).alias("__s"))
+    known = F.transform("__s", lambda s: F.try_element_at(lookup, F.regexp_replace(s, r"[ |]+", " ")))
     found = split.select("doc_id", known.alias("__ids"))
     # Rules are matched on the sequence written as a string, longest first; each match leaves its number in its place.
     line = F.concat(F.lit(" "), F.array_join(F.transform("__ids", lambda x: F.concat(F.lit("s"), x.cast("string"))), "  "), F.lit(" "))
