@@ -618,6 +618,25 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="advert">Buy<p>Real text.<p>More.</article>', "Real text.\nMore."),
+        ('<article><p>One.</p><ul><li class="share">Tweet<li>Item<li>Last</ul><p>Two.</p></article>', "One.\nItem\nLast\nTwo."),
+        ('<article><ul><li>Item<li class="share"><div><p>Tweet</ul><p>Two.</p></article>', "Item\nTwo."),
+        ('<article><ul><li class="share"><p>Tweet<li>Item</ul></article>', "Item"),
+        ('<article><table><tr><td class="ad">Buy<td>Cell<tr><td>Next</table><p>Two.</p></article>', "Cell\nNext\nTwo."),
+        ('<article><p>One.</p><div class="promo"><p>Buy</article><p>Text after, with commas, and enough length to be kept as prose of the page itself.</p>', "One.\nText after, with commas, and enough length to be kept as prose of the page itself."),
+        ('<article><p>a <button><div>x</div></button>b <span class="ad"><div>Buy</div></span>c</p></article>', "a\nb\nc"),
+        ("<head><meta charset=utf-8><body><p>Text</body>", "Text"),
+        ('<article><b>one <i class="ad">Buy</b> this</i> two</article>', "one\ntwo"),
+    ],
+)
+def test_pruned_elements_without_end_tag(page, text):
+    got = html_text.main_text(page)
+    assert got.split() == text.split()
+
+
 def test_articles_of_pages(spark, sf_dir):
     import html
 

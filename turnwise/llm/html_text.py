@@ -3,7 +3,8 @@
 Method: tree scoring. The page becomes a tree; boilerplate elements are pruned by tag, role and class name. Each paragraph
 gives points for its length and its commas to its ancestors (all to the parent, half to the next, a third of that
 half and so on further up); a candidate's sum is discounted by its link density. The best container is
-kept whole, and so are those of its siblings that score well themselves or read like prose.
+widened to the article (or else main) element that it lies in, and kept whole without its boilerplate. Beside it stays, where no
+article or main marks the bounds or a main does, all that isn't mostly links; beside a marked article, what scores well or reads like prose.
 
 The text keeps page order: one line per block, character references decoded, white space inside a block turned into
 one space. One Arrow pass, no shuffle; memory is bounded by the largest page of a batch.
@@ -36,6 +37,11 @@ BLOCK = frozenset(
 PRUNED = frozenset("nav header footer aside form menu button select option dialog head label input fieldset".split())
 PARAGRAPH = frozenset("p pre td blockquote dd li".split())
 CLOSES_P = BLOCK - {"body", "html"}
+# Elements that stand in head; what new items of lists and tables end, and where the search for these stops.
+IN_HEAD = frozenset("base link meta title style script noscript template head".split())
+LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+TABLE = frozenset(["table"])
+ITEM = BLOCK - {"div", "p", "address", "li", "dt", "dd"}
 # Words of class and id names, and roles, that mark boilerplate or content.
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 NOISE = frozenset(
@@ -55,10 +61,11 @@ _COMMAS = re.compile("[,，、،]")
 class Node:
     """An element: its children are nodes and strings, in page order."""
 
-    __slots__ = ("children", "links", "length", "parent", "score", "tag", "weight")
+    __slots__ = ("children", "links", "length", "noise", "parent", "score", "tag", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, weight: float = 0.0):
+    def __init__(self, tag: str, parent: Node | None, weight: float = 0.0, noise: bool = False):
         self.tag, self.parent, self.weight = tag, parent, weight
+        self.noise = noise  # boilerplate, or inside such: no child of its parent, only open
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.links = 0
@@ -87,8 +94,7 @@ def _judge(tag: str, attributes: str) -> tuple[bool, float]:
 def parse(page: str) -> Node:
     """The page's tree without boilerplate, raw-text elements and comments."""
     root = Node("html", None)
-    at, pos, dropped = root, 0, 0  # dropped: depth inside a pruned element
-    stack: list[str] = []  # open elements inside the pruned one
+    at, pos = root, 0
     tokens = _TOKEN.scanner(page)
     raw_until = ""
     while m := tokens.search():
@@ -97,7 +103,7 @@ def parse(page: str) -> Node:
                 continue
             raw_until, pos = "", m.end()
             continue
-        if m.start() > pos and not dropped:
+        if m.start() > pos and not at.noise:
             at.children.append(page[pos : m.start()])
         pos = m.end()
         if not m[2]:
@@ -110,57 +116,61 @@ def parse(page: str) -> Node:
                     pos = end.end() if end else len(page)
                     tokens = _TOKEN.scanner(page, pos)
                 continue
+            if at.tag == "head" and tag not in IN_HEAD and at.parent is not None:
+                at = at.parent
             if tag in VOID:
-                if not dropped:
+                if not at.noise:
                     at.children.append("\n" if tag != "hr" else Node("hr", at))
                 continue
-            if dropped:
-                stack.append(tag)
-                dropped += 1
-                continue
             if tag in CLOSES_P:
                 at = _close_paragraph(at, tag)
             if tag in ("html", "body"):
                 continue
+            if at.noise:
+                at = Node(tag, at, noise=True)
+                continue
             noise, weight = _judge(tag, m[3])
             if noise:
                 at.children.append(Node("hr", at))  # what was there separates blocks
-                dropped, stack = 1, [tag]
+                at = Node(tag, at, noise=True)
                 continue
             node = Node(tag, at, weight)
             at.children.append(node)
             at = node
-        elif dropped:
-            if tag in stack:
-                while stack and stack.pop() != tag:
-                    pass
-                dropped = len(stack)
         else:
             at = _close(at, tag)
-    if pos < len(page) and not dropped and not raw_until:
+    if pos < len(page) and not at.noise and not raw_until:
         at.children.append(page[pos:])
     return root
 
 
 def _close_paragraph(at: Node, tag: str) -> Node:
     """Close what a new block element ends: an open paragraph, and a like item of the same list or table."""
+    like = LIKE.get(tag, ())
     n = at
     while n.parent is not None and n.tag not in BLOCK:
+        if n.noise and (n.tag in PRUNED or not like):
+            return at  # a pruned button or span holds blocks
         n = n.parent
-    if n.tag == "p":
-        return n.parent or n
-    like = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
+    if n.tag == "p" and n.parent is not None:
+        at = n = n.parent
+    if like:
+        stops = TABLE if tag in ("tr", "td", "th") else ITEM
+        while n.parent is not None and n.tag not in like and n.tag not in stops and n.tag not in PRUNED:
+            n = n.parent
     while n.tag in like and n.parent is not None:
         at = n = n.parent
     return at
 
 
 def _close(at: Node, tag: str) -> Node:
-    n, inline = at, tag not in BLOCK
+    n, inline = at, tag not in BLOCK and tag not in PRUNED
     while n.parent is not None:
+        if inline and at.noise and not n.noise:
+            return at  # nor does it close what stands around a pruned element
         if n.tag == tag:
             return n.parent
-        if inline and n.tag in BLOCK:
+        if inline and n.tag in BLOCK and not n.noise:
             return at  # an inline end tag doesn't close a block
         n = n.parent
     return at
