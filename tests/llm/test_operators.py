@@ -637,6 +637,23 @@ def test_pruned_elements_without_end_tag(page, text):
     assert got.split() == text.split()
 
 
+def test_nothing_of_the_article_is_dropped():
+    """A long section doesn't outdo the others; lists, tables, small headings and bare text stay; lists of links go."""
+    long = "".join(f"<p>{'word, ' * 3}{'text ' * 65}{i}</p>" for i in range(20))
+    rest = "<section><h2>Two</h2><p>Short.</p></section><h4>Four</h4><ul><li>Item</ul><table><tr><td>Cell</table><blockquote>Quote</blockquote>bare"
+    want = ["Two", "Short.", "Four", "Item", "Cell", "Quote", "bare"]
+    links = "<ul><li><a href=a>Other</a><li><a href=b>Another</a></ul>"
+    for page in (
+        f"<article><section>{long}</section>{rest}</article><p>{links}",
+        f"<article><div><section>{long}</section></div><div>{rest}</div></article>{links}",
+        f"<main><div><section>{long}</section></div>{rest}</main>{links}",
+        f"<body><div><section>{long}</section>{rest}{links}</div></body>",
+        f"<main><article>{long}</article>{rest}{links}</main>",
+    ):
+        lines = html_text.main_text(page).split("\n")
+        assert len(lines) == 27 and lines[20:] == want
+
+
 def test_articles_of_pages(spark, sf_dir):
     import html
 

@@ -50,6 +50,8 @@ NOISE = frozenset(
     "share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr popup modal overlay notice notices alert "
     "widget pagination pager tags toolbar skip hidden".split()
 )
+#: A block with this share of its text in links isn't content.
+LINKED = 0.5
 CONTENT = frozenset("article body content entry main post story text page column".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -216,7 +218,7 @@ def _measure(node: Node, candidates: list[Node]) -> None:
         candidates.append(n)
 
 
-def main_nodes(root: Node) -> list[Node]:
+def main_nodes(root: Node) -> list[Node | str]:
     """The best container, with the siblings worth keeping, in page order."""
     candidates: list[Node] = []
     _measure(root, candidates)
@@ -228,23 +230,38 @@ def main_nodes(root: Node) -> list[Node]:
                 best, top = n, final
     if best is None:
         return [root]
+    # the outermost article, or else the outermost main, that the best container lies in
+    marked: dict[str, Node] = {}
+    n: Node | None = best
+    while n is not None:
+        if n.tag in ("article", "main"):
+            marked[n.tag] = n
+        n = n.parent
+    best = marked.get("article") or marked.get("main") or best
+    in_main = best.tag == "article" and "main" in marked
     if best.parent is None:
         return [best]
-    kept = []
+    bounded = bool(marked) and not in_main  # what stands beside it isn't of the article, unless it reads so
+    kept: list[Node | str] = []
     for c in best.parent.children:
         if c is best:
             kept.append(c)
-        elif isinstance(c, Node) and c.length:
+        elif isinstance(c, str):
+            if not bounded:
+                kept.append(c)
+        elif c.length:
             density = c.links / c.length
             scored = c.tag in BLOCK and c.score * (1 - density) >= max(10.0, 0.2 * top)
             prose = c.tag == "p" and c.length > 80 and density < 0.25
             heading = c.tag in ("h1", "h2") and density < 0.25
-            if scored or prose or heading:
+            if density < LINKED if not bounded else scored or prose or heading:
                 kept.append(c)
+        elif c.tag in BLOCK:
+            kept.append(c)  # empty: it only separates blocks
     return kept
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """The text of each block below ``nodes``, in page order."""
     out: list[str] = []
     line: list[str] = []
