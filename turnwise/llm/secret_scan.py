@@ -1,7 +1,8 @@
 """Secret scanning with SQL functions only.
 
 Method: character Markov models. Two first-order models, one of random strings and one of ordinary identifiers, are trained
-from labelled samples; a run of key-like characters is reported when the log-likelihood ratio of the two models says random.
+from labelled samples; a run of key-like characters is reported when the log-likelihood ratio of the two models says random,
+or else those of its parts for which it does: pieces between separators, and stretches of the greatest running sum.
 Beside it stand three fixed forms (an assignment to a secret-like name, an access key id, a long hexadecimal run), whose
 findings are always kept.
 
@@ -13,7 +14,8 @@ Plan: one scan without a shuffle and without Python. Two regular expressions dec
 all; only then are places worked out, as running sums of the lengths of matches and of the gaps between them.
 
 Defined results: null text counts as empty; positions are code points, ends exclusive; findings are sorted by start and
-then by kind in the order of ``KINDS``; a Markov finding that overlaps a fixed-form one is left out; repeated rows are
+then by kind in the order of ``KINDS``; of a Markov finding that overlaps a fixed-form one, what lies outside it and
+looks random is left; repeated rows are
 scanned alike; an empty table gives no rows; further columns are ignored by :func:`scan_documents` and kept by
 :func:`redact`.
 """
@@ -42,6 +44,8 @@ SAMPLE_DOCS = 300
 RANDOM_STRINGS = 3000
 #: A run is reported when its log-likelihood ratio is at least so many nats in all, and so many per pair.
 MIN_TOTAL, MIN_MEAN = 12.0, 0.6
+#: Characters between which the pieces of a run stand; the least length of a run and of a part of it.
+SEPARATORS, MIN_RUN = "/=_+-", 20
 MASK = "[SECRET]"
 # Ordinary words of identifiers, joined in pairs for training.
 WORDS = (
@@ -64,6 +68,44 @@ WORDS = (
 _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
+#: Of each run: its place, its text and the ratio of every pair of neighbours.
+_RATED = f"""transform(transform(__runs, x -> named_struct('x', x, 'codes', transform(split(x.v, ''), c -> instr('{ALPHABET}', c)))), y -> named_struct(
+    's', y.x.s, 'v', y.x.v, 'r', transform(sequence(2, size(y.codes)), i -> element_at(__ratios, (y.codes[i - 2] - 1) * {len(ALPHABET)} + y.codes[i - 1]))))"""
+
+
+def _random(pairs: str) -> str:
+    """SQL: whether an array of ratios reaches the thresholds."""
+    return f"aggregate({pairs}, 0D, (a, p) -> a + p) >= greatest({MIN_TOTAL}D, {MIN_MEAN}D * size({pairs}))"
+
+
+_NONE = "cast(array() AS array<struct<f:int,t:int>>)"
+#: Pieces between separators, as places in the run, ends exclusive.
+_PIECES = f"""filter(aggregate(split(y.v, '[{SEPARATORS}]', -1), named_struct('at', 0, 'out', {_NONE}),
+    (a, w) -> named_struct('at', a.at + length(w) + 1, 'out', concat(a.out, array(named_struct('f', a.at, 't', a.at + length(w))))), a -> a.out),
+    w -> w.t - w.f >= {MIN_RUN} AND {_random("slice(y.r, w.f + 1, w.t - w.f - 1)")})"""
+#: Parts that a running sum finds, which starts anew when it falls to nothing or far below its best; widened to separators.
+_NEXT = f"a.sum + x.p - {MIN_MEAN / 2}D"
+_FOUND = f"if(a.to > a.at AND {_random('slice(y.r, a.at + 1, a.to - a.at + 1)')}, concat(a.out, array(named_struct('f', a.at, 't', a.to + 2))), a.out)"
+_SEGMENTS = f"""filter(transform(aggregate(transform(y.r, (p, i) -> named_struct('p', p, 'i', i)), named_struct('sum', 0D, 'at', 0, 'best', 0D, 'to', -1, 'out', {_NONE}),
+    (a, x) -> CASE WHEN {_NEXT} <= 0 OR {_NEXT} < a.best - {MIN_TOTAL}D THEN named_struct('sum', 0D, 'at', x.i + 1, 'best', 0D, 'to', -1, 'out', {_FOUND})
+        ELSE named_struct('sum', {_NEXT}, 'at', a.at, 'best', greatest(a.best, {_NEXT}), 'to', if({_NEXT} > a.best, x.i, a.to), 'out', a.out) END, a -> {_FOUND}),
+    w -> named_struct('f', w.f - length(regexp_extract(substring(y.v, 1, w.f), '[^{SEPARATORS}]*$', 0)), 't', w.t + length(regexp_extract(substring(y.v, w.t + 1), '^[^{SEPARATORS}]*', 0)))),
+    w -> w.t - w.f >= {MIN_RUN})"""
+#: The random parts of each run: all of it, or else pieces and segments, those that meet as one.
+_PARTS = f"""transform(__rated, y -> named_struct('s', y.s, 'v', y.v, 'r', y.r, 'parts', if({_random("y.r")}, array(named_struct('f', 0, 't', length(y.v))),
+    aggregate(array_sort(concat({_PIECES}, {_SEGMENTS})), {_NONE}, (a, w) -> if(size(a) > 0 AND element_at(a, -1).t >= w.f,
+        concat(slice(a, 1, size(a) - 1), array(named_struct('f', element_at(a, -1).f, 't', greatest(element_at(a, -1).t, w.t)))), concat(a, array(w)))))))"""
+#: What lies outside the base findings; of parts that these cut, what looks random itself, with its neighbours.
+_LEFT = "concat(a.out, array(named_struct('f', a.at, 't', {})))"
+_OUTSIDE = f"""flatten(transform(__parts, y -> transform(filter(flatten(transform(y.parts, w ->
+    aggregate(filter(base, b -> b.s < y.s + w.t AND b.e > y.s + w.f), named_struct('at', w.f, 'out', {_NONE}),
+        (a, b) -> named_struct('at', greatest(a.at, b.e - y.s), 'out', if(b.s - y.s > a.at, {_LEFT.format("b.s - y.s")}, a.out)),
+        a -> if(a.at < w.t, {_LEFT.format("w.t")}, a.out)))),
+    w -> exists(y.parts, x -> x.f = w.f AND x.t = w.t) OR aggregate(slice(y.r, greatest(w.f, 1), w.t - greatest(w.f, 1) + 1), named_struct('sum', 0D, 'n', 0),
+        (a, p) -> named_struct('sum', a.sum + p, 'n', a.n + 1), a -> a.sum >= {MIN_MEAN}D * a.n)),
+    w -> named_struct('s', y.s + w.f, 'k', 3, 'e', y.s + w.t, 'v', substring(y.v, w.f + 1, w.t - w.f)))))"""
+
+
 def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(random boolean, text): labelled strings to train on."""
     spark = docs.sparkSession
@@ -122,16 +164,11 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     assign = F.filter(_spans(ASSIGN, 0, 2), lambda x: F.length(x["v"]) >= MIN_VALUE)
     base = F.array_sort(F.concat(F.when(F.col("__assign"), assign).otherwise(none), F.when(F.col("__run"), F.concat(_spans(ACCESS, 1), _spans(HEX, 2))).otherwise(none)))
     with_base = base_cols.withColumn("base", base)
-    n = len(ALPHABET)
     runs = with_base.withColumn("__runs", F.when(F.col("__run"), _spans(RUN, 3)).otherwise(none))
-    score = F.expr(
-        f"""filter(transform(__runs, x -> named_struct('x', x, 'codes', transform(split(x.v, ''), c -> instr('{ALPHABET}', c)))), y ->
-            NOT exists(base, b -> b.s < y.x.e AND b.e > y.x.s)
-            AND aggregate(sequence(2, size(y.codes)), 0D, (a, i) -> a + element_at(__ratios, (y.codes[i - 2] - 1) * {n} + y.codes[i - 1]))
-                >= greatest({MIN_TOTAL}D, {MIN_MEAN}D * (size(y.codes) - 1)))"""
-    )
-    scored = runs.withColumn("__ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>")).withColumn("added", F.transform(score, lambda y: y["x"]))
-    return scored.drop("__run", "__assign", "__runs", "__ratios")
+    rated = runs.withColumn("__ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>")).withColumn("__rated", F.expr(_RATED))
+    parts = rated.withColumn("__parts", F.expr(_PARTS))
+    added = parts.withColumn("added", F.expr(_OUTSIDE))
+    return added.drop("__run", "__assign", "__runs", "__ratios", "__rated", "__parts")
 
 
 def _listed(spans: Column) -> Column:
