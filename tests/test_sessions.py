@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from turnwise import queries
 from turnwise.functions import ranks
 from turnwise.operators import export, filters, stats
 from turnwise.plans import curate
@@ -150,3 +152,15 @@ def test_files(spark, tmp_path):
     assert (t.reference_image_id, t.target_image_id, t.turns[0].search_results[0].id) == ("000000000001.jpg", "h2", "000000000001.jpg")
     files.write_sessions(s, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+@pytest.mark.parametrize("longest", [3, 11])
+def test_hits_up_to_the_longest_conversation(spark, tmp_path, longest):
+    """The number of turns is the longest conversation's, not a constant."""
+    rows = [(c, t, f"text {t}") for c in range(40) for t in range(longest - c % 2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    hits = sorted(queries.hits_at_t(spark, str(tmp_path)).collect())
+    assert [r.turn for r in hits] == list(range(longest))
+    first = [r.success_turn for r in queries.sessions(spark, str(tmp_path)).where("success").collect()]
+    assert hits[-1].cum_hits == len(first) and [r.new_hits for r in hits] == [first.count(t) for t in range(longest)]
+    assert queries.auc_hits(spark, str(tmp_path)).collect()[0].auc == pytest.approx(sum(r.hit_rate for r in hits) / longest, abs=1e-5)

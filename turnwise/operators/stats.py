@@ -50,19 +50,26 @@ def reach_per_turn(sessions: DataFrame) -> DataFrame:
     return flat.groupBy("turn").agg(F.count(F.lit(1)).alias("reached"), F.count_if(F.col("t.best_gt_rank") > 0).alias("evaluated"))
 
 
-def hits_at_turn(sessions: DataFrame, max_turns: int) -> DataFrame:
-    """(turn, new_hits, cum_hits, hit_rate) for the turns below ``max_turns``; sessions that never succeed count in the whole."""
+def hits_at_turn(sessions: DataFrame, max_turns: int | None = None) -> DataFrame:
+    """(turn, new_hits, cum_hits, hit_rate) for the turns below ``max_turns``; sessions that never succeed count in the whole.
+
+    By default the turns are as many as the longest session has.
+    """
     total = sessions.agg(F.count(F.lit(1)).alias("total"))
     new = sessions.where("success").groupBy(F.col("success_turn").alias("turn")).agg(F.count(F.lit(1)).alias("new_hits"))
-    grid = sessions.sparkSession.range(max_turns).select(F.col("id").cast("int").alias("turn"))
+    if max_turns is None:
+        longest = sessions.agg(F.max(F.size("turns")).alias("n")).where("n > 0")
+        grid = longest.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("turn"))
+    else:
+        grid = sessions.sparkSession.range(max_turns).select(F.col("id").cast("int").alias("turn"))
     w = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_turns rows
     got = grid.join(new, "turn", "left").select("turn", F.coalesce("new_hits", F.lit(0).cast("long")).alias("new_hits"))
     got = got.withColumn("cum_hits", F.sum("new_hits").over(w)).crossJoin(total)
     return got.select("turn", "new_hits", "cum_hits", F.coalesce(F.try_divide("cum_hits", "total"), F.lit(0.0)).alias("hit_rate"))
 
 
-def auc_of_hits(sessions: DataFrame, max_turns: int) -> DataFrame:
-    return hits_at_turn(sessions, max_turns).agg(F.avg("hit_rate").alias("auc"))
+def auc_of_hits(sessions: DataFrame, max_turns: int | None = None) -> DataFrame:
+    return hits_at_turn(sessions, max_turns).agg(F.coalesce(F.avg("hit_rate"), F.lit(0.0)).alias("auc"))
 
 
 def recall_per_turn(sessions: DataFrame) -> DataFrame:

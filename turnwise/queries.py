@@ -147,12 +147,12 @@ c AS (SELECT turn, new_hits, CAST(sum(new_hits) OVER (ORDER BY turn) AS BIGINT)
 
 @query(_HITS + " SELECT turn, new_hits, cum_hits, round(cum_hits / total::DOUBLE, 6) AS hit_rate FROM c")
 def hits_at_t(spark, sf_dir):
-    return stats.hits_at_turn(sessions(spark, sf_dir), 8).withColumn("hit_rate", F.round("hit_rate", 6))
+    return stats.hits_at_turn(sessions(spark, sf_dir)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 @query(_HITS + " SELECT round(avg(cum_hits / total::DOUBLE), 6) AS auc FROM c")
 def auc_hits(spark, sf_dir):
-    return stats.auc_of_hits(sessions(spark, sf_dir), 8).select(F.round("auc", 6).alias("auc"))
+    return stats.auc_of_hits(sessions(spark, sf_dir)).select(F.round("auc", 6).alias("auc"))
 
 
 @query(f"WITH {SESS}, n AS (SELECT success_turn AS turn, count(*) AS hits FROM sess WHERE success GROUP BY 1), r AS (SELECT i AS turn, count(*) FILTER (rnk > 0) AS evaluated FROM flat GROUP BY 1) SELECT CAST(r.turn AS INTEGER) AS turn, coalesce(hits, 0) AS hits, evaluated, round(coalesce(hits, 0) / evaluated::DOUBLE, 6) AS recall FROM r LEFT JOIN n ON r.turn = n.turn WHERE evaluated > 0")
