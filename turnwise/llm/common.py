@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local runs) a local default is set.
+    Only a local master, where driver and executors are one process, may do without: it gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/checkpoints")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -43,10 +46,46 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Like :func:`cut`, but as a compressed Parquet table: for wide intermediate results."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return _written(df, _new_path(df.sparkSession, what))
+
+
+def _new_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, deleted when the block ends; what :meth:`kept` writes stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths.append(_new_path(self.spark, what))
+        return _written(df, self.paths[-1])
+
+    def kept(self, df: DataFrame, what: str) -> DataFrame:
+        """A result that outlives the block: it must not be read from what the block deletes."""
+        return stored(df, what)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table by the file system that holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(batches: Iterable, rows: int = 256) -> Iterator:
