@@ -66,6 +66,34 @@ def test_nbest_is_exact(lattice, text):
         assert lattice.decode(memoryview(i).cast("i")) == text
 
 
+def test_fractional_scores_give_whole_segmentations(lattice):
+    """The best ids, searched with scores that no sum represents exactly, spell the text and reach the brute-force score."""
+    own = spm.Lattice(spm.default_model())
+    rng = np.random.default_rng(2)
+    for piece, (_, i) in own.score.items():
+        own.score[piece] = (-float(rng.random() * 12), i)
+
+    def put(tree, before):
+        for c, (below, s, i) in list(tree.items()):
+            put(below, before + c)
+            tree[c] = (below, s if s is None else own.score[before + c][0], i)
+
+    put(own.tree, "")
+    of = {i: s for s, i in own.score.values()}
+    for text in ("hello world", "antihaon, keiter", "the cat sat", "a.b c-d", "zz99 x"):
+        scores, ids = own.nbest(text, 4)
+        assert scores == pytest.approx(brute_nbest(own, text, 4))
+        for score, i in zip(scores, ids, strict=True):
+            mine = memoryview(i).cast("i").tolist()
+            assert own.decode(mine) == text
+            assert sum(of.get(x, own.floor) for x in mine) == pytest.approx(score)
+
+
+def test_parts_are_the_text(lattice):
+    for text in ("a1b2, c.\n\nd  e__f", " lead ²3.5 ½x", "é中x—“q”", "_ _"):
+        assert "".join(lattice.words(text)) == spm.MARK + text.replace(" ", spm.MARK)
+
+
 def test_small_cache_changes_nothing(lattice):
     text = "some words and other words, some more words"
     assert spm.Lattice(spm.default_model(), words=4).nbest(text) == lattice.nbest(text)

@@ -6,9 +6,14 @@ heuristics for a backward A-star search from the end, which yields segmentations
 expanding any that cannot be among the N best.
 
 No piece of such a vocabulary crosses from one word into the next (a word begins at the first of the marks that stand
-for spaces; this is checked when the model is loaded), so the lattice falls into words. Words are searched once and
-remembered. A text's best segmentation is that of its words; for the next ones only the words with the smallest
-losses can matter, and a second A-star search, over whole words, combines their alternatives.
+for spaces; this is checked when the model is loaded), nor, in most, from letters to digits or other characters. The
+lattice falls into parts there. Parts are searched once and remembered. A text's best segmentation is that of its
+parts; for the next ones only the parts with the smallest losses can matter, and a second A-star search, over whole
+parts, combines their alternatives.
+
+Scores: those of a unigram model are log-probabilities and used as they are. A BPE model has merge ranks instead (its
+scores are 0, -1, -2, ...), whose sums mean nothing; they become log-probabilities by Zipf's law, ``-log(rank + OFFSET)``. The
+best segmentation is thus the likeliest one, not what the model's merges give; decoding gives the same text for both.
 
 Characters without a piece are spelled in byte pieces at a fixed penalty. Decoding joins pieces and bytes and drops the
 mark in front. One Arrow pass over whole texts; nothing is shuffled.
@@ -21,12 +26,14 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +43,19 @@ MARK = "▁"
 N_BEST = 4
 #: Penalty below the worst piece for a character that must be spelled in bytes.
 UNKNOWN = 10.0
-#: Words of one generation of a worker's cache.
+#: Added to merge ranks before their logarithm is taken.
+OFFSET = 10.0
+#: Words that a worker remembers; when there are more, it starts anew.
 CACHE = 500_000
+#: Scores that differ by less are equal.
+TIE = 1e-9
 
 DIGEST_SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, nbest_crc32 array<long>, round_trip boolean"
 ENCODED_SCHEMA = "doc_id long, rank int, score double, ids array<int>"
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Nodes of the tree of pieces: what follows by character, and the score and id of the piece that ends here.
+Tree = dict[str, tuple["Tree", float | None, int]]
 
 Segmentation = tuple[float, tuple[int, ...]]
 
@@ -62,7 +75,10 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         usable = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.score = {self.pieces[i]: (sp.get_score(i), i) for i in usable}
+        scores = {i: sp.get_score(i) for i in usable}
+        if all(x == round(x) for x in scores.values()):
+            scores = {i: -math.log(OFFSET - x) for i, x in scores.items()}
+        self.score = {self.pieces[i]: (x, i) for i, x in scores.items()}
         crossing = [p for p in self.score if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces that cross words, such as {crossing[0]!r}, are not supported")
@@ -79,12 +95,31 @@ class Lattice:
             if len(p) > 2:
                 lengths.setdefault(p[:3], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}
+        self.tree: Tree = {}
+        for p, (value, i) in self.score.items():
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, ({}, None, -1))[0]
+            at[p[-1]] = (at.get(p[-1], ({}, None, -1))[0], value, i)
+        self.part = self._parts()
         self.limit = words
-        # Two generations: when the young one is full it becomes the old one, whose words return as they are met again
-        self.best: dict[str, tuple[float, bytes, float]] = {}
-        self.old: dict[str, tuple[float, bytes, float]] = {}
+        # Of each word met: its number; by number the score, the loss of the second best segmentation and the ids
+        self.number: dict[str, int] = {}
+        self.totals: list[float] = []
+        self.losses: list[float] = []
+        self.ids: list[bytes] = []
         self.more: dict[tuple[str, int], list[Segmentation]] = {}
 
+    def _parts(self) -> re.Pattern:
+        """What cuts a text into parts that no piece crosses: runs of letters, of digits or of others, if the pieces are such."""
+        letter, digit = re.compile(r"[^\W\d_]"), re.compile(r"\d")
+        odd = {c for p in self.score for c in p if letter.match(c) and not c.isalpha()}
+        kind = lambda c: "digit" if digit.match(c) else "letter" if letter.match(c) and c not in odd else "other"
+        if any(len(set(map(kind, p.lstrip(MARK)))) > 1 for p in self.score):
+            return _WORD
+        no = re.escape("".join(sorted(odd)))
+        return re.compile(rf"{MARK}*(?:[^\W\d_{no}]+|\d+|(?:[\W_{no}](?<!{MARK}))+)|{MARK}+")
+
     def spelled(self, char: str) -> tuple[int, ...]:
         """The byte pieces of a character, or the unknown piece where the model has none."""
         raw = char.encode("utf-8", "surrogatepass")
@@ -124,8 +159,8 @@ class Lattice:
         """The ``n`` best segmentations of a word: backward A-star, with the forward scores as heuristics."""
         into, alpha = self.forward(word)
         end = len(word)
-        # (-(what is sure + the best that can still come), ids from here to the end, place, what is sure)
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-alpha[end], (), end, 0.0)]
+        # (loss against the best at least, ids from here to the end, place, what is sure)
+        heap: list[tuple[float, tuple[int, ...], int, float]] = [(0.0, (), end, 0.0)]
         out: list[Segmentation] = []
         while heap and len(out) < n:
             _, ids, place, sure = heapq.heappop(heap)
@@ -134,7 +169,7 @@ class Lattice:
                 continue
             for start, s, piece in into[place]:
                 new = self.spelled(word[start]) if piece < 0 else (piece,)
-                heapq.heappush(heap, (-(sure + s + alpha[start]), new + ids, start, sure + s))
+                heapq.heappush(heap, (round(alpha[end] - sure - s - alpha[start], 9), new + ids, start, sure + s))
         return out
 
     def alternatives(self, word: str, n: int) -> list[Segmentation]:
@@ -146,72 +181,101 @@ class Lattice:
             got = self.more[key] = self.nbest_word(word, n)
         return got
 
-    def best_word(self, word: str) -> tuple[float, bytes, float]:
-        """(score, ids, loss of the second best segmentation, infinite if there is none); by Viterbi, remembered."""
-        got = self.best.get(word)
-        if got is None:
-            got = self.old.get(word) or self._search(word)
-            if len(self.best) >= self.limit:
-                self.old, self.best = self.best, {}
-            self.best[word] = got
-        return got
+    def learn(self, words: Iterable[str]) -> None:
+        """Search the words that have no number yet."""
+        if len(self.number) > self.limit:
+            self.number, self.totals, self.losses, self.ids = {}, [], [], []
+        for word in words:
+            if word not in self.number:
+                total, ids, loss = self._search(word)
+                self.number[word] = len(self.ids)
+                self.totals.append(total)
+                self.losses.append(loss)
+                self.ids.append(ids)
+
+    def numbered(self, words: list[str]) -> list[int]:
+        try:
+            return list(map(self.number.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return list(map(self.number.__getitem__, words))
 
     def _search(self, word: str) -> tuple[float, bytes, float]:
-        into, alpha = self.forward(word)
-        n = len(word)
-        # Backwards: the best way on from each place, the best path, and the best total of any edge beside it
-        beta = [float("-inf")] * n + [0.0]
-        total, second, tied, path = alpha[n], float("-inf"), False, n
-        ids: list[int] = []
-        for place in range(n, 0, -1):
-            b, chosen = beta[place], place != path
-            for start, s, piece in into[place]:
-                v = s + b
-                if v > beta[start]:
-                    beta[start] = v
-                whole = alpha[start] + v
-                if not chosen and whole == total:
-                    chosen, path = True, start
-                    if piece < 0:
-                        ids += reversed(self.spelled(word[start]))
-                    else:
-                        ids.append(piece)
-                elif whole > second:
-                    second = whole
-                    tied = whole == total
+        """(score, ids, loss of the second best segmentation, infinite if there is none), by Viterbi with the two best of each place."""
+        n, none = len(word), float("-inf")
+        best, second = [0.0] + [none] * n, [none] * (n + 1)
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        tree, longest = self.tree, self.longest
+        for i in range(n):
+            a, a2, j, children = best[i], second[i], i, tree
+            for c in word[i : i + longest]:
+                node = children.get(c)
+                if node is None:
+                    break
+                children, s, piece = node
+                j += 1
+                if s is None:
+                    if j > i + 1:
+                        continue
+                    s, piece = self.floor, -1
+                v = a + s
+                if v > best[j]:
+                    second[j] = max(best[j], a2 + s)
+                    best[j] = v
+                    back[j] = (i, piece)
+                elif v > second[j]:
+                    second[j] = v
+            if j == i:  # no piece begins with this character
+                v = a + self.floor
+                if v > best[i + 1]:
+                    second[i + 1] = max(best[i + 1], a2 + self.floor)
+                    best[i + 1] = v
+                    back[i + 1] = (i, -1)
+                elif v > second[i + 1]:
+                    second[i + 1] = v
+        ids, at = [], n
+        while at:
+            at, piece = back[at]
+            if piece < 0:
+                ids += reversed(self.spelled(word[at]))
+            else:
+                ids.append(piece)
         ids.reverse()
+        loss = best[n] - second[n]
         # Where several segmentations are the best, the A-star search decides by ids
-        if tied:
+        if loss < TIE:
             ids = list(self.nbest_word(word, 1)[0][1])
-        return total, array("i", ids).tobytes(), total - second
+        return best[n], array("i", ids).tobytes(), loss
 
     def words(self, text: str) -> list[str]:
-        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        """The parts of a text between which no piece stands."""
+        return self.part.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> bytes:
         """The ids of the best segmentation, as 32-bit numbers."""
-        return b"".join([self.best_word(w)[1] for w in self.words(text)])
+        return b"".join(map(self.ids.__getitem__, self.numbered(self.words(text))))
 
     def nbest(self, text: str, n: int = N_BEST) -> tuple[list[float], list[bytes]]:
         """(scores, ids as 32-bit numbers) of the ``n`` best segmentations of a text, best first."""
         words = self.words(text)
-        known, search = self.best.get, self.best_word
-        found = []
-        for w in words:
-            got = known(w)
-            if got is None:
-                got = search(w)
-                known = self.best.get
-            found.append(got)
-        total = sum([f[0] for f in found])
-        parts = [f[1] for f in found]
-        # At most n - 1 places differ from the best in any of the n best, and they are among those of least loss.
-        losses = [f[2] for f in found]
-        least = heapq.nsmallest(n - 1, losses)
-        if not least or least[0] == float("inf"):
-            return [total], [b"".join(parts)]
-        places = heapq.nsmallest(n - 1, range(len(words)), key=losses.__getitem__)
-        choices = [[(s - found[p][0], array("i", ids).tobytes()) for s, ids in self.alternatives(words[p], n)] for p in places]
+        numbers = self.numbered(words)
+        parts = list(map(self.ids.__getitem__, numbers))
+        total = math.fsum(map(self.totals.__getitem__, numbers))
+        whole = b"".join(parts)
+        # At most n - 1 places differ from the best in any of the n best, and they are among those of least loss, the
+        # first of equal ones.
+        losses = np.array(list(map(self.losses.__getitem__, numbers)))
+        if n < 2 or not len(losses) or losses.min() == float("inf"):
+            return [total], [whole]
+        if len(losses) > n - 1:
+            near = np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2])
+            places = near[np.argsort(losses[near], kind="stable")][: n - 1].tolist()
+        else:
+            places = np.argsort(losses, kind="stable").tolist()
+        choices = []
+        for p in places:
+            found = self.alternatives(words[p], n)
+            choices.append([(max(0.0, found[0][0] - s), array("i", ids).tobytes()) for s, ids in found])
         # A-star over the chosen places: without any further change, the rest costs nothing
         heap: list[tuple[float, tuple[int, ...]]] = [(0.0, (0,) * len(places))]
         seen, picked = set(), []
@@ -220,23 +284,27 @@ class Lattice:
             if at in seen:
                 continue
             seen.add(at)
-            picked.append((total - loss, at))
+            picked.append((loss, at))
             for i, c in enumerate(choices):
                 if at[i] + 1 < len(c):
-                    step = c[at[i]][0] - c[at[i] + 1][0]
-                    heapq.heappush(heap, (loss + step, (*at[:i], at[i] + 1, *at[i + 1 :])))
+                    heapq.heappush(heap, (round(loss + c[at[i] + 1][0] - c[at[i]][0], 9), (*at[:i], at[i] + 1, *at[i + 1 :])))
+        # the places where something changes, in text order, as bytes of the best
+        ends = np.cumsum(list(map(len, parts)))
+        order = sorted(range(len(places)), key=places.__getitem__)
         out = []
-        for score, at in picked:
-            mine = parts.copy()
-            for p, i, c in zip(places, at, choices, strict=True):
-                mine[p] = c[i][1]
-            out.append((score, b"".join(mine)))
-        return [s for s, _ in out], [i for _, i in out]
+        for _, at in picked:
+            pieces, last = [], 0
+            for i in order:
+                if at[i]:
+                    end = int(ends[places[i]])
+                    pieces += [whole[last : end - len(parts[places[i]])], choices[i][at[i]][1]]
+                    last = end
+            out.append(b"".join([*pieces, whole[last:]]) if pieces else whole)
+        return [total - loss for loss, _ in picked], out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of a sequence of ids."""
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
