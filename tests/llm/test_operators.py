@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import unicodedata
 import zlib
 
@@ -724,6 +725,34 @@ def test_deep_and_empty_pages(spark):
     assert html_text.extract_main_text(rows.limit(0)).count() == 0
 
 
+PROSE = "The quick brown fox, having jumped over the lazy dog, went home to write a long sentence about it, and then another. "
+
+
+@pytest.mark.parametrize("name", ["entry-footer", "article-footer", "page-sidebar", "content-ad", "story-share", "main-menu", "comment-text", "comment-body", "post-comments", "related-posts sidebar"])
+def test_boilerplate_inside_the_article_goes(name):
+    page = f"<body><article><h1>Head</h1><p>{PROSE * 3}</p><div class='{name}'><p>Not of the article, {PROSE}</p></div><p>{PROSE * 2}</p></article></body>"
+    assert "Not of the article" not in html_text.main_text(page)
+    assert html_text.main_text(page).startswith("Head\nThe quick")
+
+
+@pytest.mark.parametrize("page", ["<div class='wrapper no-sidebar'>{}</div>", "<div class='has-sidebar'>{}</div>", "<form action=x>{}<input></form>", "<nav><a href=x>Home</a>{}", "<div id=sidebar-page-widget>{}</div>"])
+def test_wrappers_that_look_like_boilerplate_stay(page):
+    want = f"Head\n{(PROSE * 3).strip()}\n{PROSE.strip()}"
+    assert html_text.main_text(f"<html><body>{page.format(f'<h1>Head</h1><div><p>{PROSE * 3}</p><p>{PROSE}</p></div>')}</body></html>").endswith(want)
+
+
+def test_small_points_of_markup():
+    page = f"<article><header><h1>Title</h1><p>by somebody</p></header><p>super<wbr>cali<img src=x>frag {PROSE}</p></article>"
+    assert html_text.main_text(page) == f"Title\nsupercalifrag {PROSE.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<b " * 250_000 + "'", "<b>" * 150_000 + "</i>" * 150_000, "<p><i>" * 100_000 + "<div>" * 50_000 + "</i>" * 100_000, "<a href='" * 100_000, "<!--" * 200_000, "<script>" * 100_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 30
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 

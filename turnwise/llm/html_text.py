@@ -6,8 +6,12 @@ half and so on further up); a candidate's sum is discounted by its link density.
 widened to the article (or else main) element that it lies in, and kept whole without its boilerplate. Beside it stays, where no
 article or main marks the bounds or a main does, all that isn't mostly links; beside a marked article, what scores well or reads like prose.
 
+Where nothing readable is left, what was pruned by a mere class name, a form around the page or a menu without its end
+tag holds the article: the pruned element with the most paragraphs is taken back, until something is.
+
 The text keeps page order: one line per block, character references decoded, white space inside a block turned into
-one space. One Arrow pass, no shuffle; memory is bounded by the largest page of a batch.
+one space. One Arrow pass, no shuffle; memory is bounded by the largest page of a batch, and time by its length: elements
+nested deeper than ``DEPTH`` stay flat.
 
 Defined results: null or empty html, and pages without text, give an empty text of 0 characters; unclosed and truncated
 markup is closed at the end; ties between containers go to the first; repeated rows are extracted each on its own; an
@@ -35,6 +39,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PRUNED = frozenset("nav header footer aside form menu button select option dialog head label input fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PARAGRAPH = frozenset("p pre td blockquote dd li".split())
 CLOSES_P = BLOCK - {"body", "html"}
 # Elements that stand in head; what new items of lists and tables end, and where the search for these stops.
@@ -53,8 +58,16 @@ NOISE = frozenset(
 #: A block with this share of its text in links isn't content.
 LINKED = 0.5
 CONTENT = frozenset("article body content entry main post story text page column".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+# First words of class names that say how a page is laid out, not what an element is.
+LAYOUT = frozenset("no has with without is not hide show".split())
+#: Words after which a name is boilerplate wherever they stand in it.
+ALWAYS = frozenset("comment comments reply replies disqus".split())
+#: Elements nested deeper aren't told apart from their parents.
+DEPTH = 256
+#: A paragraph of so many characters reads like part of an article.
+READABLE = 80
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*")
 _COMMAS = re.compile("[,，、،]")
@@ -63,11 +76,14 @@ _COMMAS = re.compile("[,，、،]")
 class Node:
     """An element: its children are nodes and strings, in page order."""
 
-    __slots__ = ("children", "links", "length", "noise", "parent", "score", "tag", "weight")
+    __slots__ = ("children", "closed", "depth", "length", "links", "noise", "parent", "pruned", "score", "soft", "tag", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, weight: float = 0.0, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, weight: float = 0.0, pruned: bool = False, soft: bool = False):
         self.tag, self.parent, self.weight = tag, parent, weight
-        self.noise = noise  # boilerplate, or inside such: no child of its parent, only open
+        self.pruned, self.soft = pruned, soft  # boilerplate by its own marks; by such as may err
+        self.noise = pruned or (parent is not None and parent.noise)  # it or what it stands in is boilerplate
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.closed = False
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.links = 0
@@ -77,35 +93,48 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if "=" in text or "hidden" in text else {}
 
 
-def _judge(tag: str, attributes: str) -> tuple[bool, float]:
-    """(boilerplate, weight) of an element."""
+def _noisy(names: str) -> bool:
+    """Whether one of several class or id names is that of boilerplate: by its last word, or by another beside which none says content."""
+    for name in names.split():
+        words = [x.lower() for x in _NAME_PART.findall(name)]
+        if not words or words[0] in LAYOUT:
+            continue
+        if words[-1] in NOISE or not ALWAYS.isdisjoint(words):
+            return True
+        if not NOISE.isdisjoint(words) and CONTENT.isdisjoint(words):
+            return True
+    return False
+
+
+def _judge(tag: str, attributes: str) -> tuple[bool, bool, float]:
+    """(boilerplate, by marks that may err, weight) of an element."""
     if tag in PRUNED:
-        return True, 0.0
+        return True, tag in ("form", "fieldset", "label"), 0.0
     weight = {"article": 25.0, "main": 15.0}.get(tag, 0.0)
     if attributes and (a := _attributes(attributes)):
         if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-            return True, 0.0
-        names = {x.lower() for x in _NAME_PART.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-        good = bool(names & CONTENT) or tag in ("article", "main", "body")
-        if names & NOISE and not good:
-            return True, 0.0
-        weight += 10.0 if names & CONTENT else 0.0
-    return False, weight
+            return True, False, 0.0
+        names = f"{a.get('class', '')} {a.get('id', '')}"
+        if tag not in ("article", "main", "body") and _noisy(names):
+            return True, True, 0.0
+        weight += 10.0 if not CONTENT.isdisjoint(x.lower() for x in _NAME_PART.findall(names)) else 0.0
+    return False, False, weight
+
+
+def _inside(at: Node, tag: str) -> bool:
+    n: Node | None = at
+    while n is not None and n.tag != tag:
+        n = n.parent
+    return n is not None
 
 
 def parse(page: str) -> Node:
-    """The page's tree without boilerplate, raw-text elements and comments."""
+    """The page's tree, boilerplate marked, without raw-text elements and comments."""
     root = Node("html", None)
     at, pos = root, 0
     tokens = _TOKEN.scanner(page)
-    raw_until = ""
     while m := tokens.search():
-        if raw_until:
-            if not (m[1] and m[2].lower() == raw_until):
-                continue
-            raw_until, pos = "", m.end()
-            continue
-        if m.start() > pos and not at.noise:
+        if m.start() > pos:
             at.children.append(page[pos : m.start()])
         pos = m.end()
         if not m[2]:
@@ -121,31 +150,60 @@ def parse(page: str) -> Node:
             if at.tag == "head" and tag not in IN_HEAD and at.parent is not None:
                 at = at.parent
             if tag in VOID:
-                if not at.noise:
-                    at.children.append("\n" if tag != "hr" else Node("hr", at))
+                if tag in ("br", "hr"):
+                    at.children.append("\n" if tag == "br" else Node("hr", at))
                 continue
             if tag in CLOSES_P:
                 at = _close_paragraph(at, tag)
             if tag in ("html", "body"):
                 continue
-            if at.noise:
-                at = Node(tag, at, noise=True)
-                continue
-            noise, weight = _judge(tag, m[3])
-            if noise:
-                at.children.append(Node("hr", at))  # what was there separates blocks
-                at = Node(tag, at, noise=True)
-                continue
-            node = Node(tag, at, weight)
+            if at.depth >= DEPTH:
+                if tag not in BLOCK:
+                    continue
+                at = at.parent or at
+            if tag == "header" and not at.noise and _inside(at, "article"):
+                pruned, soft, weight = False, False, 0.0  # an article's own heading
+            elif at.tag == "header" and not at.noise and tag not in HEADINGS | {"div", "section", "a", "span", "b", "i", "em", "strong"}:
+                pruned, soft, weight = True, False, 0.0
+            else:
+                pruned, soft, weight = _judge(tag, m[3])
+            node = Node(tag, at, weight, pruned, soft)
             at.children.append(node)
             at = node
         else:
             at = _close(at, tag)
-    if pos < len(page) and not at.noise and not raw_until:
+    if pos < len(page):
         at.children.append(page[pos:])
+    _take_back(root)
     return root
 
 
+def _take_back(root: Node) -> None:
+    """Where no readable paragraph is left, unmark the pruned element that holds most of them, and what stands in it, again."""
+    for _ in range(8):
+        held: dict[int, list] = {}
+        todo: list[tuple[Node, Node | None]] = [(root, None)]
+        seen = False
+        while todo and not seen:
+            n, by = todo.pop()
+            if n.pruned:
+                # what surely is boilerplate hides all in it
+                if not n.soft and (n.closed or n.tag not in ("nav", "header", "footer", "aside")):
+                    continue
+                by = by or n
+            if n.tag == "p" or n.tag in ("article", "main"):
+                size = sum(len(c) for c in n.children if isinstance(c, str)) + sum(len(x) for c in n.children if isinstance(c, Node) and c.tag not in BLOCK for x in c.children if isinstance(x, str))
+                if size >= READABLE or (n.tag != "p" and by is None and size > 0):
+                    if by is None:
+                        seen = True
+                    else:
+                        held.setdefault(id(by), [0, by])[0] += size
+            todo += [(c, by) for c in n.children if isinstance(c, Node)]
+        if seen or not held:
+            return
+        max(held.values(), key=lambda x: x[0])[1].pruned = False
+
+
 def _close_paragraph(at: Node, tag: str) -> Node:
     """Close what a new block element ends: an open paragraph, and a like item of the same list or table."""
     like = LIKE.get(tag, ())
@@ -171,6 +229,7 @@ def _close(at: Node, tag: str) -> Node:
         if inline and at.noise and not n.noise:
             return at  # nor does it close what stands around a pruned element
         if n.tag == tag:
+            n.closed = True
             return n.parent
         if inline and n.tag in BLOCK and not n.noise:
             return at  # an inline end tag doesn't close a block
@@ -178,12 +237,18 @@ def _close(at: Node, tag: str) -> Node:
     return at
 
 
+def visible(node: Node) -> list[Node | str]:
+    """A node's children; in the place of a pruned one something empty that separates blocks."""
+    return [Node("hr", None) if isinstance(c, Node) and c.pruned else c for c in node.children]
+
+
 def _measure(node: Node, candidates: list[Node]) -> None:
     """Text and link lengths of every element, and the paragraphs' points; children first, without recursion."""
     order, todo = [], [node]
     while todo:
         n = todo.pop()
         order.append(n)
+        n.children = visible(n)
         todo += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
         own, commas, own_text = 0, 0, 0
