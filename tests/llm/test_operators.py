@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 import time
 import unicodedata
@@ -231,6 +232,34 @@ def test_redaction(spark, ratios, awkward, nothing):
     assert secret_scan.scan_documents(awkward, ratios).count() == len(AWKWARD)
 
 
+def test_random_strings_and_ordinary_names(spark, sf_dir):
+    """Held out from training: the standard library's names and paths, and random strings of several alphabets."""
+    import email
+    import string
+    import uuid
+
+    folder = os.path.dirname(os.path.dirname(email.__file__))
+    names: set[str] = set()
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name), errors="replace") as f:
+                names |= set(re.findall(r"\b[A-Za-z_][A-Za-z0-9_]{19,}\b", f.read()))
+    ordinary = sorted(x for x in names if len(set(x)) > 3) + [f"/usr/lib/python3/{n[:-3]}/site-packages" for n in sorted(os.listdir(folder)) if n.endswith(".py")]
+    rng = np.random.default_rng(4)
+    ids = [str(uuid.UUID(bytes=rng.bytes(16), version=4)) for _ in range(50)]
+    alphabets = (string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789ABCDEF", string.ascii_letters + string.digits + "+/")
+    drawn = ["".join(rng.choice(list(a), n)) for a, n in zip(alphabets, (20, 24, 32, 40), strict=True) for _ in range(50)]
+    texts = [f"see {x} there" for x in [*ordinary, *ids, *drawn]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secret_scan.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = {r.doc_id: r.n_markov for r in secret_scan.scan_documents(docs, ratios).collect()}
+    hits = np.array([found[i] > 0 for i in range(len(texts))])
+    assert len(ordinary) > 200
+    assert hits[: len(ordinary)].mean() < 0.02
+    assert not hits[len(ordinary) : len(ordinary) + 50].any()
+    assert hits[-len(drawn) :].mean() > 0.97
+
+
 # --- licences -----------------------------------------------------------------------------------------------------
 
 

@@ -43,7 +43,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
 SAMPLE_DOCS = 300
 RANDOM_STRINGS = 3000
 #: A run is reported when its log-likelihood ratio is at least so many nats in all, and so many per pair.
-MIN_TOTAL, MIN_MEAN = 12.0, 0.6
+MIN_TOTAL, MIN_MEAN = 14.0, 0.8
 #: Characters between which the pieces of a run stand; the least length of a run and of a part of it.
 SEPARATORS, MIN_RUN = "/=_+-", 20
 MASK = "[SECRET]"
@@ -68,6 +68,9 @@ WORDS = (
 _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
+#: Identifiers of a fixed random form, which aren't secrets.
+UUID = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+
 #: Of each run: its place, its text and the ratio of every pair of neighbours.
 _RATED = f"""transform(transform(__runs, x -> named_struct('x', x, 'codes', transform(split(x.v, ''), c -> instr('{ALPHABET}', c)))), y -> named_struct(
     's', y.x.s, 'v', y.x.v, 'r', transform(sequence(2, size(y.codes)), i -> element_at(__ratios, (y.codes[i - 2] - 1) * {len(ALPHABET)} + y.codes[i - 1]))))"""
@@ -121,7 +124,18 @@ def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     n = len(WORDS)
     other = lambda step: known[F.pmod(F.col("id") * step + F.floor(F.col("id") / n), F.lit(n)).cast("int")]
     three = [other(1), other(7), other(31)]
-    listed = spark.range(RANDOM_STRINGS).select(F.explode(F.array(F.concat_ws("_", *three), F.concat_ws("-", *three), F.concat(three[0], *map(F.initcap, three[1:])))).alias("text"))
+    few = F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string")
+    capital = [F.initcap(x) for x in three]
+    styles = [
+        F.concat_ws("_", *three), F.concat_ws("-", *three), F.concat(three[0], *capital[1:]), F.concat(*capital), F.concat(*three),
+        F.upper(F.concat_ws("_", *three)), F.upper(F.concat_ws("-", *three)), F.upper(F.concat(*three)), F.concat_ws("_", *capital), F.concat_ws("-", *capital),
+        F.concat_ws("/", *three), F.concat(F.lit("/"), F.concat_ws("/", *capital)), F.concat_ws("/", three[0], F.concat_ws("_", *three[1:]), few),
+        F.concat_ws("_", *three, few), F.concat(*capital, few), F.upper(F.concat_ws("_", *three, few)), F.concat(three[0], few, capital[1], three[2]),
+        F.concat_ws("-", F.lit("2024"), few, three[0]), F.concat(F.lit("="), F.concat_ws("==", *three)), F.concat_ws("__", F.lit(""), *three), F.concat(three[0], F.lit("+"), three[1]),
+        F.concat_ws("/", F.lit(""), F.substring(three[0], 1, 3), F.concat(F.substring(three[1], 1, 2), few), F.substring(three[2], 1, 4), F.concat(three[0], few)),
+        F.concat(F.upper(F.substring(three[0], 1, 3)), capital[1], F.upper(F.substring(three[2], 1, 2)), capital[0]),
+    ]
+    listed = spark.range(RANDOM_STRINGS).select(F.explode(F.array(*styles)).alias("text"))
     ordinary = joined.unionByName(listed)
     return drawn.unionByName(ordinary.select(F.lit(False).alias("random"), "text"))
 
@@ -164,7 +178,7 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     assign = F.filter(_spans(ASSIGN, 0, 2), lambda x: F.length(x["v"]) >= MIN_VALUE)
     base = F.array_sort(F.concat(F.when(F.col("__assign"), assign).otherwise(none), F.when(F.col("__run"), F.concat(_spans(ACCESS, 1), _spans(HEX, 2))).otherwise(none)))
     with_base = base_cols.withColumn("base", base)
-    runs = with_base.withColumn("__runs", F.when(F.col("__run"), _spans(RUN, 3)).otherwise(none))
+    runs = with_base.withColumn("__runs", F.when(F.col("__run"), F.filter(_spans(RUN, 3), lambda x: ~x["v"].rlike(UUID))).otherwise(none))
     rated = runs.withColumn("__ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>")).withColumn("__rated", F.expr(_RATED))
     parts = rated.withColumn("__parts", F.expr(_PARTS))
     added = parts.withColumn("added", F.expr(_OUTSIDE))
