@@ -375,7 +375,7 @@ def test_media_awkward(awkward, nothing):
 
 
 def canonical(text):
-    return re.sub(r"[\s\x1c-\x1f]+", " ", unicodedata.normalize("NFC", text).lower()).strip(" ")
+    return re.sub(r"[\s\x1c-\x1f]+", " ", unicodedata.normalize("NFC", text).casefold()).strip(" ")
 
 
 def brute_fingerprints(rows):
@@ -411,6 +411,20 @@ def test_groups(spark, awkward):
     assert fingerprints.groups(awkward).count() == len(AWKWARD)
 
 
+def test_case_is_folded_in_full_and_groups_hold_equal_bytes(spark):
+    texts = ["STRASSE  a", "straße a", "ΟΔΟΣ", "οδοσ", "οδος", "e\u0301", "É", "İ", "i\u0307", "other", None, " "]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "οδοσ"), (None, "other")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.group_id) for r in fingerprints.fingerprint_groups(docs).collect()), key=str)
+    want = [(0, 0), (1, 0), (2, 2), (3, 2), (3, 2), (4, 2), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9), (10, 10), (11, 10), (None, 9)]
+    assert got == sorted(want, key=str)
+
+
+def test_pseudonyms_need_a_key(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise_documents(docs)
+
+
 # --- near-duplicates ----------------------------------------------------------------------------------------------
 
 
@@ -590,9 +604,9 @@ def test_pseudonyms_keep_formats_and_links():
 
 
 def test_pii_awkward(awkward, nothing):
-    got = {r.doc_id: r for r in pii.pseudonymise_documents(awkward).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise_documents(awkward, "k").collect()}
     assert got[2].text is None and got[3].text == "" and got[6].text == LONG
-    assert pii.pseudonymise_documents(nothing).count() == 0
+    assert pii.pseudonymise_documents(nothing, "k").count() == 0
 
 
 # --- packing ------------------------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Document fingerprints with SQL functions only.
 
-Method: canonical exact digests. A text is brought to Unicode form NFC, folded to lower case, and its white-space runs become
-single spaces, none at the ends; two xxhash64 values with different seeds make a digest of 128 bits. Documents
+Method: canonical exact digests. A text is brought to Unicode form NFC, its case is folded in full (so that ``ß`` equals ``SS`` and
+a final sigma any other), it is composed again, and its white-space runs become single spaces, none at the ends; two xxhash64 values with different seeds make a digest of 128 bits. Documents
 group by digest, and inside a bucket the canonical bytes are compared, so that a collision can't join different texts.
 
 Plan: :func:`neighbours` puts documents next to each other in descending order of ``doc_id`` without a global sort. Ids
@@ -27,16 +27,21 @@ from turnwise.llm.common import text_or_empty
 
 #: Rows of one range of ids, about.
 RANGE_ROWS = 500
-#: Not more ranges than so many; at larger inputs ranges grow.
-MAX_RANGES = 8192
+#: Not more ranges than so many (half a megabyte of bounds); beyond 33 million rows ranges grow, and sort with spilling.
+MAX_RANGES = 65_536
 #: Bounds compared at a time.
-STEP = 64
+STEP = 256
+
+
+def _composed(text: Column) -> Column:
+    """NFC. Texts of code points below U+0300 only are in NFC as they are."""
+    return F.when(text.rlike("[^\\u0000-\\u02ff]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
-    """NFC, lower case, white space folded. Texts of code points below U+0300 only are in NFC as they are."""
-    composed = F.when(text.rlike("[^\\u0000-\\u02ff]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)[\s\x1c-\x1f]+", " "))
+    """NFC, full case folding, NFC, white space folded. For ASCII, folding is lower case."""
+    folded = F.when(text.rlike("[^\\u0000-\\u007f]"), _composed(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _composed(text), F.lit(True)))).otherwise(F.lower(text))
+    return F.trim(F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -117,6 +122,13 @@ def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> Data
     )
 
 
+def fingerprint_groups(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """:func:`fingerprint_documents` with ``group_id``: the least ``doc_id`` of the documents with the same canonical bytes."""
+    of = groups(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id")).withColumnsRenamed({"doc_id": "__id", "fingerprint": "__fp"})
+    near = fingerprint_documents(docs, range_rows)
+    return near.join(of.hint("merge"), (near["fingerprint"] == of["__fp"]) & near["doc_id"].eqNullSafe(of["__id"]), "left").drop("__id", "__fp")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, group_id): documents of equal canonical bytes have the least ``doc_id`` among them as group."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(text_or_empty()).alias("canon"))

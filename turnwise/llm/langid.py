@@ -7,8 +7,8 @@ that cosine lies below the language's limit: ``SLACK`` times the cosine that all
 reach, so that texts of repeated words and the like stay and texts in another language go. Short texts have few n-grams and so lower cosines: below ``FULL`` letters the limit falls with the square root
 of the length.
 
-Training is bounded: about ``PER_LANG`` texts per language are fetched, chosen by a hash of their id, so the sample
-neither grows with the input nor depends on its order. Everything else reads whole texts of all rows in one scan
+Training is bounded: about ``PER_LANG`` texts of at most ``TRAIN_CHARS`` characters per language are fetched, for the ``MAX_LANGS``
+most frequent languages, chosen by a hash of their id, so the sample neither grows with the input nor depends on its order. Everything else reads whole texts of all rows in one scan
 without a shuffle; the model (centroids x ``DIMS`` floats) travels with the task.
 
 Defined results: null or letterless texts get ``und``, score 0.0 and ``rejected``; ties between centroids go to the
@@ -30,6 +30,9 @@ DIMS = 4096
 CENTROIDS = 4
 #: The training sample: about so many texts per language.
 PER_LANG = 600
+#: Longer texts aren't trained on; nor are languages beyond so many.
+TRAIN_CHARS = 100_000
+MAX_LANGS = 500
 ROUNDS = 8
 #: A language's limit as a share of the cosine that nearly all of its training texts reach.
 SLACK = 0.5
@@ -138,8 +141,11 @@ def fit(rows: list[tuple[str, str]], dims: int = DIMS, k: int = CENTROIDS) -> Mo
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """The labelled sample: of each language the documents whose hashed id falls into a share worth ``per_lang`` rows."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col("lang").cast("string")).count().collect()}
+    if "lang" not in docs.columns:
+        return []
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length(F.col("text").cast("string")) <= TRAIN_CHARS))
+    frequent = known.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    sizes = {r[0]: r[1] for r in frequent.collect()}
     if not sizes:
         return []
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0
@@ -199,8 +205,14 @@ def identify_languages(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, all columns kept; a null ``lang`` becomes the predicted one."""
-    names, at, to = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
+    """The rows of ``docs`` that aren't rejected, all columns kept; a null ``lang``, if there is the column, becomes the predicted one.
+
+    With no model, which needs labelled texts, nothing can be told apart and all rows stay.
+    """
+    if model is None:
+        return docs
+    names, at = docs.columns, docs.columns.index("text")
+    to = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -208,9 +220,10 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             lang, _, rejected = predict_texts((x.as_py() for x in batch.column(at)), batch.num_rows, model)
             columns = list(batch.columns)
-            columns[to] = pa.array([x if x is not None else y for x, y in zip(columns[to].to_pylist(), lang, strict=True)], pa.string())
+            if to is not None:
+                columns[to] = pa.array([x if x is not None else y for x, y in zip(columns[to].to_pylist(), lang, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~rejected))
 
     # Columns that Arrow's batches carry; text and lang as strings
-    typed = docs.withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")}).select(*names)
+    typed = docs.withColumns({c: F.col(c).cast("string") for c in ("text", "lang") if c in names}).select(*names)
     return typed.mapInArrow(run, typed.schema)

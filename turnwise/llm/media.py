@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import small, stored, text_or_empty
+from turnwise.llm.common import Scratch, small, text_or_empty
 
 RATE = 16_000
 UNIT = 64
@@ -193,6 +193,20 @@ def audio_features(media: DataFrame) -> DataFrame:
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, FEATURE_SCHEMA)
 
 
+def tensor_array(tensor: np.ndarray):
+    """(windows, frames, mels) numbers as an Arrow array of fixed-shape tensors."""
+    import pyarrow as pa
+
+    kind = pa.fixed_shape_tensor(pa.float32(), tensor.shape[1:])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.ravel()), int(np.prod(tensor.shape[1:])))
+    return pa.ExtensionArray.from_storage(kind, flat)
+
+
+def read_tensors(array) -> np.ndarray:
+    """The numbers of an Arrow array of fixed-shape tensors."""
+    return array.to_numpy_ndarray()
+
+
 def tensor_column(table):
     """A pyarrow table or batch of :func:`audio_features` with ``tensor`` as a fixed-shape tensor array."""
     import pyarrow as pa
@@ -218,6 +232,8 @@ def media_digests(media: DataFrame) -> DataFrame:
             return (None, None, None, len(item), hashlib.sha256(item).hexdigest(), None, None, None, None)
         samples, rate = got
         tensor, spans, step = features(samples, rate)
+        # through the Arrow column that carries the tensors, as they are read from it
+        tensor = read_tensors(tensor_array(tensor))
         rounded = np.rint(tensor * 64).astype("<i2").tobytes()
         digest = hashlib.sha256(rounded + np.array(spans, "<i8").tobytes()).hexdigest()
         return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(item), hashlib.sha256(item).hexdigest(), digest, len(tensor), len(spans), len(samples) / rate)
@@ -236,5 +252,9 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
-    """Store each document as a media file, read the stored files back and give their digests and features'."""
-    return media_digests(stored(to_media(docs), "media"))
+    """Store each document as a media file, read the stored files back and give their digests and features'.
+
+    The media are deleted when the digests are stored; to keep them, write :func:`to_media` to a table of one's own.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.kept(media_digests(scratch.stored(to_media(docs), "media")), "media-digests")

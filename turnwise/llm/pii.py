@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import small
 
-DEFAULT_KEY = "turnwise-demo-key"
+#: The session's setting that holds the key; there is no default.
+KEY_CONF = "spark.turnwise.pii.key"
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 SCHEMA = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
@@ -217,8 +218,20 @@ def _after(text: str, m: re.Match) -> int:
     return i
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """One row per document (``doc_id``, ``text``): its text with pseudonyms, counts by kind and spans in the old text."""
+def session_key(docs: DataFrame) -> str:
+    """The key that the session's ``KEY_CONF`` names."""
+    key = docs.sparkSession.conf.get(KEY_CONF, None)
+    if not key:
+        raise ValueError(f"set {KEY_CONF} to a secret key")
+    return key
+
+
+def pseudonymise_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """One row per document (``doc_id``, ``text``): its text with pseudonyms, counts by kind and spans in the old text.
+
+    Without ``key``, the session's is used.
+    """
+    key = key or session_key(docs)
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_groups(table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,9 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"))
+    """With the session's key, or a random one of this run where the session has none: nobody can undo these pseudonyms."""
+    key = spark.conf.get(pii.KEY_CONF, None) or secrets.token_hex(32)
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), key)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
