@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise import queries
 from turnwise.functions import ranks
 from turnwise.operators import export, filters, stats
-from turnwise.plans import curate
+from turnwise.plans import cli, curate
 from turnwise.sources import sessions as files
 from turnwise.sources.schemas import SESSIONS
 
@@ -164,3 +164,17 @@ def test_hits_up_to_the_longest_conversation(spark, tmp_path, longest):
     first = [r.success_turn for r in queries.sessions(spark, str(tmp_path)).where("success").collect()]
     assert hits[-1].cum_hits == len(first) and [r.new_hits for r in hits] == [first.count(t) for t in range(longest)]
     assert queries.auc_hits(spark, str(tmp_path)).collect()[0].auc == pytest.approx(sum(r.hit_rate for r in hits) / longest, abs=1e-5)
+
+
+def test_commands_read_what_the_filter_writes(spark, tmp_path, capsys):
+    turns = [{"turn": i, "query_text": f"q{i}", "search_results": [], "selected_image": f"s{i}", "selected_image_caption": None, "relative_caption": c, "gt_rankings": {"t": r}, "best_gt_rank": r} for i, (r, c) in enumerate([(20, None), (5, "more red")])]
+    made = [{"query_id": q, "reference_image_id": "r", "target_image_id": "t", "ground_truth_ids": ["t"], "original_query": "look", "success": ok > 0, "success_turn": ok, "turns": turns} for q, ok in (("1", 1), ("2", -1))]
+    (tmp_path / "r.json").write_text(json.dumps({"dataset_name": "circo", "config": {}, "results": made}))
+    spark.createDataFrame([("r", "h0"), ("s0", "h1"), ("s1", "h2")], "image_id string, img_hash string").write.parquet(str(tmp_path / "hashes"))
+    for _ in range(2):  # a second run replaces the first one's rows
+        cli.main(["filter", str(tmp_path / "r.json"), str(tmp_path / "kept"), "--hashes", str(tmp_path / "hashes")], spark)
+    assert "left out" not in capsys.readouterr().out
+    assert [r.query_id for r in files.read_written(spark, str(tmp_path / "kept")).collect()] == ["1"]
+    cli.main(["export", str(tmp_path / "kept"), str(tmp_path / "public"), "--subset", "circo"], spark)
+    cli.main(["report", str(tmp_path / "kept")], spark)
+    assert capsys.readouterr().out

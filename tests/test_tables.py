@@ -64,6 +64,21 @@ def test_topk_ties_and_ranks(spark):
     assert {(r.query_id, r.corpus_idx) for r in small.collect()} == {(7, 1), (8, 1)}
 
 
+def test_search_leaves_out_items_without_vectors_and_tiles_its_product(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(60, 4))
+    c = spark.createDataFrame([(i, v.tolist() if i % 7 else None) for i, v in enumerate(vecs)], "corpus_idx long, vec array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 4)))], "query_id long, vec array<double>")
+    rows = lambda df: [tuple(r)[:3] for r in df.orderBy("query_id", "rank").collect()]
+    whole = rows(search.topk(q, c, 5))
+    assert len(whole) == 45 and not any(r[2] % 7 == 0 for r in whole)
+    assert rows(search.topk_sql(q, c, 5)) == whole
+    monkeypatch.setattr(search, "TILE_VALUES", 30)
+    assert rows(search.topk(q, c, 5)) == whole
+    gt = spark.createDataFrame([(0, 7), (0, whole[0][2])], "query_id long, gt_idx long")
+    assert {(r.gt_idx, r.rank) for r in search.ground_truth_ranks(q, gt, c).collect()} == {(7, -1), (whole[0][2], 1)}
+
+
 def test_feedback_moves_as_defined(spark):
     rng = np.random.default_rng(1)
     q, t, s, m = rng.normal(size=(4, 5))

@@ -12,6 +12,8 @@ from turnwise.functions import vectors
 
 #: Query values (rows x dimensions) of one block: 64 MB in double.
 BLOCK_VALUES = 8_000_000
+#: Similarities of one product, so that a full block times an Arrow batch stays small.
+TILE_VALUES = 4_000_000
 
 
 def restrict(corpus: DataFrame, space: DataFrame | None = None, files: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
@@ -38,7 +40,7 @@ def topk_sql(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     if _values(queries) > BLOCK_VALUES:
         return topk(queries, corpus, k)
     q = queries.select("query_id", vectors.normalised(F.col("vec")).alias("__q"))
-    c = corpus.select("corpus_idx", vectors.normalised(F.col("vec")).alias("__c"))
+    c = corpus.where("vec IS NOT NULL").select("corpus_idx", vectors.normalised(F.col("vec")).alias("__c"))
     sims = c.crossJoin(F.broadcast(q)).select("query_id", "corpus_idx", vectors.dot(F.col("__q"), F.col("__c")).alias("sim"))
     return _ranked(sims, k)
 
@@ -77,14 +79,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(query_id, rank, corpus_idx, sim): a matrix product per Arrow batch and query block, then a merge of each task's best.
 
-    Each task keeps ``k`` hits a query, so what is shuffled is tasks x queries x k, never all pairs.
+    Each task keeps ``k`` hits a query, so what is shuffled is tasks x queries x k, never all pairs. Products are made for
+    ``TILE_VALUES`` similarities at a time. Items without a vector are no hits.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, corpus_idx long, sim double"
     parts = []
     for ids, matrix in query_blocks(queries, block_values):
         shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-        parts.append(corpus.select("corpus_idx", "vec").mapInArrow(_task_topk(shared, k), schema))
+        parts.append(corpus.where("vec IS NOT NULL").select("corpus_idx", "vec").mapInArrow(_task_topk(shared, k), schema))
     if not parts:
         return corpus.sparkSession.createDataFrame([], f"query_id {kind}, rank int, corpus_idx long, sim double")
     out = parts[0]
@@ -105,11 +108,17 @@ def _task_topk(shared, k: int):
             if not len(idx):
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            sims = q @ _unit(flat.reshape(len(idx), -1)).T
-            best_sim = np.concatenate([best_sim, sims], axis=1)
-            best_idx = np.concatenate([best_idx, np.broadcast_to(idx, sims.shape)], axis=1)
-            order = np.lexsort((best_idx, -best_sim), axis=1)[:, :k]
-            best_sim, best_idx = np.take_along_axis(best_sim, order, 1), np.take_along_axis(best_idx, order, 1)
+            items = _unit(flat.reshape(len(idx), -1)).T
+            sims_of, idx_of = [], []
+            step = max(1, TILE_VALUES // len(idx))
+            for at in range(0, n, step):
+                sims = q[at : at + step] @ items
+                sims = np.concatenate([best_sim[at : at + step], sims], axis=1)
+                places = np.concatenate([best_idx[at : at + step], np.broadcast_to(idx, (len(sims), len(idx)))], axis=1)
+                order = np.lexsort((places, -sims), axis=1)[:, :k]
+                sims_of.append(np.take_along_axis(sims, order, 1))
+                idx_of.append(np.take_along_axis(places, order, 1))
+            best_sim, best_idx = np.concatenate(sims_of), np.concatenate(idx_of)
         m = best_sim.shape[1]
         if m:
             yield pa.RecordBatch.from_arrays(
@@ -125,6 +134,7 @@ def ground_truth_ranks(queries: DataFrame, truths: DataFrame, corpus: DataFrame,
     A rank is one more than the number of better items (greater similarity, or the same and an earlier place): a sum of
     counts over tasks. No list is sorted.
     """
+    corpus = corpus.where("vec IS NOT NULL")
     kind = queries.schema["query_id"].dataType.simpleString()
     wanted = truths.select("query_id", F.col("gt_idx").cast("long").alias("gt_idx")).distinct()
     vec_of = corpus.select(F.col("corpus_idx").alias("gt_idx"), F.col("vec").alias("gt_vec"))

@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("input")
     f.add_argument("output")
     f.add_argument("--analyze-only", action="store_true")
+    f.add_argument("--hashes", help="Parquet table of image_id and img_hash; without it the image stage is left out")
     f.add_argument("--rank-margin", type=float, default=30)
     f.add_argument("--similarity-threshold", type=float, default=0.8)
     for stage in curate.STAGES:
@@ -48,17 +49,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if not a.dry_run:
             captions.export_caption_map(pairs.select("image_key", F.col("new").alias("caption")), a.output)
         return
-    rows = sessions.read_sessions(spark, a.input)
+    # a results file, or what "filter" has written
+    rows = sessions.read_sessions(spark, a.input) if a.input.endswith((".json", ".json.gz")) else sessions.read_written(spark, a.input)
     if a.command == "filter":
         options = curate.Options(**{s: getattr(a, s) for s in curate.STAGES}, margin=a.rank_margin, similarity=a.similarity_threshold)
         said = curate.filters.modification_texts(rows).select("text").distinct()
-        kept, log = curate.curate(rows, encoded=models.encode_column(said, "text", models.hashing_encoder), options=options)
+        hashes = spark.read.parquet(a.hashes) if a.hashes else None
+        if hashes is None and options.image_duplication:
+            print("image_duplication is left out: no --hashes")
+        kept, log = curate.curate(rows, encoded=models.encode_column(said, "text", models.hashing_encoder), hashes=hashes, options=options)
         log.show(truncate=False)
         report = curate.envelope(rows, kept, options) | curate.report(rows, kept)
         print(json.dumps(report))
         sessions.write_report(spark, report, f"{a.output}-report")
         if not a.analyze_only:
-            sessions.write_sessions(kept, a.output)
+            sessions.write_sessions(kept, a.output, "overwrite")
     elif a.command == "export":
         public = export.public_sessions(rows, a.subset)
         sessions.write_public(public, a.output)

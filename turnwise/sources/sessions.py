@@ -27,9 +27,14 @@ def flat_tables(spark: SparkSession, sessions: DataFrame, summary_csv: str | Non
     return stats.session_summary(sessions), stats.turn_table(sessions)
 
 
-def write_sessions(sessions: DataFrame, path: str) -> None:
-    """Append finished sessions: nothing that is written is rewritten."""
-    sessions.write.mode("append").partitionBy("dataset").parquet(path)
+def write_sessions(sessions: DataFrame, path: str, mode: str = "append") -> None:
+    """Write finished sessions. By default they are appended: nothing that is written is rewritten."""
+    sessions.write.mode(mode).partitionBy("dataset").parquet(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions as :func:`write_sessions` has written them."""
+    return spark.read.parquet(path)
 
 
 def translate_ids(sessions: DataFrame, hashes: DataFrame) -> DataFrame:
