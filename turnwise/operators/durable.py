@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, checkpointed in the folder that the session names in ``spark.checkpoint.dir``."""
+    """``df``, checkpointed in the folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors are one process, may do without: it gets a folder of its own.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
