@@ -178,3 +178,19 @@ def test_commands_read_what_the_filter_writes(spark, tmp_path, capsys):
     cli.main(["export", str(tmp_path / "kept"), str(tmp_path / "public"), "--subset", "circo"], spark)
     cli.main(["report", str(tmp_path / "kept")], spark)
     assert capsys.readouterr().out
+
+
+def test_translated_ids_of_two_datasets(spark):
+    turn = lambda ranks: (0, "q", None, "a", None, None, ranks, 1)
+    rows = [("x", 0, "1", "a", "b", ["a", "c"], "q", True, 0, [turn(None), turn({"a": 1, "b": 2, "c": 3})]), ("y", 0, "1", "b", None, None, "q", True, 0, [turn({"c": 4})])]
+    names = spark.createDataFrame([("a", "A"), ("b", "A"), ("a", "A")], "img_hash string, image_id string")
+    got = {r.dataset: r for r in files.translate_ids(spark.createDataFrame(rows, SESSIONS), names).collect()}
+    assert (got["x"].reference_image_id, got["x"].target_image_id, got["x"].ground_truth_ids) == ("A", "A", ["A", "c"])
+    # two contents with one name: the last rank stays
+    assert [t.gt_rankings for t in got["x"].turns] == [None, {"A": 2, "c": 3}]
+    assert (got["y"].reference_image_id, got["y"].turns[0].selected_image, got["y"].turns[0].gt_rankings) == ("A", "A", {"c": 4})
+
+
+def test_hash_lookups_without_sessions(spark):
+    none = spark.createDataFrame([], SESSIONS)
+    assert tuple(filters.hash_lookups(none, spark.createDataFrame([("a", "h")], "image_id string, img_hash string")).first()) == (0, 0, 0)

@@ -28,16 +28,22 @@ def last_rows(sessions: DataFrame) -> DataFrame:
     return last_by(sessions, "query_id", "pos")
 
 
+def last_row_facts(sessions: DataFrame) -> DataFrame:
+    """(query_id, multi_turn, original_query): of each id's last row, whether it succeeded after the first turn, and
+    whether its query isn't blank."""
+    last = last_rows(sessions.select("query_id", "pos", "success_turn", "original_query"))
+    asked = F.length(text.py_strip(F.coalesce("original_query", F.lit("")))) > 0
+    return last.select("query_id", (F.coalesce("success_turn", F.lit(0)) > 0).alias("multi_turn"), asked.alias("original_query"))
+
+
 def multi_turn(sessions: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids whose last row succeeded after the first turn."""
-    good = last_rows(sessions.select("query_id", "pos", "success_turn")).where(F.coalesce("success_turn", F.lit(0)) > 0)
-    return ids.join(good.select("query_id"), "query_id", "left_semi")
+    return ids.join(last_row_facts(sessions).where("multi_turn").select("query_id"), "query_id", "left_semi")
 
 
 def with_original_query(sessions: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids whose last row has a query that isn't blank."""
-    good = last_rows(sessions.select("query_id", "pos", "original_query")).where(F.length(text.py_strip(F.coalesce("original_query", F.lit("")))) > 0)
-    return ids.join(good.select("query_id"), "query_id", "left_semi")
+    return ids.join(last_row_facts(sessions).where("original_query").select("query_id"), "query_id", "left_semi")
 
 
 def rank_jumps(turns: DataFrame, margin: float = RANK_MARGIN) -> DataFrame:
@@ -57,9 +63,14 @@ def rank_consistent(turns: DataFrame, ids: DataFrame, margin: float = RANK_MARGI
 
     If no id has turns at all, all stay as they are.
     """
-    facts = rank_jumps(turns, margin).select("query_id", ((F.col("n_turns") > 1) & (F.coalesce("n_ranks", F.lit(0)) > 1) & (F.coalesce("jumps", F.lit(0)) == 0)).alias("__fine"))
-    seen = ids.join(facts, "query_id", "left")
-    return seen.where(F.coalesce("__fine", F.lit(True))).drop("__fine")
+    seen = ids.join(rank_facts(turns, margin), "query_id", "left")
+    return seen.where(F.coalesce("fine", F.lit(True))).drop("fine")
+
+
+def rank_facts(turns: DataFrame, margin: float = RANK_MARGIN) -> DataFrame:
+    """(query_id, fine): whether an id has at least two finite ranks and none grows by over ``margin``."""
+    fine = (F.col("n_turns") > 1) & (F.coalesce("n_ranks", F.lit(0)) > 1) & (F.coalesce("jumps", F.lit(0)) == 0)
+    return rank_jumps(turns, margin).select("query_id", fine.alias("fine"))
 
 
 def modification_texts(sessions: DataFrame) -> DataFrame:
@@ -98,6 +109,15 @@ def repeats_an_image(sessions: DataFrame, hashes: DataFrame) -> DataFrame:
     return twice.unionByName(as_ref).distinct()
 
 
+def hash_lookups(sessions: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(asked, found, failed): how many of the selected and reference images of all ids' last rows have a known content."""
+    last = last_rows(sessions.select("query_id", "pos", "reference_image_id", "turns"))
+    images = F.concat(F.array("reference_image_id"), F.transform("turns", lambda t: t["selected_image"]))
+    asked = last.select(F.explode(images).alias("image_id")).where("image_id IS NOT NULL")
+    got = asked.join(hashes.select("image_id", "img_hash").dropDuplicates(["image_id"]), "image_id", "left")
+    return got.agg(F.count(F.lit(1)).alias("asked"), F.count("img_hash").alias("found"), F.count_if(F.col("img_hash").isNull()).alias("failed"))
+
+
 def without_repeats(sessions: DataFrame, ids: DataFrame, hashes: DataFrame) -> DataFrame:
     return ids.join(repeats_an_image(sessions, hashes), "query_id", "left_anti")
 

@@ -56,8 +56,9 @@ def _values(queries: DataFrame) -> int:
     return got[0] * max(got[1] or 0, 1)
 
 
-def query_blocks(queries: DataFrame, block_values: int = BLOCK_VALUES) -> Iterator[tuple[list, np.ndarray]]:
-    """(ids, unit vectors) of at most ``block_values`` values at a time, so that a block's size is bounded."""
+def query_blocks(queries: DataFrame, block_values: int = BLOCK_VALUES, normalise: bool = True) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, vectors, of unit length with ``normalise``) of at most ``block_values`` values at a time, so that a block's size is bounded."""
+    as_asked = _unit if normalise else np.asarray
     ids: list = []
     rows: list = []
     size = 0
@@ -66,28 +67,29 @@ def query_blocks(queries: DataFrame, block_values: int = BLOCK_VALUES) -> Iterat
         rows.append(r[1])
         size += len(r[1])
         if size >= block_values:
-            yield ids, _unit(np.array(rows, np.float64))
+            yield ids, as_asked(np.array(rows, np.float64))
             ids, rows, size = [], [], 0
     if ids:
-        yield ids, _unit(np.array(rows, np.float64))
+        yield ids, as_asked(np.array(rows, np.float64))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vectors.TINY)
 
 
-def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int = BLOCK_VALUES) -> DataFrame:
+def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int = BLOCK_VALUES, normalise: bool = True) -> DataFrame:
     """(query_id, rank, corpus_idx, sim): a matrix product per Arrow batch and query block, then a merge of each task's best.
 
     Each task keeps ``k`` hits a query, so what is shuffled is tasks x queries x k, never all pairs. Products are made for
-    ``TILE_VALUES`` similarities at a time. Items without a vector are no hits.
+    ``TILE_VALUES`` similarities at a time. Items without a vector are no hits. Without ``normalise`` the similarity is the
+    plain product.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, corpus_idx long, sim double"
     parts = []
-    for ids, matrix in query_blocks(queries, block_values):
+    for ids, matrix in query_blocks(queries, block_values, normalise):
         shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-        parts.append(corpus.where("vec IS NOT NULL").select("corpus_idx", "vec").mapInArrow(_task_topk(shared, k), schema))
+        parts.append(corpus.where("vec IS NOT NULL").select("corpus_idx", "vec").mapInArrow(_task_topk(shared, k, normalise), schema))
     if not parts:
         return corpus.sparkSession.createDataFrame([], f"query_id {kind}, rank int, corpus_idx long, sim double")
     out = parts[0]
@@ -96,7 +98,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int =
     return _ranked(out, k)
 
 
-def _task_topk(shared, k: int):
+def _task_topk(shared, k: int, normalise: bool = True):
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
@@ -108,7 +110,8 @@ def _task_topk(shared, k: int):
             if not len(idx):
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            items = _unit(flat.reshape(len(idx), -1)).T
+            items = flat.reshape(len(idx), -1)
+            items = _unit(items).T if normalise else items.T
             sims_of, idx_of = [], []
             step = max(1, TILE_VALUES // len(idx))
             for at in range(0, n, step):

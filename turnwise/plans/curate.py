@@ -28,32 +28,49 @@ class Options:
     similarity: float = filters.SIMILARITY
 
 
+def _flagged(sessions: DataFrame, turns: DataFrame, encoded: DataFrame | None, hashes: DataFrame | None, o: Options, on: dict[str, bool]) -> DataFrame:
+    """(query_id, pos) of every row whose id is a number, with a flag for each stage that runs."""
+    out = sessions.where(filters.numeric_id(F.col("query_id")).isNotNull()).select("query_id", "pos", F.coalesce("success", F.lit(False)).alias("success"))
+    if on["multi_turn"] or on["original_query"]:
+        out = out.join(filters.last_row_facts(sessions), "query_id", "left")
+    if on["rank_margin"]:
+        facts = filters.rank_facts(turns, o.margin).select("query_id", F.col("fine").alias("rank_margin"))
+        out = out.join(facts, "query_id", "left").withColumn("rank_margin", F.coalesce("rank_margin", F.lit(True)))
+    if on["text_similarity"]:
+        out = _without(out, filters.too_alike(filters.modification_texts(sessions), encoded, o.similarity), "text_similarity")
+    if on["image_duplication"]:
+        out = _without(out, filters.repeats_an_image(sessions, hashes), "image_duplication")
+    return out
+
+
+def _without(rows: DataFrame, bad: DataFrame, stage: str) -> DataFrame:
+    """``rows`` with a flag that is false for the ids of ``bad``."""
+    return rows.join(bad.select("query_id", F.lit(False).alias(stage)), "query_id", "left").withColumn(stage, F.coalesce(stage, F.lit(True)))
+
+
 def curate(sessions: DataFrame, turns: DataFrame | None = None, encoded: DataFrame | None = None, hashes: DataFrame | None = None, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept sessions, stage log). The log is (stage, stage_no, entering, leaving, filtered_pct).
 
     ``turns`` defaults to the sessions' own; without ``encoded`` (text, vec) or ``hashes`` (image_id, img_hash) the stage
-    that needs them is left out. A stage that nothing enters isn't logged. Ids are cut once per stage, so each is
-    computed once; counts are one aggregation over small id lists.
+    that needs them is left out. A stage that nothing enters isn't logged. Each stage becomes a flag of an id; the flags
+    are joined once, cut once, and counted for all stages in one aggregation.
     """
     o = options or Options()
     turns = stats.turn_table(sessions).select("query_id", "turn", "pos", F.col("best_gt_rank").alias("rank")) if turns is None else turns
-    ids = sessions.where(filters.numeric_id(F.col("query_id")).isNotNull()).select("query_id", "pos")
-    steps = [
-        ("success", o.success, lambda i: filters.succeeded(sessions)),
-        ("multi_turn", o.multi_turn, lambda i: filters.multi_turn(sessions, i)),
-        ("original_query", o.original_query, lambda i: filters.with_original_query(sessions, i)),
-        ("rank_margin", o.rank_margin, lambda i: filters.rank_consistent(turns, i, o.margin)),
-        ("text_similarity", o.text_similarity and encoded is not None, lambda i: filters.diverse(sessions, i, encoded, o.similarity)),
-        ("image_duplication", o.image_duplication and hashes is not None, lambda i: filters.without_repeats(sessions, i, hashes)),
-    ]
+    on = {s: getattr(o, s) for s in STAGES}
+    on["text_similarity"] &= encoded is not None
+    on["image_duplication"] &= hashes is not None
+    flags = cut(_flagged(sessions, turns, encoded, hashes, o, on))
+    used = [s for s in STAGES if on[s]]
+    passed = [F.forall(F.array(*used[: i + 1]), lambda f: f) for i in range(len(used))]
+    counts = flags.agg(F.count(F.lit(1)), *[F.count_if(p) for p in passed]).first()
     log, entering = [], sessions.count()
-    for name, on, step in steps:
-        if not on or (log and entering == 0):
-            continue
-        ids = cut(step(ids).select("query_id", "pos"))
-        leaving = ids.count()
+    for name, leaving in zip(used, counts[1:], strict=True):
+        if log and entering == 0:
+            break
         log.append((name, len(log) + 1, entering, leaving))
         entering = leaving
+    ids = flags.where(passed[-1]) if used else flags
     kept = filters.materialise(sessions, ids)
     logged = sessions.sparkSession.createDataFrame(log, "stage string, stage_no int, entering long, leaving long")
     return kept, logged.select("*", ranks.percent(F.col("entering") - F.col("leaving"), F.col("entering")).alias("filtered_pct"))

@@ -16,7 +16,8 @@ from turnwise.functions import ranks, text, vectors
 from turnwise.operators import completeness, dedupe, feedback, filters, lookup, resume, search, stats
 from turnwise.operators import export as exporting
 from turnwise.plans import curate, simulate
-from turnwise.sources import annotations
+from turnwise.sources import annotations, captions, images
+from turnwise.sources import sessions as session_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -675,3 +676,164 @@ def rocchio_update(spark, sf_dir):
 def rocchio_research(spark, sf_dir):
     c, q = _moved(spark, sf_dir)
     return _hits(search.topk(q, c))
+
+
+# --- sources, captions, exports -----------------------------------------------------------------------------------
+
+
+def _hashed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.md5("text").alias("img_hash"))
+
+
+@query(
+    """WITH h AS (SELECT doc_id AS id, md5(text) AS h FROM documents), r AS (SELECT doc_id, doc_id + 40 AS ref, doc_id * 2 AS tgt FROM documents),
+n AS (SELECT 'r' AS k, doc_id, ref AS id FROM r UNION ALL SELECT 't', doc_id, tgt FROM r UNION ALL SELECT 'g0', doc_id, tgt FROM r UNION ALL SELECT 'g1', doc_id, doc_id + 7 FROM r),
+f AS (SELECT k, doc_id, coalesce(h.h, printf('%012d.jpg', n.id)) AS name FROM n LEFT JOIN h ON n.id = h.id)
+SELECT CAST(doc_id AS VARCHAR) AS query_id, max(name) FILTER (k = 'r') AS reference_image_id, max(name) FILTER (k = 't') AS target_image_id, string_agg(name, ',' ORDER BY k) FILTER (k LIKE 'g%') AS ground_truth_ids FROM f GROUP BY doc_id"""
+)
+def circo_annotations(spark, sf_dir):
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        d.alias("pos"), d.alias("id"), (d + 40).alias("reference_img_id"), (d * 2).alias("target_img_id"), F.array(d * 2, d + 7).alias("gt_img_ids"), F.col("source").alias("relative_caption"), F.col("lang").alias("shared_concept")
+    )
+    got = annotations.circo_queries(rows, _hashed_docs(spark, sf_dir))
+    return got.select("query_id", "reference_image_id", "target_image_id", F.array_join("ground_truth_ids", ",").alias("ground_truth_ids"))
+
+
+@query("SELECT doc_id AS pos, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id + 5 AS VARCHAR) WHEN doc_id % 2 <> 0 THEN CAST(doc_id AS VARCHAR) ELSE '0' END AS query_id, source AS reference_image_id, lang AS target_image_id, text AS relative_caption, coalesce(lang, '-') AS ground_truth_ids FROM documents")
+def cirr_annotations(spark, sf_dir):
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        d.alias("pos"), F.col("source").alias("reference"), F.col("lang").alias("target_hard"), F.col("text").alias("caption"), F.when(d % 3 != 0, d + 5).alias("pairid"), F.when(d % 2 != 0, d).alias("id")
+    )
+    return annotations.cirr_queries(rows).select("pos", "query_id", "reference_image_id", "target_image_id", "relative_caption", F.array_join("ground_truth_ids", ",", "-").alias("ground_truth_ids"))
+
+
+@query("SELECT printf('%06d.jpg', doc_id) AS image_key, CASE WHEN doc_id % 2 = 0 THEN 'later' WHEN doc_id % 3 = 0 THEN 'earlier' ELSE text END AS caption FROM documents")
+def reference_captions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    named = lambda step, said: d.where(F.col("doc_id") % step == 0).select(text.padded_id(F.col("doc_id"), 6, ".jpg").alias("image_key"), F.lit(said).alias("caption"))
+    coco = d.select(F.col("doc_id").alias("image_id"), F.col("text").alias("caption"))
+    return captions.reference_captions([named(3, "earlier"), named(2, "later")], coco)
+
+
+def _named_vectors(spark: SparkSession, sf_dir: str, distinct: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    key = F.concat(F.lit("a/b/"), (F.col("vec_id") % distinct).cast("string"), F.lit(".png"))
+    return e.select(key.alias("image_key"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+
+
+@query("SELECT CAST(vec_id % 97 AS VARCHAR) AS image_key, vec_id AS pos FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 97 ORDER BY vec_id DESC) = 1")
+def caption_feature_stems(spark, sf_dir):
+    return captions.by_stem(_named_vectors(spark, sf_dir, 97)).select("image_key", "pos")
+
+
+@query(
+    """WITH s AS (SELECT vec_id % 97 AS k, embedding[1] AS x FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 97 ORDER BY vec_id DESC) = 1)
+SELECT CAST(k AS VARCHAR) AS image_key, round(x::DOUBLE, 6) AS x FROM s UNION ALL SELECT concat(k, '.jpg'), round(x::DOUBLE, 6) FROM s
+UNION ALL SELECT md5(concat('h', doc_id)), round(x::DOUBLE, 6) FROM s JOIN documents ON doc_id = k"""
+)
+def feature_aliases(spark, sf_dir):
+    hashes = table(spark, sf_dir, "documents").select(text.padded_id(F.col("doc_id"), 12, ".jpg").alias("image_id"), F.md5(F.concat(F.lit("h"), F.col("doc_id").cast("string"))).alias("img_hash"))
+    got = captions.with_aliases(_named_vectors(spark, sf_dir, 97), hashes)
+    return got.select("image_key", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("x"))
+
+
+@query(
+    """WITH t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN concat(doc_id, '.jpg') ELSE CAST(doc_id AS VARCHAR) END AS k, n_chars FROM documents WHERE doc_id % 5 <> 0)
+SELECT concat('x/', doc_id, '.png') AS id, k AS matched, t.n_chars FROM documents AS d LEFT JOIN t ON k = CAST(doc_id AS VARCHAR)"""
+)
+def caption_feature_lookup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = F.col("doc_id").cast("string")
+    ids = d.select(F.concat(F.lit("x/"), s, F.lit(".png")).alias("id"))
+    t = d.where("doc_id % 5 <> 0").select(F.when(F.col("doc_id") % 3 == 0, F.concat(s, F.lit(".jpg"))).otherwise(s).alias("k"), "n_chars")
+    return lookup.first_match(ids, "id", lookup.caption_spellings(F.col("id")), t, "k").select("id", "matched", "n_chars")
+
+
+@query("SELECT vec_id AS corpus_idx FROM embeddings WHERE vec_id % 4 <> 1 AND (vec_id % 3 <> 0 OR vec_id % 2 = 0)")
+def search_space_by_hash(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("corpus_idx"), F.md5(F.col("vec_id").cast("string")).alias("img_hash"))
+    space = e.where("corpus_idx % 4 <> 1")
+    known = e.where("corpus_idx % 3 = 0").select("img_hash", F.col("corpus_idx").cast("string").alias("image_id"))
+    return search.restrict_by_hash(e, space, known, e.where("corpus_idx % 2 = 0").select(F.col("corpus_idx").cast("string").alias("image_id"))).select("corpus_idx")
+
+
+@query("WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE concat('n', doc_id) END AS id, md5(text) AS img_hash FROM documents) SELECT id AS image_id, img_hash FROM s UNION SELECT concat(id, '.jpg'), img_hash FROM s UNION SELECT printf('%012d.jpg', doc_id), img_hash FROM s WHERE doc_id % 2 = 0")
+def image_hash_spellings(spark, sf_dir):
+    s = F.col("image_id").cast("string")
+    named = _hashed_docs(spark, sf_dir).select(F.when(F.col("image_id") % 2 == 0, s).otherwise(F.concat(F.lit("n"), s)).alias("image_id"), "img_hash")
+    return images.id_hashes(named)
+
+
+@query("SELECT lang, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS indices FROM documents GROUP BY lang")
+def index_lists(spark, sf_dir):
+    return stats.index_lists(table(spark, sf_dir, "documents"), "lang", "doc_id").select("lang", F.array_join("indices", ",").alias("indices"))
+
+
+@query("SELECT count(*) FILTER (doc_id + 1 IN (SELECT doc_id FROM labels)) AS found, count(*) FILTER (doc_id + 1 NOT IN (SELECT doc_id FROM labels)) AS missing FROM documents")
+def found_and_missing(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("image_id"))
+    return images.found_and_missing(ids, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id")))
+
+
+@query("SELECT vec_id FROM embeddings WHERE md5(CAST(vec_id AS VARCHAR)) IN (SELECT md5(CAST(doc_id AS VARCHAR)) FROM documents WHERE lang = 'en' AND doc_id % 2 = 0)")
+def features_of_category(spark, sf_dir):
+    listed = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.lit("val")).otherwise(F.lit("train")).alias("split"), F.col("lang").alias("category"), F.md5(F.col("doc_id").cast("string")).alias("img_hash"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.md5(F.col("vec_id").cast("string")).alias("img_hash"))
+    return captions.features_of(e, listed, "val", "en").select("vec_id")
+
+
+@query(_PUBLIC + " SELECT (SELECT count(*) FROM sess) AS sessions, count(*) AS turns FROM p")
+def export_totals(spark, sf_dir):
+    return exporting.export_totals(exporting.public_sessions(sessions(spark, sf_dir), "conv"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, concat('"', lang, chr(39)) AS quoted, concat('cir_', lang, '_val') AS name, md5(text) AS h FROM documents)
+SELECT doc_id, trim(quoted, concat('"', chr(39))) AS unquoted, printf('%012d.jpg', doc_id) AS long_name, printf('%04d', doc_id) AS short_name, split_part(name, '_', 2) AS dataset, concat(substr(h, 1, 8), '...') AS digest FROM d"""
+)
+def text_forms(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    return d.select(
+        "doc_id",
+        text.trim_quotes(F.concat(F.lit('"'), F.coalesce("lang", F.lit("")), F.lit("'"))).alias("unquoted"),
+        text.padded_id(n, 12, ".jpg").alias("long_name"),
+        text.padded_id(n, 4).alias("short_name"),
+        text.dataset_of(F.concat(F.lit("cir_"), F.coalesce("lang", F.lit("")), F.lit("_val"))).alias("dataset"),
+        F.concat(F.substring(F.coalesce(F.md5("text"), F.lit("")), 1, 8), F.lit("...")).alias("digest"),
+    )
+
+
+@query(
+    f"""WITH {SESS}, names AS (SELECT concat('d', doc_id) AS k, concat('file', doc_id) AS v FROM documents WHERE doc_id % 3 <> 0),
+t AS (SELECT conv_id, i, selected_image FROM flat) SELECT CAST(t.conv_id AS VARCHAR) AS query_id, CAST(i AS INTEGER) AS i, coalesce(r.v, reference_image_id) AS reference_image_id, coalesce(s.v, selected_image) AS selected_image, coalesce(s.v, selected_image) AS ranked
+FROM t JOIN sess ON t.conv_id = sess.conv_id LEFT JOIN names AS r ON r.k = reference_image_id LEFT JOIN names AS s ON s.k = selected_image"""
+)
+def translated_ids(spark, sf_dir):
+    shown = lambda t: F.when(t["selected_image"].isNotNull(), F.create_map(t["selected_image"], F.lit(1)))
+    found = F.array().cast("array<struct<id:string,score:double>>")
+    s = sessions(spark, sf_dir).withColumn("turns", F.transform("turns", lambda t: t.withField("search_results", found).withField("gt_rankings", shown(t))))
+    names = doc_hashes(spark, sf_dir).where("CAST(substr(image_id, 2) AS BIGINT) % 3 <> 0").select(F.col("image_id").alias("img_hash"), F.concat(F.lit("file"), F.substring("image_id", 2, 20)).alias("image_id"))
+    got = session_files.translate_ids(s, names).select("query_id", "reference_image_id", F.posexplode("turns").alias("i", "t"))
+    return got.select("query_id", "i", "reference_image_id", F.col("t.selected_image").alias("selected_image"), F.get(F.map_keys("t.gt_rankings"), F.lit(0)).alias("ranked"))
+
+
+@query(
+    f"""WITH {SESS}, h AS (SELECT concat('d', doc_id) AS k FROM documents WHERE text IS NOT NULL), a AS (SELECT reference_image_id AS k FROM sess UNION ALL SELECT selected_image FROM flat WHERE selected_image IS NOT NULL)
+SELECT count(*) AS asked, count(*) FILTER (k IN (SELECT k FROM h)) AS found, count(*) FILTER (k NOT IN (SELECT k FROM h)) AS failed FROM a"""
+)
+def hash_lookups(spark, sf_dir):
+    return filters.hash_lookups(sessions(spark, sf_dir), doc_hashes(spark, sf_dir))
+
+
+@query(
+    """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_idx, list_dot_product(q.v, c.v) * (1 + c.vec_id % 3) AS sim FROM u AS q JOIN u AS c ON q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, round(sim, 4) AS sim FROM s QUALIFY rank <= 10"""
+)
+def topk_product(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    longer = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (1 + F.col("vec_id") % 3))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return search.topk(q, e.select(F.col("vec_id").alias("corpus_idx"), longer.alias("vec")), normalise=False).withColumn("sim", F.round("sim", 4))

@@ -66,6 +66,14 @@ def read_features(spark: SparkSession, path: str, dataset: str | None = None, mo
     return df
 
 
+def features_of(features: DataFrame, images: DataFrame, split: str | None = None, category: str | None = None) -> DataFrame:
+    """The ``features`` (img_hash, ...) of the images (split, category, img_hash) of a split or category."""
+    for name, value in (("split", split), ("category", category)):
+        if value is not None:
+            images = images.where(F.col(name) == value)
+    return features.join(images.select("img_hash"), "img_hash", "left_semi")
+
+
 def feature_width(features: DataFrame) -> int | None:
     """The width that vectors have, measured."""
     got = features.select(F.size("vec")).limit(1).collect()

@@ -107,7 +107,10 @@ def as_base64(files: DataFrame) -> DataFrame:
 
 
 def reencode(files: DataFrame, size: int = 512, quality: int = 75) -> DataFrame:
-    """(path, encoded): pictures on white, at most ``size`` wide and high, as JPEG in base 64. Needs Pillow on the executors."""
+    """(path, encoded, decode_ok): pictures on white, at most ``size`` wide and high, as JPEG in base 64.
+
+    A picture that can't be decoded has a null ``encoded`` and a false ``decode_ok``. Needs Pillow on the executors.
+    """
     import pandas as pd
 
     def run(batches):
@@ -119,13 +122,17 @@ def reencode(files: DataFrame, size: int = 512, quality: int = 75) -> DataFrame:
         for batch in batches:
             out = []
             for content in batch["content"]:
-                picture = Image.open(io.BytesIO(content)).convert("RGBA")
+                try:
+                    picture = Image.open(io.BytesIO(content)).convert("RGBA")
+                except (OSError, SyntaxError, ValueError):  # what Pillow raises for broken files
+                    out.append(None)
+                    continue
                 flat = Image.new("RGB", picture.size, (255, 255, 255))
                 flat.paste(picture, mask=picture.getchannel("A"))
                 flat.thumbnail((size, size), Image.LANCZOS)
                 buffer = io.BytesIO()
                 flat.save(buffer, "JPEG", quality=quality)
                 out.append(base64.b64encode(buffer.getvalue()).decode())
-            yield pd.DataFrame({"path": batch["path"], "encoded": out})
+            yield pd.DataFrame({"path": batch["path"], "encoded": out, "decode_ok": [x is not None for x in out]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, encoded string")
+    return files.select("path", "content").mapInPandas(run, "path string, encoded string, decode_ok boolean")

@@ -40,26 +40,28 @@ def read_written(spark: SparkSession, path: str) -> DataFrame:
 def translate_ids(sessions: DataFrame, hashes: DataFrame) -> DataFrame:
     """Content hashes as file ids in all six places of a session; unknown ones stay. ``hashes`` (img_hash, image_id).
 
-    The ids of a session become rows, meet the table in one join and return as one small map per session.
+    The ids of a session become rows, meet the table in one join and return as one small map per session. Sessions are told
+    apart by dataset and ``pos``; of several hashes with one file id, the last ranking of a turn stays.
     """
-    ids = F.array_distinct(
-        F.array_compact(
-            F.concat(
-                F.array("reference_image_id", "target_image_id"),
-                F.coalesce("ground_truth_ids", F.array().cast("array<string>")),
-                F.flatten(F.transform("turns", lambda t: F.concat(F.array(t["selected_image"]), F.transform(t["search_results"], lambda h: h["id"]), F.map_keys(t["gt_rankings"])))),
-            )
-        )
-    )
-    used = sessions.select("pos", F.explode(ids).alias("img_hash")).join(hashes.select("img_hash", "image_id").dropDuplicates(["img_hash"]), "img_hash")
-    maps = used.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("img_hash", "image_id"))).alias("__m"))
-    got = sessions.join(maps, "pos", "left").withColumn("__m", F.coalesce("__m", F.create_map().cast("map<string,string>")))
+    strings = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    of_turn = lambda t: F.concat(F.array(t["selected_image"]), strings(F.transform(t["search_results"], lambda h: h["id"])), strings(F.map_keys(t["gt_rankings"])))
+    in_turns = strings(F.flatten(F.transform("turns", of_turn)))
+    ids = F.array_distinct(F.array_compact(F.concat(F.array("reference_image_id", "target_image_id"), strings(F.col("ground_truth_ids")), in_turns)))
+    used = sessions.select("dataset", "pos", F.explode(ids).alias("img_hash")).distinct().join(hashes.select("img_hash", "image_id").dropDuplicates(["img_hash"]), "img_hash")
+    maps = used.groupBy(F.col("dataset").alias("__dataset"), F.col("pos").alias("__pos")).agg(F.map_from_entries(F.collect_list(F.struct("img_hash", "image_id"))).alias("__m"))
+    same = F.col("dataset").eqNullSafe(F.col("__dataset")) & (F.col("pos") == F.col("__pos"))
+    got = sessions.join(maps, same, "left").drop("__dataset", "__pos").withColumn("__m", F.coalesce("__m", F.create_map().cast("map<string,string>")))
     named = lambda x: F.coalesce(F.try_element_at(F.col("__m"), x), x)
 
+    def rankings(ranks):
+        told = F.transform(F.map_entries(ranks), lambda e: F.struct(named(e["key"]).alias("key"), e["value"].alias("value")))
+        later = lambda e, i: F.exists(F.slice(told, i + 2, F.size(told)), lambda x: x["key"] == e["key"])
+        return F.map_from_entries(F.filter(told, lambda e, i: ~later(e, i)))
+
     def turn(t):
         t = t.withField("selected_image", named(t["selected_image"]))
         t = t.withField("search_results", F.transform(t["search_results"], lambda h: h.withField("id", named(h["id"]))))
-        return t.withField("gt_rankings", F.transform_keys(t["gt_rankings"], lambda k, _: named(k)))
+        return t.withField("gt_rankings", rankings(t["gt_rankings"]))
 
     return got.withColumns(
         {
