@@ -52,10 +52,11 @@ def curate(sessions: DataFrame, turns: DataFrame | None = None, encoded: DataFra
     """(kept sessions, stage log). The log is (stage, stage_no, entering, leaving, filtered_pct).
 
     ``turns`` defaults to the sessions' own; without ``encoded`` (text, vec) or ``hashes`` (image_id, img_hash) the stage
-    that needs them is left out. A stage that nothing enters isn't logged. Each stage becomes a flag of an id; the flags
+    that needs them is left out. A stage that nothing enters isn't logged. Sessions are cut once; each stage becomes a flag of an id; the flags
     are joined once, cut once, and counted for all stages in one aggregation.
     """
     o = options or Options()
+    sessions = cut(sessions)
     turns = stats.turn_table(sessions).select("query_id", "turn", "pos", F.col("best_gt_rank").alias("rank")) if turns is None else turns
     on = {s: getattr(o, s) for s in STAGES}
     on["text_similarity"] &= encoded is not None
