@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from turnwise.functions import vectors
-from turnwise.operators import dedupe, lookup, resume, search
-from turnwise.plans import models, refresh, simulate
+from turnwise.operators import dedupe, feedback, lookup, resume, search
+from turnwise.plans import instructions, models, refresh, simulate
 from turnwise.sources import annotations, captions, images
 from turnwise.streaming import incremental
 
@@ -158,3 +158,40 @@ def test_stream_appends_once(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], "id long, v string").write.mode("append").parquet(src)
     incremental.append_new(incremental.new_files(spark, src, "id long, v string"), out, "id", ck).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_evaluation_tells_new_changes_and_lists_errors(spark):
+    rng = np.random.default_rng(1)
+    enc = models.hashing_encoder(16)
+    words = ["red", "blue", "long", "short", "dress", "shirt", "dots", "stripes"]
+    captions = [(i, " ".join(rng.choice(words, 4, replace=False))) for i in range(30)]
+    captions[7] = (7, None)
+    text = spark.createDataFrame(captions, "corpus_idx long, caption string")
+    c = spark.createDataFrame([(i, enc([t or "none"])[0].tolist()) for i, t in captions], "corpus_idx long, vec array<double>")
+    q = spark.createDataFrame([(1, 1, 20), (2, 2, 21), (3, 3, 99), (4, 98, 5), (5, 5, 7)], "query_id long, reference long, target long")
+    q = q.join(c.toDF("reference", "vec"), "reference", "left").select("query_id", "vec", "reference", "target")
+    tells = instructions.Instructions(text, lambda: models.hashing_encoder(16), lambda base, goal, before, i: instructions.suggest_words(base, goal, before, i) if goal else "")
+    turns, errors = simulate.evaluate(q, c, q.select("query_id", F.col("target").alias("gt_idx")), c, tells, done=q.where("query_id = 2"), max_turns=2, k=5)
+    wrong = {r.query_id: r.error for r in errors.collect()}
+    ran = {r.query_id for r in turns.collect()}
+    assert wrong[3] == "target not in the corpus" and wrong[4] == "reference not in the corpus"
+    assert ran | set(wrong) == {1, 3, 4, 5} and not ran & set(wrong)
+    assert 1 in ran
+    assert (5 in wrong) == (5 not in ran)
+    told = tells.said.where("query_id = 1").orderBy("turn").collect() if tells.said is not None else []
+    changed = [set(r.instruction.split()) - {"with"} for r in told]
+    goal = set(captions[20][1].split())
+    assert all(x <= goal for x in changed)
+
+
+def test_used_content_is_not_chosen_again(spark):
+    v = [[1.0, 0.0], [0.9, 0.1], [0.8, 0.2], [0.0, 1.0]]
+    c = spark.createDataFrame(list(enumerate(v)), "corpus_idx long, vec array<double>")
+    shown = spark.createDataFrame([(1, r + 1, i) for r, i in enumerate([0, 1, 2])], "query_id long, rank int, corpus_idx long")
+    used = spark.createDataFrame([(1, 0)], "query_id long, corpus_idx long")
+    target = spark.createDataFrame([(1, 0)], "query_id long, target long")
+    hashes = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "corpus_idx long, img_hash string")
+    pick = lambda **k: [r.selected for r in feedback.select_candidate(shown, used, target, c, **k).collect()]
+    assert pick() == [1]
+    assert pick(hashes=hashes) == [2]
+    assert pick(hashes=hashes.where("corpus_idx = 9")) == [1]

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from turnwise.functions import vectors
 
 
-def select_candidate(shown: DataFrame, used: DataFrame, targets: DataFrame, captions: DataFrame, id_col: str = "corpus_idx") -> DataFrame:
+def select_candidate(shown: DataFrame, used: DataFrame, targets: DataFrame, captions: DataFrame, id_col: str = "corpus_idx", hashes: DataFrame | None = None) -> DataFrame:
     """(query_id, selected, caption_sim): of the shown items not used yet, the one whose caption is most like the target's.
 
     ``shown`` (query_id, rank, id), ``used`` (query_id, id), ``targets`` (query_id, target id), ``captions`` (id, vec).
     Items without a caption vector, or with a cosine of -1 or less, can't be chosen; ties go to the better rank.
-    Queries without a candidate give no row.
+    Queries without a candidate give no row. With ``hashes`` (id, img_hash) an item is used once any item of its content
+    is; items without a hash go by their id.
     """
-    free = shown.select("query_id", "rank", F.col(id_col).alias("id")).join(used.select("query_id", F.col(id_col).alias("id")), ["query_id", "id"], "left_anti")
+    free, taken = shown.select("query_id", "rank", F.col(id_col).alias("id")), used.select("query_id", F.col(id_col).alias("id"))
+    if hashes is None:
+        free = free.join(taken, ["query_id", "id"], "left_anti")
+    else:
+        known = hashes.where("img_hash IS NOT NULL").groupBy(F.col(id_col).alias("id")).agg(F.min("img_hash").alias("h"))
+        content = F.coalesce(F.concat(F.lit("#"), "h"), F.concat(F.lit("="), F.col("id").cast("string"))).alias("content")
+        taken = taken.join(known, "id", "left").select("query_id", content)
+        free = free.join(known, "id", "left").select("query_id", "rank", "id", content).join(taken, ["query_id", "content"], "left_anti")
     cap = captions.select(F.col(id_col).alias("id"), F.col("vec").alias("c_vec"))
     goal = targets.join(captions.select(F.col(id_col).alias("target"), F.col("vec").alias("t_vec")), "target").select("query_id", "t_vec")
     scored = free.join(cap, "id").join(goal, "query_id").select("query_id", "rank", "id", vectors.cosine(F.col("c_vec"), F.col("t_vec")).alias("caption_sim"))

@@ -61,6 +61,10 @@ def difference_text(selected: Column, target: Column) -> Column:
     return F.when(F.size(new) > 0, F.concat(F.lit("with "), F.array_join(new, " "))).otherwise(target)
 
 
+class NoSuggestion(ValueError):
+    """The last try gave no text."""
+
+
 def distinct_difference(make: Callable[[int], str], previous: list[np.ndarray], encode: Callable[[str], np.ndarray], least: float = 0.8, tries: int = 3) -> str:
     """The first of up to ``tries`` suggestions that is less like each of ``previous`` than ``least``.
 
@@ -71,7 +75,7 @@ def distinct_difference(make: Callable[[int], str], previous: list[np.ndarray],
         text = make(attempt)
         if not text:
             if attempt + 1 == tries:
-                raise ValueError("no suggestion")
+                raise NoSuggestion("no suggestion")
             continue
         v = encode(text)
         if all(float(v @ p) < least for p in previous):

@@ -14,12 +14,13 @@ from turnwise.operators.durable import cut
 Texts = Callable[[DataFrame, int], DataFrame]
 
 
-def simulate(queries: DataFrame, corpus: DataFrame, truths: DataFrame, captions: DataFrame, texts: Texts, max_turns: int = 5, k: int = ranks.TOP_K) -> DataFrame:
+def simulate(queries: DataFrame, corpus: DataFrame, truths: DataFrame, captions: DataFrame, texts: Texts, max_turns: int = 5, k: int = ranks.TOP_K, hashes: DataFrame | None = None) -> DataFrame:
     """(query_id, turn, best_gt_rank, selected, found): one row per session and turn; ``found`` ends a session.
 
     ``queries`` (query_id, vec, reference, target), ``corpus`` and ``captions`` (corpus_idx, vec), ``truths``
     (query_id, gt_idx). ``texts`` gives (query_id, t_vec) for the (query_id, selected, target) of a turn. A session whose
-    candidates run out is left out altogether. State is cut every turn: a lost executor costs one turn at most.
+    candidates run out, or that gets no text, is left out altogether. ``hashes`` (corpus_idx, img_hash) keep copies of
+    used items from being chosen. State is cut every turn: a lost executor costs one turn at most.
     """
     state = cut(queries.select("query_id", "vec", "target"))
     used = cut(queries.select("query_id", F.col("reference").cast("long").alias("corpus_idx")))
@@ -38,12 +39,12 @@ def simulate(queries: DataFrame, corpus: DataFrame, truths: DataFrame, captions:
         if turn == max_turns or going.isEmpty():
             break
         shown = shown.join(going.select("query_id"), "query_id", "left_semi")
-        picked = cut(feedback.select_candidate(shown, used, going.select("query_id", F.col("target")), captions).select("query_id", "selected"))
-        lost = going.select("query_id").join(picked, "query_id", "left_anti")
-        failed = lost if failed is None else failed.unionByName(lost)
-        going = going.join(picked.select("query_id"), "query_id", "left_semi")
+        picked = cut(feedback.select_candidate(shown, used, going.select("query_id", F.col("target")), captions, hashes=hashes).select("query_id", "selected"))
         means = feedback.others_mean(shown, picked, corpus)
-        said = texts(picked.join(going.select("query_id", "target"), "query_id"), turn)
+        said = cut(texts(picked.join(going.select("query_id", "target"), "query_id"), turn).where("t_vec IS NOT NULL"))
+        lost = going.select("query_id").join(said.select("query_id"), "query_id", "left_anti")
+        failed = lost if failed is None else failed.unionByName(lost)
+        going = going.join(said.select("query_id"), "query_id", "left_semi")
         moved = feedback.update_queries(going, picked, means, said, corpus)
         state = cut(moved.join(going.select("query_id", "target"), "query_id").select("query_id", "vec", "target"))
         used = cut(used.unionByName(picked.select("query_id", F.col("selected").alias("corpus_idx"))))
@@ -55,3 +56,28 @@ def outcomes(turns: DataFrame) -> DataFrame:
     return turns.groupBy("query_id").agg(
         F.bool_or("found").alias("success"), F.coalesce(F.min(F.when(F.col("found"), F.col("turn"))), F.lit(-1)).alias("success_turn"), F.count(F.lit(1)).alias("n_turns")
     )
+
+
+def split_runnable(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries that can run, skipped): ``skipped`` (query_id, error) are those whose reference or target isn't in the corpus."""
+    there = corpus.select(F.col("corpus_idx").alias("__id"), F.lit(True).alias("__there")).distinct()
+    got = queries
+    for column in ("reference", "target"):
+        got = got.join(there.toDF("__id", f"__{column}"), F.col(column) == F.col("__id"), "left").drop("__id")
+    error = F.when(F.col("__reference").isNull(), F.lit("reference not in the corpus")).when(F.col("__target").isNull(), F.lit("target not in the corpus"))
+    got = got.withColumn("__error", error)
+    return got.where("__error IS NULL").select(*queries.columns), got.where("__error IS NOT NULL").select("query_id", F.col("__error").alias("error"))
+
+
+def evaluate(queries: DataFrame, corpus: DataFrame, truths: DataFrame, captions: DataFrame, texts: Texts, done: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(turns, errors) of the sessions that aren't in ``done`` (query_id) yet.
+
+    Every session is either in ``turns``, whole, or in ``errors`` (query_id, error): nothing stops the other sessions.
+    """
+    if done is not None:
+        queries = queries.join(done.select("query_id").distinct(), "query_id", "left_anti")
+    runnable, skipped = split_runnable(queries, corpus)
+    runnable = cut(runnable)
+    turns = cut(simulate(runnable, corpus, truths, captions, texts, **options))
+    ended = runnable.select("query_id").join(turns.select("query_id").distinct(), "query_id", "left_anti")
+    return turns, skipped.unionByName(ended.withColumn("error", F.lit("no candidate or no text")))

@@ -629,11 +629,11 @@ def _mixed_texts(corpus: DataFrame):
     return texts
 
 
-def _simulated(spark: SparkSession, sf_dir: str, turns: int) -> DataFrame:
+def _simulated(spark: SparkSession, sf_dir: str, turns: int, hashed: bool = False) -> DataFrame:
     c = _corpus(spark, sf_dir).drop("label")
     target = (F.col("query_id") * 37 + 11) % 500
     q = _probes(_corpus(spark, sf_dir)).select("query_id", "vec", F.col("query_id").alias("reference"), target.alias("target"))
-    return simulate.simulate(q, c, q.select("query_id", F.col("target").alias("gt_idx")), c, _mixed_texts(c), turns)
+    return simulate.simulate(q, c, q.select("query_id", F.col("target").alias("gt_idx")), c, _mixed_texts(c), turns, hashes=c.select("corpus_idx", (F.col("corpus_idx") % 7).cast("string").alias("img_hash")) if hashed else None)
 
 
 @query(_sim_sql(3))
@@ -649,6 +649,18 @@ def select_candidate(spark, sf_dir):
     return _simulated(spark, sf_dir, 1).where("turn = 1").select("query_id", "selected")
 
 
+@query(_ONE + " SELECT s.query_id, arg_max(s.id, {'a': list_dot_product(s.cv, g.v), 'b': -s.rank}) AS selected FROM s0 AS s JOIN q0 AS q ON s.query_id = q.query_id JOIN t0 AS t ON t.query_id = q.query_id AND NOT t.found JOIN u AS g ON g.vec_id = q.target WHERE s.rank <= 10 AND s.id % 7 <> q.query_id % 7 GROUP BY 1")
+def select_candidate_by_hash(spark, sf_dir):
+    return _simulated(spark, sf_dir, 1, hashed=True).where("turn = 1").select("query_id", "selected")
+
+
+@query("SELECT vec_id AS query_id, 'target not in the corpus' AS error FROM embeddings WHERE vec_id * 3 NOT IN (SELECT vec_id FROM embeddings)")
+def simulation_skips(spark, sf_dir):
+    c = _corpus(spark, sf_dir)
+    q = c.select(F.col("corpus_idx").alias("query_id"), F.col("corpus_idx").alias("reference"), (F.col("corpus_idx") * 3).alias("target"))
+    return simulate.split_runnable(q, c)[1]
+
+
 def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(corpus, queries after one update towards the second-ranked item)."""
     c = _corpus(spark, sf_dir).drop("label")
