@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import fingerprints, html_text, langid, license_scan, media, near_dedup, packing, pii, secret_scan, spm
+from turnwise.llm import fingerprints, html_text, langid, license_scan, media, near_dedup, packing, pii, secret_scan, spm, token_align
 from turnwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_corpus(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_html_extraction": op10_html_extraction,
+        "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
     }
 
 
