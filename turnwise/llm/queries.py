@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import fingerprints, html_text, langid, license_scan, media, near_dedup, packing, pii, secret_scan, spm, token_align
+from turnwise.llm import fingerprints, html_text, langid, license_scan, media, merkle, near_dedup, packing, pii, secret_scan, spm, token_align, toxicity
 from turnwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_corpus(table(spark, sf_dir, "documents"))
 
@@ -73,10 +81,12 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_html_extraction": op10_html_extraction,
+        "op11_toxicity": op11_toxicity,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the licence scan is plain SQL; the others train models, or need hashes and vocabularies that DuckDB lacks."""
-    return {"op4_license_scans": license_scan.duckdb_sql()}
+    """The licence scan and the manifest are plain SQL; the others train models, or need hashes and vocabularies that DuckDB lacks."""
+    return {"op4_license_scans": license_scan.duckdb_sql(), "op12_merkle_manifest": merkle.duckdb_sql()}
