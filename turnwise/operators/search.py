@@ -1,8 +1,15 @@
-"""Exact cosine search with deterministic ranks, and ranks of ground truths."""
+"""Exact cosine search with deterministic ranks, and ranks of ground truths.
+
+Both are a product of matrices in blocks. Queries are packed into blocks and the corpus into parts, each a row with a
+matrix of bounded size; blocks and parts meet in one equi-join, and a task keeps the best hits of the blocks that it is working
+on. Queries of a checked size are broadcast, so the corpus is read where it lies; beyond it, parts are dealt
+out to groups once and every group gets all blocks. Nothing is streamed through the driver, and the corpus is read once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -10,10 +17,16 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import vectors
 
-#: Query values (rows x dimensions) of one block: 64 MB in double.
-BLOCK_VALUES = 8_000_000
-#: Similarities of one product, so that a full block times an Arrow batch stays small.
+#: Values (rows x dimensions) of a block of queries, of a part of the corpus, and of all queries that are broadcast: 8, 4 and 64 MB.
+BLOCK_VALUES = 1_000_000
+PART_VALUES = 500_000
+BROADCAST_VALUES = 8_000_000
+#: Similarities of one product.
 TILE_VALUES = 4_000_000
+#: Hits that a task keeps before it hands them on.
+KEPT_HITS = 8_000_000
+#: Similarities as near as this to each other are ties.
+EPSILON = 1e-12
 
 
 def restrict(corpus: DataFrame, space: DataFrame | None = None, files: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
@@ -32,17 +45,17 @@ def restrict_by_hash(corpus: DataFrame, space: DataFrame, metadata: DataFrame, f
     return got.where("__id IS NULL OR __there").drop("__id", "__there")
 
 
-def topk_sql(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, corpus_idx, sim) by expressions alone; for query tables small enough to broadcast.
-
-    Beyond ``BLOCK_VALUES`` query values :func:`topk` takes over, which works in blocks.
-    """
-    if _values(queries) > BLOCK_VALUES:
-        return topk(queries, corpus, k)
-    q = queries.select("query_id", vectors.normalised(F.col("vec")).alias("__q"))
+def topk_sql(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int = BROADCAST_VALUES) -> DataFrame:
+    """(query_id, rank, corpus_idx, sim) by expressions alone, for few queries: each block of them is broadcast and scans the corpus."""
+    q = queries.where("vec IS NOT NULL").select("query_id", vectors.normalised(F.col("vec")).alias("__q"))
     c = corpus.where("vec IS NOT NULL").select("corpus_idx", vectors.normalised(F.col("vec")).alias("__c"))
-    sims = c.crossJoin(F.broadcast(q)).select("query_id", "corpus_idx", vectors.dot(F.col("__q"), F.col("__c")).alias("sim"))
-    return _ranked(sims, k)
+    blocks = -(-_values(queries) // block_values)
+    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [q]
+    out = None
+    for part in parts:
+        sims = c.crossJoin(F.broadcast(part)).select("query_id", "corpus_idx", vectors.dot(F.col("__q"), F.col("__c")).alias("sim"))
+        out = sims if out is None else out.unionByName(sims)
+    return _ranked(out, k)
 
 
 def _ranked(sims: DataFrame, k: int) -> DataFrame:
@@ -52,146 +65,201 @@ def _ranked(sims: DataFrame, k: int) -> DataFrame:
 
 
 def _values(queries: DataFrame) -> int:
-    got = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    got = queries.agg(F.count("vec"), F.max(F.size("vec"))).first()
     return got[0] * max(got[1] or 0, 1)
 
 
-def query_blocks(queries: DataFrame, block_values: int = BLOCK_VALUES, normalise: bool = True) -> Iterator[tuple[list, np.ndarray]]:
-    """(ids, vectors, of unit length with ``normalise``) of at most ``block_values`` values at a time, so that a block's size is bounded."""
-    as_asked = _unit if normalise else np.asarray
-    ids: list = []
-    rows: list = []
-    size = 0
-    for r in queries.select("query_id", "vec").toLocalIterator(prefetchPartitions=True):
-        ids.append(r[0])
-        rows.append(r[1])
-        size += len(r[1])
-        if size >= block_values:
-            yield ids, as_asked(np.array(rows, np.float64))
-            ids, rows, size = [], [], 0
-    if ids:
-        yield ids, as_asked(np.array(rows, np.float64))
-
-
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vectors.TINY)
 
 
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def packed(rows: DataFrame, keys: list[str], values: int, normalise: bool = True, against: str | None = None) -> DataFrame:
+    """Rows with ``vec`` as rows of at most ``values`` values: the ``keys`` as arrays, ``dims``, and ``matrix`` (doubles).
+
+    Vectors are of unit length with ``normalise``; those with values that aren't finite are left out. With ``against``, a column of vectors, ``own``
+    holds each row's product with it.
+    """
+    kind = {k: rows.schema[k].dataType.simpleString() for k in keys}
+    columns = [*keys, "vec", *([against] if against else [])]
+    names = [*keys, "dims", "matrix", *(["own"] if against else [])]
+    schema = ", ".join([*(f"`{k}` array<{kind[k]}>" for k in keys), "dims int, matrix binary", *(["own binary"] if against else [])])
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            step = max(1, values // max(1, len(batch.column(len(keys))[0]))) if batch.num_rows else 1
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                m = _matrix(some.column(len(keys)))
+                fine = np.isfinite(m).all(axis=1)
+                m = _unit(m) if normalise else m
+                own = np.einsum("ij,ij->i", m, _unit(_matrix(some.column(len(keys) + 1)))) if against else None
+                fine = fine if own is None else fine & np.isfinite(own)
+                if not fine.any():
+                    continue
+                mask = pa.array(fine)
+                lists = [pa.ListArray.from_arrays(pa.array([0, int(fine.sum())], pa.int32()), some.column(i).filter(mask)) for i in range(len(keys))]
+                made = [pa.array([m.shape[1]], pa.int32()), pa.array([m[fine].tobytes()], pa.binary())]
+                if own is not None:
+                    made.append(pa.array([own[fine].tobytes()], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*lists, *made], names=names)
+
+    return rows.where("vec IS NOT NULL").select(*columns).mapInArrow(run, schema)
+
+
+def _met(blocks: DataFrame, parts: DataFrame, values: int) -> DataFrame:
+    """Every block with every part, through one equi-join; ``values`` is the size of all blocks together."""
+    parts = parts.select(*[F.col(c).alias(f"part_{c}") for c in parts.columns])
+    blocks = blocks.withColumn("block", F.monotonically_increasing_id())
+    if values <= BROADCAST_VALUES:
+        return parts.withColumn("g", F.lit(0)).join(F.broadcast(blocks.withColumn("g", F.lit(0))), "g").drop("g")
+    groups = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.withColumn("g", (F.monotonically_increasing_id() % groups).cast("int"))
+    asked = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return asked.join(dealt.hint("shuffle_hash"), "g").drop("g")
+
+
+def _each(batch, names: list[str]) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, its columns, queries, corpus indexes, items) of the rows of an Arrow batch."""
+    at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+    for i in range(batch.num_rows):
+        shape = (-1, at["dims"][i].as_py())
+        q = np.frombuffer(at["matrix"][i].as_buffer(), np.float64).reshape(shape)
+        items = np.frombuffer(at["part_matrix"][i].as_buffer(), np.float64).reshape(shape)
+        idx = at["part_corpus_idx"][i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        yield at["block"][i].as_py(), {n: at[n][i] for n in names}, q, idx, items
+
+
 def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int = BLOCK_VALUES, normalise: bool = True) -> DataFrame:
-    """(query_id, rank, corpus_idx, sim): a matrix product per Arrow batch and query block, then a merge of each task's best.
+    """(query_id, rank, corpus_idx, sim): products of blocks and parts, then a merge of each task's best.
 
     Each task keeps ``k`` hits a query, so what is shuffled is tasks x queries x k, never all pairs. Products are made for
-    ``TILE_VALUES`` similarities at a time. Items without a vector are no hits. Without ``normalise`` the similarity is the
+    ``TILE_VALUES`` similarities at a time. Queries without a vector have no hits, items without one are none. Without ``normalise`` the similarity is the
     plain product.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, corpus_idx long, sim double"
-    parts = []
-    for ids, matrix in query_blocks(queries, block_values, normalise):
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-        parts.append(corpus.where("vec IS NOT NULL").select("corpus_idx", "vec").mapInArrow(_task_topk(shared, k, normalise), schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], f"query_id {kind}, rank int, corpus_idx long, sim double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _ranked(out, k)
+    blocks = packed(queries, ["query_id"], block_values, normalise)
+    parts = packed(corpus.withColumn("corpus_idx", F.col("corpus_idx").cast("long")), ["corpus_idx"], PART_VALUES, normalise)
+    found = _met(blocks, parts, _values(queries)).mapInArrow(_task_topk(k), f"query_id {kind}, corpus_idx long, sim double")
+    return _ranked(found, k)
 
 
-def _task_topk(shared, k: int, normalise: bool = True):
+def _task_topk(k: int) -> Callable:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        ids, q = shared.value
-        n = len(ids)
-        best_sim, best_idx = np.full((n, 0), 0.0), np.full((n, 0), 0, np.int64)
+        best: OrderedDict = OrderedDict()
+        held = 0
+
+        def hits():
+            _, (ids, sims, places) = best.popitem(last=False)
+            rows = pa.array(np.repeat(np.arange(len(sims)), sims.shape[1]))
+            return pa.RecordBatch.from_arrays([ids.take(rows), pa.array(places.ravel()), pa.array(sims.ravel())], names=["query_id", "corpus_idx", "sim"])
+
         for batch in batches:
-            idx = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(idx):
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            items = flat.reshape(len(idx), -1)
-            items = _unit(items).T if normalise else items.T
-            sims_of, idx_of = [], []
-            step = max(1, TILE_VALUES // len(idx))
-            for at in range(0, n, step):
-                sims = q[at : at + step] @ items
-                sims = np.concatenate([best_sim[at : at + step], sims], axis=1)
-                places = np.concatenate([best_idx[at : at + step], np.broadcast_to(idx, (len(sims), len(idx)))], axis=1)
-                order = np.lexsort((places, -sims), axis=1)[:, :k]
-                sims_of.append(np.take_along_axis(sims, order, 1))
-                idx_of.append(np.take_along_axis(places, order, 1))
-            best_sim, best_idx = np.concatenate(sims_of), np.concatenate(idx_of)
-        m = best_sim.shape[1]
-        if m:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i in ids for _ in range(m)]), pa.array(best_idx.ravel()), pa.array(best_sim.ravel())], names=["query_id", "corpus_idx", "sim"]
-            )
+            for block, own, q, idx, items in _each(batch, ["query_id"]):
+                if block not in best:
+                    held += k * len(q)
+                    while best and held > KEPT_HITS:
+                        held -= k * len(next(iter(best.values()))[1])
+                        yield hits()
+                    best[block] = own["query_id"].values, np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+                ids, sims, places = best[block]
+                best[block] = ids, *_advanced(sims, places, q, idx, items, k)
+        while best:
+            yield hits()
 
     return run
 
 
+def _advanced(best_sim: np.ndarray, best_idx: np.ndarray, q: np.ndarray, idx: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of what was best and a part's items, for each query, in tiles."""
+    step = max(1, TILE_VALUES // len(idx))
+    got = [_merged(best_sim[at : at + step], best_idx[at : at + step], q[at : at + step] @ items.T, idx, k) for at in range(0, len(q), step)]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
+def _merged(best_sim: np.ndarray, best_idx: np.ndarray, sims: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Only similarities from the k-th best on are sorted: that of a query's hits so far, or of the tile if there aren't k yet."""
+    n, m = sims.shape
+    width = best_sim.shape[1]
+    if width >= k:
+        floor = best_sim[:, -1]
+    elif m > k:
+        floor = np.partition(sims, m - k, axis=1)[:, m - k]
+    else:
+        floor = np.full(n, -np.inf)
+    rows, cols = np.nonzero(sims >= floor[:, None])
+    row = np.concatenate([np.repeat(np.arange(n), width), rows])
+    sim, place = np.concatenate([best_sim.ravel(), sims[rows, cols]]), np.concatenate([best_idx.ravel(), idx[cols]])
+    order = np.lexsort((place, -sim, row))
+    per_row = np.bincount(row, minlength=n)
+    nth = np.arange(len(order)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    first = order[nth < k]
+    return sim[first].reshape(n, -1), place[first].reshape(n, -1)
+
+
 def ground_truth_ranks(queries: DataFrame, truths: DataFrame, corpus: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
-    """(query_id, gt_idx, rank): the 1-based rank of each ground truth among the whole corpus, -1 if it isn't in it.
+    """(query_id, gt_idx, rank): the 1-based rank of each ground truth among the whole corpus; -1 if it, or the query's vector, isn't there.
 
     A rank is one more than the number of better items (greater similarity, or the same and an earlier place): a sum of
     counts over tasks. No list is sorted.
     """
-    corpus = corpus.where("vec IS NOT NULL")
+    corpus = corpus.where("vec IS NOT NULL").withColumn("corpus_idx", F.col("corpus_idx").cast("long"))
     kind = queries.schema["query_id"].dataType.simpleString()
     wanted = truths.select("query_id", F.col("gt_idx").cast("long").alias("gt_idx")).distinct()
     vec_of = corpus.select(F.col("corpus_idx").alias("gt_idx"), F.col("vec").alias("gt_vec"))
-    q = wanted.join(queries.select("query_id", F.col("vec").alias("q_vec")), "query_id").join(vec_of, "gt_idx")
-    q = q.select("query_id", "gt_idx", vectors.as_doubles(F.col("q_vec")).alias("vec"), vectors.as_doubles(F.col("gt_vec")).alias("gt_vec"))
-    schema = f"query_id {kind}, gt_idx long, better long"
-    parts = []
-    for keys, qm, gm in _truth_blocks(q, block_values):
-        sims = np.einsum("ij,ij->i", qm, gm)
-        shared = corpus.sparkSession.sparkContext.broadcast((keys, qm, sims))
-        parts.append(corpus.select("corpus_idx", "vec").mapInArrow(_task_better(shared), schema))
-    if not parts:
-        return wanted.withColumn("rank", F.lit(-1))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    counted = out.groupBy("query_id", "gt_idx").agg((F.sum("better") + 1).cast("int").alias("rank"))
+    asked = queries.where("vec IS NOT NULL").select("query_id", vectors.as_doubles(F.col("vec")).alias("vec"))
+    q = wanted.join(asked, "query_id").join(vec_of, "gt_idx").select("query_id", "gt_idx", "vec", "gt_vec")
+    blocks = packed(q, ["query_id", "gt_idx"], block_values, against="gt_vec")
+    size = queries.select(F.max(F.size("vec"))).first()[0] or 1
+    found = _met(blocks, packed(corpus, ["corpus_idx"], PART_VALUES), wanted.count() * size)
+    counted = found.mapInArrow(_task_better, f"query_id {kind}, gt_idx long, better long").groupBy("query_id", "gt_idx").agg((F.sum("better") + 1).cast("int").alias("rank"))
     return wanted.join(counted, ["query_id", "gt_idx"], "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
-def _truth_blocks(rows: DataFrame, block_values: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    keys, a, b, size = [], [], [], 0
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        keys.append((r["query_id"], r["gt_idx"]))
-        a.append(r["vec"])
-        b.append(r["gt_vec"])
-        size += 2 * len(r["vec"])
-        if size >= block_values:
-            yield keys, _unit(np.array(a)), _unit(np.array(b))
-            keys, a, b, size = [], [], [], 0
-    if keys:
-        yield keys, _unit(np.array(a)), _unit(np.array(b))
+def _task_better(batches: Iterable) -> Iterator:
+    import pyarrow as pa
 
+    better: OrderedDict = OrderedDict()
+    held = 0
 
-def _task_better(shared):
-    def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
+    def counts():
+        _, (ids, gts, n) = better.popitem(last=False)
+        return pa.RecordBatch.from_arrays([ids, gts, pa.array(n)], names=["query_id", "gt_idx", "better"])
 
-        keys, q, own = shared.value
-        gt = np.array([k[1] for k in keys], np.int64)
-        better = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            idx = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(idx):
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            sims = q @ _unit(flat.reshape(len(idx), -1)).T
-            # The truth itself may differ from its own product by rounding; it is never better than itself
-            other = idx[None, :] != gt[:, None]
-            tie = np.abs(sims - own[:, None]) <= 1e-12
-            better += (((sims > own[:, None]) & ~tie) | (tie & (idx[None, :] < gt[:, None])) & other).sum(axis=1) - ((sims > own[:, None]) & ~tie & ~other).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array(gt), pa.array(better)], names=["query_id", "gt_idx", "better"])
-
-    return run
+    for batch in batches:
+        for block, own, q, idx, items in _each(batch, ["query_id", "gt_idx", "own"]):
+            if block not in better:
+                held += len(q)
+                while better and held > KEPT_HITS:
+                    held -= len(next(iter(better.values()))[2])
+                    yield counts()
+                better[block] = own["query_id"].values, own["gt_idx"].values, np.zeros(len(q), np.int64)
+            gts = own["gt_idx"].values.to_numpy(zero_copy_only=False)
+            sims = np.frombuffer(own["own"].as_buffer(), np.float64)
+            step = max(1, TILE_VALUES // len(idx))
+            for at in range(0, len(q), step):
+                some = slice(at, at + step)
+                better[block][2][some] += _better(q[some] @ items.T, sims[some], gts[some], idx)
+    while better:
+        yield counts()
+
+
+def _better(sims: np.ndarray, own: np.ndarray, gts: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """How many of a tile's items are better than each truth: more alike, or as alike and earlier. Few rows have ties."""
+    above = (sims > (own + EPSILON)[:, None]).sum(axis=1)
+    tied = np.flatnonzero((sims >= (own - EPSILON)[:, None]).sum(axis=1) > above)
+    for r in tied:
+        near = np.abs(sims[r] - own[r]) <= EPSILON
+        above[r] += (idx[near] < gts[r]).sum()
+    return above
 
 
 def best_ranks(ranks: DataFrame) -> DataFrame:
