@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
@@ -12,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.plans.journal import Journal, recorded
+
 
 class Encoder(Protocol):
     """Texts or contents to unit vectors, one row each."""
@@ -65,22 +68,29 @@ class NoSuggestion(ValueError):
     """The last try gave no text."""
 
 
-def distinct_difference(make: Callable[[int], str], previous: list[np.ndarray], encode: Callable[[str], np.ndarray], least: float = 0.8, tries: int = 3) -> str:
-    """The first of up to ``tries`` suggestions that is less like each of ``previous`` than ``least``.
+def distinct_differences(make: Callable[[int, int], str], previous: list[list[np.ndarray]], encode: Encoder, least: float = 0.8, tries: int = 3) -> list[tuple[str, np.ndarray] | None]:
+    """For each item the first of up to ``tries`` suggestions, ``make(item, attempt)``, that is less like each of its ``previous`` than ``least``, with its vector.
 
-    If none is, the last is returned all the same; an empty last suggestion is an error.
+    If none is, the last is taken all the same; an empty last suggestion gives None. Suggestions of one attempt are encoded together.
     """
-    text = ""
+    got: list[tuple[str, np.ndarray] | None] = [None] * len(previous)
+    left = list(range(len(previous)))
     for attempt in range(tries):
-        text = make(attempt)
-        if not text:
-            if attempt + 1 == tries:
-                raise NoSuggestion("no suggestion")
-            continue
-        v = encode(text)
-        if all(float(v @ p) < least for p in previous):
-            return text
-    return text
+        made = [(i, text) for i in left if (text := make(i, attempt))]
+        coded = np.asarray(encode([t for _, t in made]), np.float64) if made else []
+        for (i, text), v in zip(made, coded, strict=True):
+            if attempt + 1 == tries or all(float(v @ p) < least for p in previous[i]):
+                got[i] = text, v
+        left = [i for i in left if got[i] is None]
+    return got
+
+
+def distinct_difference(make: Callable[[int], str], previous: list[np.ndarray], encode: Callable[[str], np.ndarray], least: float = 0.8, tries: int = 3) -> str:
+    """:func:`distinct_differences` of one item; no suggestion is an error."""
+    (got,) = distinct_differences(lambda _, attempt: make(attempt), [previous], lambda texts: np.array([encode(t) for t in texts]), least, tries)
+    if got is None:
+        raise NoSuggestion("no suggestion")
+    return got[0]
 
 
 def with_retries(call: Callable[[], dict], tries: int = 3, delay: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -102,47 +112,60 @@ def with_retries(call: Callable[[], dict], tries: int = 3, delay: float = 2.0, s
 
 
 class RateLimit:
-    """At most so many calls a minute, spread evenly. A job's limit is divided by the tasks that run at a time."""
+    """At most so many calls a minute, spread evenly over the threads that share it; the first not before ``first`` seconds."""
 
-    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.step, self.next, self.clock, self.sleep = 60.0 / per_minute, 0.0, clock, sleep
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, first: float = 0.0):
+        self.step, self.clock, self.sleep, self.lock = 60.0 / per_minute, clock, sleep, threading.Lock()
+        self.next = clock() + first if first else 0.0
 
     def wait(self) -> None:
-        now = self.clock()
-        if self.next > now:
-            self.sleep(self.next - now)
-        self.next = max(now, self.next) + self.step
+        with self.lock:  # a time of its own for every call; waiting for it doesn't keep others from taking theirs
+            now = self.clock()
+            mine = max(now, self.next)
+            self.next = mine + self.step
+        if mine > now:
+            self.sleep(mine - now)
 
 
 CALL_SCHEMA = "image_path string, category string, caption string, success boolean, error string, image_index long, input_tokens long, output_tokens long"
 
 
-def call_captioner(items: DataFrame, make: Callable[[], Callable[[str, str], dict]], per_minute: float = 1500, tasks: int = 8, concurrency: int = 8) -> DataFrame:
+def call_captioner(items: DataFrame, make: Callable[[], Callable[[str, str], dict]], per_minute: float = 1500, tasks: int = 4, concurrency: int = 8, journal: Journal | None = None, window: int = 64) -> DataFrame:
     """A row per item (``image_path``, ``category``, ``image_index``): what the captioner said, with tries and rate limit.
 
     ``make`` gives, once per task, a function of path and category that returns ``caption``, ``success``, ``error`` and
-    token counts. Calls of a task overlap in up to ``concurrency`` threads.
+    token counts. Calls of a task overlap in up to ``concurrency`` threads. The stage is a barrier stage: exactly ``tasks``
+    tasks run, all at a time, none speculatively, and a retry begins when all have stopped. So the limit holds for
+    the whole job, retries included: each task has its share, and their first calls are set off against each other. What the
+    ``journal`` holds is neither asked nor waited for again. ``tasks`` must fit the cluster's cores.
     """
 
     def run(batches: Iterable) -> Iterator:
         from concurrent.futures import ThreadPoolExecutor
 
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        ask = make()
+        limit = RateLimit(per_minute / tasks, first=(TaskContext.get().partitionId() + 1) * 60.0 / per_minute)
 
-        ask, limit = make(), RateLimit(per_minute / tasks)
+        def paid(path: str, category: str) -> dict:
+            def once() -> dict:
+                limit.wait()
+                return ask(path, category)
 
-        def one(path: str, category: str) -> dict:
-            limit.wait()
-            return with_retries(lambda: ask(path, category))
+            return with_retries(once)
 
+        one = recorded(paid, journal) if journal else paid
         with ThreadPoolExecutor(concurrency) as pool:
-            for b in batches:
-                paths, categories = b.column(0).to_pylist(), b.column(1).to_pylist()
-                got = list(pool.map(one, paths, categories))
-                col = lambda k, t, got=got: pa.array([g.get(k) for g in got], t)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), col("caption", pa.string()), col("success", pa.bool_()), col("error", pa.string()), b.column(2), col("input_tokens", pa.int64()), col("output_tokens", pa.int64())],
-                    names=["image_path", "category", "caption", "success", "error", "image_index", "input_tokens", "output_tokens"],
-                )
-
-    return items.select("image_path", "category", "image_index").repartition(tasks).mapInArrow(run, CALL_SCHEMA)
+            for whole in batches:
+                for at in range(0, whole.num_rows, window):
+                    b = whole.slice(at, window)
+                    got = list(pool.map(one, b.column(0).to_pylist(), b.column(1).to_pylist()))
+                    col = lambda k, t, got=got: pa.array([g.get(k) for g in got], t)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0), b.column(1), col("caption", pa.string()), col("success", pa.bool_()), col("error", pa.string()), b.column(2), col("input_tokens", pa.int64()), col("output_tokens", pa.int64())],
+                        names=["image_path", "category", "caption", "success", "error", "image_index", "input_tokens", "output_tokens"],
+                    )
+
+    return items.select("image_path", "category", "image_index").repartition(tasks).mapInArrow(run, CALL_SCHEMA, barrier=True)
