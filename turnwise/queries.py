@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import ranks, text, vectors
 from turnwise.operators import completeness, dedupe, feedback, filters, lookup, resume, search, stats
 from turnwise.operators import export as exporting
+from turnwise.operators import runs
+from turnwise.operators.durable import cut
 from turnwise.plans import curate, simulate
 from turnwise.sources import annotations, captions, images
 from turnwise.sources import sessions as session_files
@@ -141,7 +143,7 @@ def reach_per_turn(spark, sf_dir):
     return stats.reach_per_turn(sessions(spark, sf_dir))
 
 
-_HITS = f"""WITH {SESS}, grid AS (SELECT CAST(range AS INTEGER) AS turn FROM range(8)), new AS (SELECT CAST(success_turn AS INTEGER) AS turn, count(*) AS n FROM sess WHERE success GROUP BY 1),
+_HITS = f"""WITH {SESS}, grid AS (SELECT CAST(unnest(range((SELECT max(total_turns) FROM sess))) AS INTEGER) AS turn), new AS (SELECT CAST(success_turn AS INTEGER) AS turn, count(*) AS n FROM sess WHERE success GROUP BY 1),
 h AS (SELECT g.turn, coalesce(n, 0) AS new_hits FROM grid AS g LEFT JOIN new ON g.turn = new.turn),
 c AS (SELECT turn, new_hits, CAST(sum(new_hits) OVER (ORDER BY turn) AS BIGINT) AS cum_hits, (SELECT count(*) FROM sess) AS total FROM h)"""
 
@@ -429,9 +431,17 @@ def content_dedupe_with_duplicates(spark, sf_dir):
 
 @query("SELECT concat('p', doc_id) AS image_path, concat('caption of p', min(doc_id) OVER (PARTITION BY md5(text))) AS caption FROM documents")
 def duplicate_fanout(spark, sf_dir):
-    groups = dedupe.dedupe_with_duplicates(_items(spark, sf_dir))
-    made = groups.select("image_path", F.concat(F.lit("caption of "), "image_path").alias("caption"))
-    return dedupe.fan_out(made, groups)
+    chunks = cut(runs.duplicate_chunks(_items(spark, sf_dir)))
+    made = chunks.where("chunk = 0").select("image_path", F.concat(F.lit("caption of "), "image_path").alias("caption"))
+    return runs.fan_out_chunks(made, chunks)
+
+
+@query(
+    "WITH n AS (SELECT md5(text) AS img_hash, concat('p', doc_id) AS path, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) - 1 AS nth FROM documents), c AS (SELECT img_hash, greatest(nth - 1, 0) // 2 AS chunk, count(*) FILTER (nth > 0) AS copies, coalesce(string_agg(path, ',' ORDER BY nth) FILTER (nth > 0), '') AS duplicate_paths FROM n GROUP BY 1, 2) SELECT c.img_hash, n.path AS image_path, CAST(chunk AS BIGINT) AS chunk, copies, duplicate_paths FROM c JOIN n ON n.img_hash = c.img_hash AND n.nth = 0"
+)
+def duplicate_chunks(spark, sf_dir):
+    got = runs.duplicate_chunks(_items(spark, sf_dir), chunk=2)
+    return got.select("img_hash", "image_path", "chunk", F.size("duplicate_paths").cast("long").alias("copies"), F.array_join("duplicate_paths", ",").alias("duplicate_paths"))
 
 
 @query("SELECT lang, source, count(*) AS n, count(DISTINCT md5(text)) AS contents FROM documents GROUP BY 1, 2")
@@ -505,9 +515,9 @@ def token_cost(spark, sf_dir):
     return stats.token_costs(calls).drop("cost_per_call").withColumn("cost", F.round("cost", 6))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 250000)")
 def remaining_antijoin(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     return resume.missing(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, "c_custkey")
 
 
@@ -549,8 +559,9 @@ _GT = "gt AS (SELECT q.vec_id AS query_id, c.vec_id AS gt_idx FROM u AS q JOIN u
 
 def _truths(corpus: DataFrame) -> DataFrame:
     """The three first items of a query's label."""
-    first = corpus.groupBy("label").agg(F.slice(F.sort_array(F.collect_list("corpus_idx")), 1, 3).alias("gts"))
-    return _probes(corpus).join(first, "label").select("query_id", F.explode("gts").alias("gt_idx"))
+    w = Window.partitionBy("label").orderBy("corpus_idx")  # the limit is pushed below the exchange
+    first = corpus.select("label", F.col("corpus_idx").alias("gt_idx"), F.row_number().over(w).alias("nth")).where("nth <= 3")
+    return _probes(corpus).join(first, "label").select("query_id", "gt_idx")
 
 
 @query(_TOPK + f", {_GT} SELECT gt.query_id, gt.gt_idx, CAST(r.rank AS INTEGER) AS rank FROM gt JOIN r ON gt.query_id = r.query_id AND gt.gt_idx = r.corpus_idx")
@@ -665,10 +676,10 @@ def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(corpus, queries after one update towards the second-ranked item)."""
     c = _corpus(spark, sf_dir).drop("label")
     q = _probes(_corpus(spark, sf_dir)).select("query_id", "vec")
-    shown = search.topk(q, c)
+    shown = cut(search.topk(q, c))
     selected = shown.where("rank = 2").select("query_id", F.col("corpus_idx").alias("selected"))
     goal = selected.withColumn("target", (F.col("query_id") * 37 + 11) % 500)
-    return c, feedback.update_queries(q, selected, feedback.others_mean(shown, selected, c), _mixed_texts(c)(goal, 0), c)
+    return c, cut(feedback.update_queries(q, selected, feedback.others_mean(shown, selected, c), _mixed_texts(c)(goal, 0), c))
 
 
 _MOVED = (
@@ -783,6 +794,13 @@ def index_lists(spark, sf_dir):
     return stats.index_lists(table(spark, sf_dir, "documents"), "lang", "doc_id").select("lang", F.array_join("indices", ",").alias("indices"))
 
 
+@query(
+    "WITH n AS (SELECT lang, doc_id, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS gap FROM (SELECT DISTINCT lang, doc_id FROM documents)), g AS (SELECT lang, min(doc_id) AS first, max(doc_id) AS last FROM n GROUP BY lang, gap) SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY first) - 1 AS run, first, last FROM g"
+)
+def index_runs(spark, sf_dir):
+    return runs.index_runs(table(spark, sf_dir, "documents"), "lang", "doc_id")
+
+
 @query("SELECT count(*) FILTER (doc_id + 1 IN (SELECT doc_id FROM labels)) AS found, count(*) FILTER (doc_id + 1 NOT IN (SELECT doc_id FROM labels)) AS missing FROM documents")
 def found_and_missing(spark, sf_dir):
     ids = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("image_id"))
