@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import text
+from turnwise.operators.durable import cut
 
 
 def image_spellings(id_: Column) -> Column:
@@ -35,6 +36,25 @@ def first_match(rows: DataFrame, key: str, spellings: Column, table: DataFrame,
     return rows.join(best, rows[key] == best["__key"], "left").select(*rows.columns, "__hit.*")
 
 
+class Unmatched(KeyError):
+    """Keys that a table should have, and hasn't."""
+
+
+def unmatched(matched: DataFrame, key: str) -> DataFrame:
+    """(rows, unmatched, example) of the result of :func:`first_match`: how many keys no spelling of which was there, and the least of them."""
+    none = F.col("matched").isNull()
+    return matched.agg(F.count(F.lit(1)).alias("rows"), F.count_if(none).alias("unmatched"), F.min(F.when(none, F.col(key))).alias("example"))
+
+
+def all_matched(rows: DataFrame, key: str, spellings: Column, table: DataFrame, table_key: str, order: str | None = None) -> DataFrame:
+    """:func:`first_match` for rows that must all have one: raises :class:`Unmatched` with their number, and one of them, otherwise."""
+    got = cut(first_match(rows, key, spellings, table, table_key, order))
+    n, missing, example = unmatched(got, key).first()
+    if missing:
+        raise Unmatched(f"{missing} of {n} keys have no row under any spelling, {example!r} for one")
+    return got
+
+
 def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: str, default: Column) -> DataFrame:
     """``rows`` with ``value`` of ``table`` for ``key``, or ``default``."""
     t = table.select(F.col(table_key).alias("__k"), F.col(value).alias("__v")).dropDuplicates(["__k"])

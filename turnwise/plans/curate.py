@@ -88,6 +88,59 @@ def report(sessions: DataFrame, kept: DataFrame) -> dict:
     }
 
 
+def _analysis(sessions: DataFrame) -> dict:
+    """Outcomes of the sessions whose ids are numbers."""
+    rows = stats.success_breakdown(sessions.where(filters.numeric_id(F.col("query_id")).isNotNull())).collect()  # one row an outcome
+    total = sum(r["sessions"] for r in rows)
+    lost = sum(r["sessions"] for r in rows if r["outcome"] == "no_success")
+    return {
+        "total_queries": total,
+        "turn_success_breakdown": {r["outcome"]: {"count": r["sessions"], "percentage": r["pct"]} for r in rows},
+        "summary": {"successful_queries": total - lost, "unsuccessful_queries": lost, "success_rate": 100.0 * (total - lost) / total if total else 0.0},
+    }
+
+
+def detailed_report(dataset: str, sessions: DataFrame, kept: DataFrame, log: DataFrame, annotations: DataFrame | None = None) -> dict:
+    """What a filter run found and did: coverage of the dataset, outcomes before and after, every stage, and both success rates.
+
+    ``annotations`` are the dataset's queries: coverage is the share of them that was processed, 100 if they aren't given or none. ``log``
+    is the stage log of :func:`curate`.
+    """
+    processed = sessions.count()
+    there = annotations.count() if annotations is not None else processed
+    before, after = _analysis(sessions), _analysis(kept)
+    share = lambda part, whole: 100.0 * part / whole if whole else 0.0
+    stages = [
+        {"stage_name": r["stage"], "input_count": r["entering"], "output_count": r["leaving"], "filtered_count": r["entering"] - r["leaving"], "filtering_rate": r["filtered_pct"], "retention_rate": share(r["leaving"], r["entering"])}
+        for r in log.orderBy("stage_no").collect()
+    ]
+    n, m = before["total_queries"], after["total_queries"]
+    return {
+        "dataset_info": {"dataset_name": dataset, "baseline_stats": {"total_queries_in_dataset": there, "actual_processed_queries": processed}, "experiment_stats": {"total_processed_queries": processed, "processing_coverage": share(processed, there) if there else 100.0}},
+        "original_analysis": before,
+        "filtering_analysis": {"stages": stages, "overall_summary": {"initial_count": n, "final_count": m, "total_filtered": n - m, "overall_filtering_rate": share(n - m, n), "overall_retention_rate": share(m, n)}},
+        "final_analysis": after,
+        "comparison": {"quality_improvement": {"original_success_rate": before["summary"]["success_rate"], "final_success_rate": after["summary"]["success_rate"]}},
+    }
+
+
+def coverage_rollup(reports: list[dict]) -> dict:
+    """Totals over the :func:`detailed_report` of several datasets, and the coverage of each."""
+    infos = [r["dataset_info"] for r in reports]
+    there = sum(i["baseline_stats"]["total_queries_in_dataset"] for i in infos)
+    processed = sum(i["experiment_stats"]["total_processed_queries"] for i in infos)
+    first, last = (sum(r["filtering_analysis"]["overall_summary"][k] for r in reports) for k in ("initial_count", "final_count"))
+    return {
+        "datasets": {i["dataset_name"]: i["experiment_stats"]["processing_coverage"] for i in infos},
+        "total_queries_in_datasets": there,
+        "total_processed_queries": processed,
+        "processing_coverage": 100.0 * processed / there if there else 100.0,
+        "initial_count": first,
+        "final_count": last,
+        "overall_retention_rate": 100.0 * last / first if first else 0.0,
+    }
+
+
 def envelope(sessions: DataFrame, kept: DataFrame, options: Options) -> dict:
     """What a filtered file says about how it came about."""
     n, m = sessions.count(), kept.count()

@@ -64,6 +64,16 @@ def difference_text(selected: Column, target: Column) -> Column:
     return F.when(F.size(new) > 0, F.concat(F.lit("with "), F.array_join(new, " "))).otherwise(target)
 
 
+def echo_captioner() -> Callable[[str, str], dict]:
+    """A captioner that names the category and the file: for trial runs."""
+
+    def ask(path: str, category: str) -> dict:
+        caption = f"{category} {path.rsplit('/', 1)[-1]}"
+        return {"success": True, "caption": caption, "error": None, "input_tokens": 1, "output_tokens": len(caption.split())}
+
+    return ask
+
+
 class NoSuggestion(ValueError):
     """The last try gave no text."""
 

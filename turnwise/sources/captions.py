@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text
 from turnwise.operators.dedupe import last_by, merge_by_priority
+from turnwise.operators.durable import exists
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, image_key, caption) of a JSON file, be it a map of captions or a list of objects with ``image_id`` or ``id``."""
+    """(pos, image_key, caption) of a JSON file, be it a map of captions or a list of objects with ``image_id`` or ``id``.
+
+    A folder that :func:`export_caption_map` has written is read line by line, by many tasks; a file is one row of one task.
+    """
+    if exists(spark, f"{path}/_SUCCESS"):
+        lines = spark.read.schema("image_key string, caption string").json(path)
+        return lines.select(F.monotonically_increasing_id().alias("pos"), "image_key", "caption")
     whole = spark.read.text(path, wholetext=True)
     as_map = F.map_entries(F.from_json("value", "map<string,string>"))
     as_list = F.from_json("value", "array<struct<image_id:string,id:string,caption:string>>")
@@ -53,8 +60,9 @@ def with_aliases(features: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """A feature table, partitioned for pruning by dataset and model."""
-    features.write.mode("append").partitionBy("dataset", "model").parquet(path)
+    """A feature table, partitioned for pruning by dataset, model and, where there is one, feature type."""
+    by = [c for c in ("dataset", "model", "feature_type") if c in features.columns]
+    features.write.mode("append").partitionBy(*by).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, dataset: str | None = None, model: str | None = None) -> DataFrame:

@@ -25,5 +25,10 @@ SESSION_FILE = (
     "dataset_name string, results array<struct<query_id:string,reference_image_id:string,target_image_id:string,ground_truth_ids:array<string>,"
     f"original_query:string,success:boolean,success_turn:int,turns:array<struct<{_FILE_TURN}>>>>"
 )
+# A session a line, as result folders have them.
+SESSION_LINE = (
+    "pos long, query_id string, reference_image_id string, target_image_id string, ground_truth_ids array<string>, "
+    f"original_query string, success boolean, success_turn int, turns array<struct<{_FILE_TURN}>>"
+)
 SUMMARY_CSV = "query_id string, success boolean, success_turn int, total_turns int, gt_rank_improvement double, initial_rank double, final_rank double"
 DETAIL_CSV = "query_id string, turn int, best_gt_rank double, query_text string, relative_caption string, selected_image string"

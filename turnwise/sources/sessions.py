@@ -8,13 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators import stats
-from turnwise.sources.schemas import DETAIL_CSV, SESSION_FILE, SUMMARY_CSV
+from turnwise.operators.durable import exists
+from turnwise.sources.schemas import DETAIL_CSV, SESSION_FILE, SESSION_LINE, SUMMARY_CSV
 
 
 def read_sessions(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
     """The canonical ``sessions`` of a result file; ``pos`` is the place in its list."""
     whole = spark.read.schema(SESSION_FILE).option("multiLine", True).json(path)
     rows = whole.select(F.coalesce(F.lit(dataset), "dataset_name").alias("dataset"), F.posexplode("results").alias("pos", "r")).select("dataset", F.col("pos").cast("long").alias("pos"), "r.*")
+    return _with_hits(rows)
+
+
+def write_results(sessions: DataFrame, path: str, dataset: str, config: dict, completeness: dict | None = None) -> None:
+    """A result folder: ``envelope`` (one JSON object: dataset, config, completeness, number of results) and ``results`` (a session a line).
+
+    Sessions are written by all tasks; hits are pairs of id and score, as result files have them.
+    """
+    spark = sessions.sparkSession
+    pair = lambda h: F.array(h["id"], h["score"].cast("string"))
+    lines = sessions.withColumn("turns", F.transform("turns", lambda t: t.withField("search_results", F.transform(t["search_results"], pair))))
+    lines.drop("dataset").write.mode("overwrite").json(f"{path}/results")
+    total = spark.read.text(f"{path}/results").count()
+    write_report(spark, {"dataset_name": dataset, "config": config, "data_completeness": completeness or {}, "total_results": total}, f"{path}/envelope")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The canonical ``sessions`` of a folder that :func:`write_results` has written; lines are read by many tasks."""
+    name = json.loads(spark.read.text(f"{path}/envelope").first()[0])["dataset_name"]
+    rows = spark.read.schema(SESSION_LINE).json(f"{path}/results")
+    return _with_hits(rows.select(F.lit(name).alias("dataset"), "*"))
+
+
+def _with_hits(rows: DataFrame) -> DataFrame:
     hit = lambda h: F.struct(F.get(h, F.lit(0)).alias("id"), F.get(h, F.lit(1)).cast("double").alias("score"))
     return rows.withColumn("turns", F.transform("turns", lambda t: t.withField("search_results", F.transform(t["search_results"], hit))))
 
@@ -37,6 +62,13 @@ def read_written(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions of a result file, a result folder, or a table of sessions."""
+    if path.endswith((".json", ".json.gz")):
+        return read_sessions(spark, path)
+    return read_results(spark, path) if exists(spark, f"{path}/envelope") else read_written(spark, path)
+
+
 def translate_ids(sessions: DataFrame, hashes: DataFrame) -> DataFrame:
     """Content hashes as file ids in all six places of a session; unknown ones stay. ``hashes`` (img_hash, image_id).
 
