@@ -302,6 +302,37 @@ def test_wrapped_licences(spark):
     assert got == want
 
 
+REFLOWED = [
+    ("one line", " ".join(license_scan.SENTENCES[k] for k in license_scan.RULES["Apache-2.0 notice"]).replace("Version 2.0 you", 'Version 2.0 (the "License"); you'), ["Apache-2.0 notice"]),
+    ("tag behind code", "x = 1  # SPDX-License-Identifier: Apache-2.0\ny = 2", ["Apache-2.0 tag"]),
+    ("a holder's name", " ".join(license_scan.SENTENCES[k] for k in license_scan.RULES["BSD-3-Clause text"]).replace("the copyright holder", "Google Inc."), ["BSD-3-Clause text"]),
+    ("as a comment", "/* " + "\n * ".join(license_scan.SENTENCES[k] for k in license_scan.RULES["GPL-2.0-or-later notice"]) + " */", ["GPL-2.0-or-later notice"]),
+    ("another tag", "// SPDX-License-Identifier: MIT-0", ["MIT-0 tag"]),
+    ("https", " ".join(license_scan.SENTENCES[k] for k in license_scan.RULES["Apache-2.0 notice"]).replace("http:", "https:"), ["Apache-2.0 notice"]),
+    ("no gap that long", f"Neither the name of {'x ' * 20}nor the names of its contributors may be used. All rights reserved.", ["All rights reserved"]),
+    ("inside a line", "see: licensed under cc by-sa 4.0. And (c) 2020 x, all rights reserved, y", ["CC-BY-SA-4.0", "All rights reserved"]),
+]
+
+
+def test_sentences_are_found_wherever_they_begin(spark):
+    got = license_scan.scan_documents(spark.createDataFrame([(i, x[1]) for i, x in enumerate(REFLOWED)], "doc_id long, text string")).collect()
+    assert {REFLOWED[r.doc_id][0]: r.matches for r in got} == {name: want for name, _, want in REFLOWED}
+
+
+def test_reflowed_licences_same_as_sql(spark):
+    import textwrap
+
+    import duckdb
+
+    bodies = [x[1] for x in REFLOWED] + [textwrap.fill(" ".join(license_scan.SENTENCES[k] for k in rule), width) for rule in license_scan.RULES.values() for width in (30, 72, 10_000)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(bodies)))
+    got = license_scan.scan_documents(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string"))
+    told = got.select("doc_id", "n_sentences", *[F.array_join(x, ",").alias(x) for x in ("sentence_ids", "matches", "licenses")]).collect()
+    assert sorted(map(tuple, told)) == sorted(c.execute(license_scan.duckdb_sql()).fetchall())
+
+
 def test_order_and_noise(spark, awkward, nothing):
     s = license_scan.SENTENCES
     rows = [(1, f"{s['bsd-source']} {s['bsd-permit']} {s['bsd-binary']}"), (2, "Licensed*** under### the&&& Apache%%% License,*** Version$$$ 2.0.### More."), (3, "the MIT License is nice")]

@@ -1,12 +1,13 @@
 """Licence recognition with SQL functions only.
 
-Method: sentence rules. A text falls into pieces at stops and line ends; each is normalised (lower case, everything but
-letters and digits as one space), and runs of pieces, however many, are looked up among known licence sentences. The sequence of identifiers found is then matched against ordered
+Method: sentence rules. A text is normalised as a whole (lower case, everything but letters and digits as space), so that
+line ends, comment marks, stops and URLs don't matter, and known licence sentences are looked up in it wherever they begin, the longest first;
+a holder's name in a sentence is a gap of up to ``GAP_WORDS`` words. The sequence of identifiers found is then matched against ordered
 rules, longest first: a licence is recognised where its sentences follow each other in the rule's order, with no
 other known sentence between.
 
 Plan: one scan without a shuffle and without Python. A text without any of the anchor words, one of which every known
-sentence holds, is not split at all. Sentences and rules are literals of fixed size.
+sentence holds, is not normalised at all. Sentences and rules are literals of fixed size.
 
 Defined results: null text counts as empty; a text without known sentences has empty lists; a sentence that belongs to a
 longer recognised rule isn't reported again by a shorter one; repeated licences are listed each time in
@@ -60,9 +61,40 @@ SENTENCES = {
     "spdx-gpl-3": "SPDX-License-Identifier: GPL-3.0-only",
     "spdx-gpl-3-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
+    "gpl-2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "agpl-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "lgpl-3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost": "Distributed under the Boost Software License, Version 1.0.",
+    "epl-2": "made available under the terms of the Eclipse Public License 2.0",
+    "spdx-mit-0": "SPDX-License-Identifier: MIT-0",
+    "spdx-gpl-2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl-2-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-agpl-3": "SPDX-License-Identifier: AGPL-3.0-only",
+    "spdx-agpl-3-later": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "spdx-lgpl-2-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-lgpl-3-later": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "spdx-bsd-2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-mpl-2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-boost": "SPDX-License-Identifier: BSL-1.0",
+    "spdx-epl-2": "SPDX-License-Identifier: EPL-2.0",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
+    "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
 }
 # Longer forms of known sentences, as their licences' published notices have them.
-ALSO = {'Licensed under the Apache License, Version 2.0 (the "License");': "apache-2-header"}
+ALSO = {
+    'Licensed under the Apache License, Version 2.0 (the "License");': "apache-2-header",
+    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0": "apache-2-obtain",
+    "Neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-endorse",
+}
+#: Words between two phrases that stand for the holder's name: (before, after, what the known sentence has there).
+GAPS = [("Neither the name of", "nor the names of", "the copyright holder"), ("Neither the name of", "nor the name of", "the copyright holder")]
+GAP_WORDS = 12
 # Licences by the ordered identifiers of their sentences.
 RULES = {
     "Apache-2.0 notice": ["apache-2-header", "apache-2-compliance", "apache-2-obtain", "apache-2-as-is", "apache-2-limits"],
@@ -70,6 +102,10 @@ RULES = {
     "BSD-3-Clause text": ["bsd-permit", "bsd-source", "bsd-binary", "bsd-endorse"],
     "BSD-2-Clause text": ["bsd-permit", "bsd-source", "bsd-binary"],
     "GPL-3.0-or-later notice": ["gpl-redistribute", "gpl-warranty", "gpl-details"],
+    "GPL-2.0-or-later notice": ["gpl-2-redistribute", "gpl-warranty", "gpl-details"],
+    "AGPL-3.0-or-later notice": ["agpl-redistribute", "gpl-warranty", "agpl-details"],
+    "LGPL-3.0-or-later notice": ["lgpl-3-redistribute", "gpl-warranty", "lgpl-details"],
+    "Zlib text": ["zlib-as-is", "zlib-grant"],
     "LGPL-2.1-or-later notice": ["lgpl-redistribute"],
     "Apache-2.0": ["apache-2-header"],
     "Apache-2.0 tag": ["spdx-apache"],
@@ -90,11 +126,28 @@ RULES = {
     "CC-BY-ND-4.0": ["cc-by-nd-4"],
     "CC0-1.0": ["cc0"],
     "All rights reserved": ["reserved"],
+    "BSL-1.0": ["boost"],
+    "EPL-2.0": ["epl-2"],
+    "MIT-0 tag": ["spdx-mit-0"],
+    "GPL-2.0 tag": ["spdx-gpl-2"],
+    "GPL-2.0-or-later tag": ["spdx-gpl-2-later"],
+    "AGPL-3.0 tag": ["spdx-agpl-3"],
+    "AGPL-3.0-or-later tag": ["spdx-agpl-3-later"],
+    "LGPL-2.1-or-later tag": ["spdx-lgpl-2-later"],
+    "LGPL-3.0-or-later tag": ["spdx-lgpl-3-later"],
+    "BSD-2-Clause tag": ["spdx-bsd-2"],
+    "MPL-2.0 tag": ["spdx-mpl-2"],
+    "ISC tag": ["spdx-isc"],
+    "Zlib tag": ["spdx-zlib"],
+    "BSL-1.0 tag": ["spdx-boost"],
+    "EPL-2.0 tag": ["spdx-epl-2"],
+    "Unlicense tag": ["spdx-unlicense"],
+    "CC0-1.0 tag": ["spdx-cc0"],
 }
-#: Every known sentence holds one of these; they are cut to parts so that one pattern serves.
-ANCHOR = r"(?i)licen[sc]|copyright|permission|rights|warrant|redistribut|public domain|liable"
-#: Pieces end at a stop, mark or colon before white space, and at a line's end; a sentence is one or more of them.
-BREAK = r"(?<=[.!?:])[^\p{L}\p{N}.!?:]+(?=\p{L})|\n+"
+#: Every known sentence holds one of these.
+ANCHOR = r"(?i)licen[sc]|copyright|permission|rights|warrant|redistribut|public[^\p{L}\p{N}]+domain|liable"
+#: What isn't part of a word.
+OTHER = r"[^\p{L}\p{N}]+"
 
 _OTHER = re.compile(r"[^\w]+|_+")
 
@@ -103,8 +156,24 @@ def normalised(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def _spaced(words: str) -> str:
+    """Words with a space on either side each, so that a match takes its own spaces with it."""
+    return "  ".join(words.split())
+
+
+def _gaps() -> list[tuple[str, str]]:
+    """(pattern, replacement) that put the known sentence's words in place of a holder's name."""
+    out = []
+    for before, after, known in GAPS:
+        a, b, k = (_spaced(normalised(x)) for x in (before, after, known))
+        out.append((f" {a}  (?:[^ ]+  ){{1,{GAP_WORDS}}}?{b} ", f" {a}  {k}  {b} "))
+    return out
+
+
+def _known() -> dict[str, str]:
+    """Sentence identifiers by the words of a sentence, the longest first."""
+    spelt = {_spaced(normalised(v)): k for k, v in SENTENCES.items()} | {_spaced(normalised(v)): k for v, k in ALSO.items()}
+    return dict(sorted(spelt.items(), key=lambda x: (-len(x[0]), x[0])))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
@@ -113,21 +182,16 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     ``sentence_ids`` are the known sentences in text order, ``matches`` the rules recognised in that order, and
     ``licenses`` the distinct ones, sorted.
     """
-    ids = list(SENTENCES)
-    whole = {normalised(v): ids.index(k) for k, v in SENTENCES.items()} | {normalised(v): ids.index(k) for v, k in ALSO.items()}
-    assert all(re.search(ANCHOR, v) for v in SENTENCES.values())
-    lookup = F.create_map([F.lit(x) for pair in whole.items() for x in pair])
+    ids, known = list(SENTENCES), _known()
+    assert all(re.search("(?i)licen[sc]|copyright|permission|rights|warrant|redistribut|public domain|liable", v) for v in SENTENCES.values())
+    lookup = F.create_map([F.lit(x) for words, k in known.items() for x in (words, ids.index(k))])
     text = text_or_empty()
-    # Pieces stand between bars. A known sentence begins and ends with a piece and may run over any number of them; the
-    # look-ahead lets one begin inside another, the longest first.
-    line = F.concat(F.lit("|"), F.array_join(F.transform(F.split(text, BREAK), _normalised), "|"), F.lit("|"))
-    longest_first = sorted(whole, key=lambda x: -len(x))
-    pattern = r"\|(?=(" + "|".join(x.replace(" ", "[ |]+") for x in longest_first) + r")\|)"
-    # an anchor of two words may stand on two lines
-    anchor = ANCHOR.replace(" ", r"[^\p{L}\p{N}]+")
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(anchor), F.regexp_extract_all(line, F.lit(pattern), 1)).otherwise(F.array().cast("array<string>")).alias("__s"))
-    known = F.transform("__s", lambda s: F.try_element_at(lookup, F.regexp_replace(s, r"[ |]+", " ")))
-    found = split.select("doc_id", known.alias("__ids"))
+    line = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(F.lower(text), OTHER, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+    for pattern, words in _gaps():
+        line = F.regexp_replace(line, pattern, words)
+    told = F.regexp_extract_all(line, F.lit(f" ({'|'.join(known)}) "), 1)
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(ANCHOR), told).otherwise(F.array().cast("array<string>")).alias("__s"))
+    found = split.select("doc_id", F.transform("__s", lambda s: F.try_element_at(lookup, s)).alias("__ids"))
     # Rules are matched on the sequence written as a string, longest first; each match leaves its number in its place.
     line = F.concat(F.lit(" "), F.array_join(F.transform("__ids", lambda x: F.concat(F.lit("s"), x.cast("string"))), "  "), F.lit(" "))
     names = list(RULES)
@@ -144,16 +208,17 @@ def duckdb_sql() -> str:
     """The same scan of ``documents`` as one DuckDB statement, lists comma-joined."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
-    ids, names = list(SENTENCES), list(RULES)
-    most = max(len(re.split(r"(?<=[.!?:])[^\w.!?:]+(?=[^\W\d_])|\n+", v)) for v in SENTENCES.values())
-    cut = r"regexp_replace(t, '([.!?:])[^\p{L}\p{N}.!?:]+(\p{L})', '\1' || chr(1) || '\2', 'g')"
-    normal = r"trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))"
-    found = ", ".join(f"nullif(list_position({listed(map(normalised, SENTENCES.values()))}, array_to_string(s[i + 1:i + {n}], ' ')), 0)" for n in range(most, 0, -1))
+    ids, names, known = list(SENTENCES), list(RULES), _known()
+    normal = f"concat(' ', replace(trim(regexp_replace(lower(t), {quoted(OTHER)}, ' ', 'g')), ' ', '  '), ' ')"
+    for pattern, words in _gaps():
+        normal = f"regexp_replace({normal}, {quoted(pattern)}, {quoted(words)}, 'g')"
+    places = listed(ids), listed(known), listed(known.values())
+    pattern = quoted(f" ({'|'.join(known)}) ")
     line = "concat(' ', array_to_string(list_transform(k, lambda x: concat('s', x)), '  '), ' ')"
     for n, rule in sorted(enumerate(names), key=lambda x: -len(RULES[x[1]])):
         line = f"replace({line}, {quoted(' ' + '  '.join(f's{ids.index(i) + 1}' for i in RULES[rule]) + ' ')}, ' r{n} ')"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-a AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quoted(ANCHOR)}) THEN list_transform(string_split_regex({cut}, chr(1) || '|\\n+'), lambda x: {normal}) ELSE [] END AS s FROM d),
-b AS (SELECT doc_id, list_filter(list_transform(range(len(s)), lambda i: coalesce({found})), lambda x: x IS NOT NULL) AS k FROM a),
+a AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quoted(ANCHOR)}) THEN regexp_extract_all({normal}, {pattern}, 1) ELSE [] END AS s FROM d),
+b AS (SELECT doc_id, list_transform(s, lambda x: list_position({places[0]}, ({places[2]})[list_position({places[1]}, x)])) AS k FROM a),
 c AS (SELECT doc_id, k, CASE WHEN len(k) > 0 THEN list_transform(regexp_extract_all({line}, 'r(\\d+)', 1), lambda x: ({listed(names)})[CAST(x AS INTEGER) + 1]) ELSE [] END AS m FROM b)
 SELECT doc_id, CAST(len(k) AS BIGINT) AS n_sentences, array_to_string(list_transform(k, lambda x: ({listed(ids)})[x]), ',') AS sentence_ids, array_to_string(m, ',') AS matches, array_to_string(list_sort(list_distinct(m)), ',') AS licenses FROM c"""
