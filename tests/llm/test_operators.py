@@ -483,6 +483,7 @@ def test_alignment_is_exact():
         assert near_dedup._by_anchors(a, b) >= d
         for most in (d, d + 3, max(0, d - 1)):
             want = d if d <= most else None
+            assert not len(a) or near_dedup._by_bits(a, b, most) == want
             assert near_dedup._by_diagonals(a, b, most) == want
             if abs(len(a) - len(b)) <= most:
                 assert near_dedup._by_band(a.astype(np.int64), b.astype(np.int64), most) == want
@@ -570,6 +571,39 @@ def test_keys_of_texts_with_spread_edits():
         assert missed <= lost
 
 
+def test_keys_of_short_texts_with_edits_at_the_limit():
+    """At a similarity of exactly 0.8, or just above, nearly every pair of short texts shares a key; lengths may differ."""
+    rng = np.random.default_rng(11)
+    for n, edits, lost in ((20, 4, 8), (30, 6, 4), (47, 9, 4), (58, 11, 8)):
+        missed = 0
+        for _ in range(300):
+            a = rng.integers(0, 1 << 31, n).astype(np.uint32)
+            b = a.copy()
+            b[rng.choice(n, edits, replace=False)] = rng.integers(0, 1 << 31, edits)
+            ka, kb = near_dedup.first_keys(a), near_dedup.first_keys(b)
+            missed += not (ka == kb).any()
+        assert missed <= lost, (n, missed)
+    a = rng.integers(0, 1 << 31, 66).astype(np.uint32)  # one text is short, the other isn't: the first keys are alike
+    assert len(near_dedup.first_keys(a[:60])) == 52 and len(near_dedup.first_keys(a)) == 32
+    assert (near_dedup.first_keys(a[:60])[:32] == near_dedup.keys_of(a[:60])).all()
+
+
+def test_twins_of_the_same_passages(spark):
+    """Texts of the same ten passages in different orders share every short k-mer; those in one order, a tenth of the words changed, are near-duplicates."""
+    rng = np.random.default_rng(12)
+    passages = [[f"p{k}w{i}" for i in range(36)] for k in range(10)]
+    texts, twins = [], 60
+    for i in range(twins):
+        words = [w for k in rng.permutation(10) for w in passages[k]]
+        other = [f"x{i}y{j}" if rng.random() < 0.1 else w for j, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    began = time.monotonic()
+    got = {r.doc_id: r.cluster_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 120
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(twins)) >= 0.9 * twins
+    assert len(set(got.values())) >= twins
+
+
 def test_near_pairs_inside_a_passage_of_many(spark):
     """Texts that share nearly all their keys through a passage which 40 unlike texts hold as well."""
     rng = np.random.default_rng(8)

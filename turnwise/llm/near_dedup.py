@@ -12,7 +12,8 @@ Plan, from a hot group's point of view:
    nothing further on.
 2. Buckets are never gathered. Each sketch gives a key, and so does the least 5-mer alone of further functions: edits
    that are spread over a text leave few 5-mers, and seldom two of a sketch. With each key goes the text's length, in steps of
-   ``CELL`` times that start elsewhere for every function, so that texts of unlike lengths seldom meet. An
+   ``CELL`` times that start elsewhere for every function, so that texts of unlike lengths seldom meet; short texts have more
+   keys, of single 3-mers. An
    aggregation keeps of each bucket its size and its first and last member in a fixed random order; a
    skew-splittable join brings these two back to every member: at most 2 B candidate pairs of B documents.
 3. Only documents in candidate pairs have their words read again, as 32-bit numbers. Pairs whose lengths alone forbid
@@ -21,8 +22,8 @@ Plan, from a hot group's point of view:
 4. Each document's first partner is verified before the others: of these, pairs whose documents are in one class by
    then need no look.
 5. Buckets whose members are still of several classes are mixed: a passage that many documents share makes
-   such. Their members are split by ``FURTHER`` rounds of further sketches (other functions, of three-word k-mers, two to
-   six in text order), in which steps 2 to 4 are repeated for pairs of different classes, with last members
+   such. Their members are split by rounds of further sketches (other functions, of three-word k-mers, two to
+   six in text order; ``FURTHER`` rounds, and then as long as a round finds links), in which steps 2 to 4 are repeated for pairs of different classes, with last members
    by another order in every bucket. The more k-mers in order a sketch has, the fewer unlike texts share it, however
    much text they have in common; so every round leaves smaller buckets, and goes on with those still mixed.
 6. Labels spread over the links by minima, with pointer jumping, until none changes; each round is cut by a checkpoint
@@ -52,12 +53,17 @@ K = 5
 #: Sketches of a first round as (k, k-mers of a sketch, functions); those of each further round of mixed buckets.
 FIRST = ((5, 2, 12), (5, 1, 20))
 MORE = ((3, 2, 6), (3, 4, 20), (3, 6, 18))
-#: Rounds of further sketches.
-FURTHER = 2
+#: Sketches that texts of up to ``SHORT_WORDS`` words have besides: edits leave them few 5-mers, or none.
+SHORT = ((3, 1, 20),)
+SHORT_WORDS = 60
+#: Rounds of further sketches: at least, and at most; they go on as long as the last one found links.
+FURTHER, FURTHER_MOST = 2, 12
 SIMILARITY = 0.8
 #: Lengths that share a bucket differ by less than this factor; it is well over 1 / SIMILARITY.
 CELL = 2.0
-#: Up to so many edits the alignment follows diagonals; beyond it fills a band row by row.
+#: Up to so many words an alignment is made in bit vectors, a word of one text against all of the other at a time.
+BIT_WORDS = 16_384
+#: In longer texts, up to so many edits the alignment follows diagonals; beyond it fills a band row by row.
 DIAGONALS = 48
 MAX_ROUNDS = 60
 
@@ -146,6 +152,12 @@ def keys_of(words: np.ndarray, plan: tuple = FIRST, first: int = 1) -> np.ndarra
     return _mixed(all_keys + cell * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
+def first_keys(words: np.ndarray) -> np.ndarray | None:
+    """The keys of a first round: those of ``FIRST``, and behind them those of ``SHORT`` if the text is short."""
+    keys = keys_of(words)
+    return np.concatenate([keys, keys_of(words, SHORT, 501)]) if 0 < len(words) <= SHORT_WORDS else keys
+
+
 def _least(kmers: np.ndarray, m: int, order: int, first: int, cells: int = 4_000_000) -> np.ndarray:
     """The sketches of the hash functions ``first`` to ``first + m - 1``; up to ``cells`` hashes at a time."""
     step = max(1, cells // len(kmers))
@@ -217,6 +229,38 @@ def _by_band(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return got if got <= most else None
 
 
+def _by_bits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance by bit vectors, or None if it is over ``most``.
+
+    A column of the table of distances is two integers: in which rows it is one more, and one less, than the row above.
+    """
+    n, left = len(a), len(b)
+    mask, last = (1 << n) - 1, 1 << (n - 1)
+    where: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        where[word] = where.get(word, 0) | 1 << i
+    more, less, found = mask, 0, n
+    for word in b.tolist():
+        left -= 1
+        equal = where.get(word, 0)
+        steep = equal | less
+        flat = (((equal & more) + more) ^ more) | equal
+        up = less | (mask & ~(flat | more))
+        down = more & flat
+        if up & last:
+            found += 1
+            if found - left > most:
+                return None
+        elif down & last:
+            found -= 1
+        elif found - left > most:
+            return None
+        up = up << 1 | 1
+        more = (down << 1 | ~(steep | up)) & mask
+        less = up & steep & mask
+    return found if found <= most else None
+
+
 def _by_anchors(a: np.ndarray, b: np.ndarray) -> int:
     """An upper bound of the edit distance: the cost of the alignment that common labelled 3-mers, in one order, give."""
     n, m = len(a), len(b)
@@ -301,6 +345,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         bound = max(bound, _least_edits(a, b, most, q))
         if bound > most:
             return False
+    if max(len(a), len(b)) <= BIT_WORDS:
+        return _by_bits(a, b, most) is not None
     found = _by_diagonals(a, b, min(most, DIAGONALS)) if bound <= DIAGONALS else None
     if found is None and most > DIAGONALS:
         found = _by_band(a.astype(np.int64), b.astype(np.int64), most)
@@ -308,7 +354,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, n, keys): ``same`` is a 128-bit digest of the text, ``n`` its words, ``keys`` its bucket keys (null if it has no word)."""
+    """(doc_id, same, n, keys): ``same`` is the text's SHA-256, ``n`` its words, ``keys`` its bucket keys (null if it has no word)."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -319,7 +365,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             for text in batch.column(2):
                 numbers = words.numbers(text.as_py())
                 sizes.append(len(numbers))
-                keys.append(keys_of(numbers))
+                keys.append(first_keys(numbers))
             columns = [*batch.columns[:2], pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "keys"])
 
@@ -329,7 +375,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, same, text) of every row."""
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("same"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("same"), text.alias("text"))
 
 
 def further_sketches(words: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
@@ -518,12 +564,14 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tup
     words = scratch.stored(word_numbers(whole).dropDuplicates(["node"]), "words")
     labels = scratch.stored(linked(pairs, words, scratch, least), "labels")
     left = scratch.stored(undecided(met, labels), "undecided")
-    for turn in range(FURTHER):
+    for turn in range(FURTHER_MOST):
         if left.isEmpty():
             break
         again = scratch.stored(meetings_across(named(further_sketches(words, left, turn), labels)), "meetings")
         more = scratch.stored(of_like_length(candidate_pairs(again), words.select("node", "n"), least), "pairs")
-        labels = scratch.stored(further_linked(labels, more, words, scratch, least), "labels")
+        before, labels = labels, scratch.stored(further_linked(labels, more, words, scratch, least), "labels")
+        if turn + 1 >= FURTHER and not _changed(before, labels):
+            break
         left = scratch.stored(undecided(again, labels), "undecided")
     own = named(texts.where("node IS NOT NULL").select("same", "doc_id", "node"), labels)
     least_of = own.groupBy("label").agg(F.min(F.struct("doc_id", "same")).alias("least"))
@@ -531,6 +579,12 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tup
     return seen.select("doc_id", "same"), told
 
 
+def _changed(before: DataFrame, after: DataFrame) -> bool:
+    """Whether the components of ``after`` (node, label) are other ones than those of ``before``: they have only grown together."""
+    size = lambda labels: tuple(labels.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.col("label"))).first())
+    return size(before) != size(after)
+
+
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class of near-duplicates, all columns kept: the one with the least ``doc_id``.
 
@@ -542,7 +596,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         seen, told = classes(with_id, scratch, least)
         chosen = scratch.kept(told.where("kept").select(F.col("doc_id").alias("__id"), F.col("same").alias("__same")), "chosen")
         repeated = not seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    text = F.unhex(F.md5(text_or_empty().cast("binary")))
+    text = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
     kept = with_id.join(chosen.hint("merge"), (with_id["doc_id"].cast("long") == chosen["__id"]) & (text == chosen["__same"]), "left_semi")
     if repeated:
         order = Window.partitionBy("doc_id", text).orderBy(F.to_json(F.struct(*docs.columns)))
