@@ -33,7 +33,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes template xmp svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe noframes template xmp svg annotation annotation-xml object".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -62,6 +62,8 @@ CONTENT = frozenset("article body content entry main post story text page column
 LAYOUT = frozenset("no has with without is not hide show".split())
 #: Words after which a name is boilerplate wherever they stand in it.
 ALWAYS = frozenset("comment comments reply replies disqus".split())
+#: What names of boilerplate are run together with.
+RUN_ON = ("list", "box", "wrap", "wrapper", "area", "form", "section", "block", "container", "bar", "links", "count", "items", "thread", "holder", "panel")
 #: Elements nested deeper aren't told apart from their parents.
 DEPTH = 256
 #: A paragraph of so many characters reads like part of an article.
@@ -93,10 +95,18 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if "=" in text or "hidden" in text else {}
 
 
+def _parts(word: str) -> list[str]:
+    """A word of a name, and the word of boilerplate that another one is run together with."""
+    for end in RUN_ON:
+        if word.endswith(end) and word.removesuffix(end) in NOISE:
+            return [word.removesuffix(end)]
+    return [word]
+
+
 def _noisy(names: str) -> bool:
     """Whether one of several class or id names is that of boilerplate: by its last word, or by another beside which none says content."""
     for name in names.split():
-        words = [x.lower() for x in _NAME_PART.findall(name)]
+        words = [p for x in _NAME_PART.findall(name) for p in _parts(x.lower())]
         if not words or words[0] in LAYOUT:
             continue
         if words[-1] in NOISE or not ALWAYS.isdisjoint(words):
