@@ -399,7 +399,65 @@ def test_media_awkward(awkward, nothing):
 
     tensors = media.tensor_column(media.audio_features(stored.where("doc_id = 6")).toArrow())
     assert tensors.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (media.FRAMES, media.MELS))
-    assert tensors.num_rows == -(-(-(-len(media.payload(LONG.encode())) // 2) // media.HOP) // media.FRAMES)
+    slow = -(-len(media.payload(LONG.encode())) * media.UP // media.DOWN)
+    assert tensors.num_rows == -(-(-(-(slow - media.FFT) // media.HOP) + 1) // media.FRAMES)
+
+
+def plain_log_mel(x, rate):
+    """Log-mel frames by a plain DFT: sums of sines and cosines, filters by their definition."""
+    n_bins = media.FFT // 2 + 1
+    hz = lambda m: 700.0 * (10 ** (m / 2595.0) - 1)
+    top = 2595.0 * np.log10(1 + rate / 2 / 700.0)
+    edges = [hz(top * i / (media.MELS + 1)) for i in range(media.MELS + 2)]
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (media.FFT - 1)) for i in range(media.FFT)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FFT), np.arange(n_bins)) / media.FFT)
+    rows, at = [], 0
+    while True:
+        frame = np.zeros(media.FFT)
+        part = x[at : at + media.FFT]
+        frame[: len(part)] = part
+        power = np.abs((frame * window) @ turn) ** 2
+        bands = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:], strict=False):
+            total = 0.0
+            for k in range(n_bins):
+                f = k * rate / media.FFT
+                total += power[k] * max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid)))
+            bands.append(np.log10(total + 1e-8))
+        rows.append(bands)
+        at += media.HOP
+        if at + media.FFT - media.HOP >= len(x):
+            return np.array(rows)
+
+
+def test_log_mel_is_that_of_a_plain_transform():
+    rng = np.random.default_rng(2)
+    for n in (64, 256, 300, 1000):
+        x = (rng.random(n) - 0.5).astype(np.float32)
+        got, _ = media.log_mel(x, 6000.0)
+        want = plain_log_mel(x, 6000.0)
+        assert got.shape == want.shape and np.allclose(got, want, atol=2e-3)
+
+
+def test_features_are_stored_as_tensors_with_time_spans(spark):
+    import pyarrow as pa
+
+    quiet, loud = bytes([128]) * 6000, bytes([0, 255]) * 3000
+    texts = ["\x00" * 10, "ab" * 5000, ""]
+    raw = [(i, len(t), bytes(media.to_wav(media.payload(t.encode())))) for i, t in enumerate(texts)] + [(9, 12000, bytes(media.to_wav(quiet + loud + quiet))), (10, 3, b"bad")]
+    chunks = media.stored_features(spark.createDataFrame(raw, "doc_id long, n_bytes long, media binary").coalesce(1))
+    (row,) = chunks.collect()
+    told, heard = media.read_stream(bytes(row.windows)), media.read_stream(bytes(row.segments))
+    assert told.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float16(), (media.FRAMES, media.MELS))
+    ends = {f: max(r["end_s"] for r in told.select(["file", "end_s"]).to_pylist() if r["file"] == f) for f in (1, 3)}
+    assert ends[1] >= 10_000 / media.RATE and ends[3] >= 18_000 / media.RATE
+    (span,) = [r for r in heard.to_pylist() if r["file"] == 3]
+    assert abs(span["start_s"] - 6000 / media.RATE) < 0.05 and abs(span["end_s"] - 12_000 / media.RATE) < 0.05
+    got = {r.doc_id: r for r in media.feature_digests(chunks).collect()}
+    assert got[10].feature is None and got[10].media_bytes == 3 and abs(got[9].loud_seconds - 6000 / media.RATE) < 0.1
+    tensor, spans, step = media.features(media.payload(texts[1].encode()))
+    kept = (np.rint(tensor * 64) / 64).astype("<f2").tobytes() + np.rint(np.array(spans).reshape(-1, 2) * step * 1000).astype("<i8").tobytes()
+    assert got[1].feature == hashlib.sha256(kept).hexdigest()
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------------
@@ -836,7 +894,12 @@ def test_deep_and_empty_pages(spark):
 PROSE = "The quick brown fox, having jumped over the lazy dog, went home to write a long sentence about it, and then another. "
 
 
-@pytest.mark.parametrize("name", ["entry-footer", "article-footer", "page-sidebar", "content-ad", "story-share", "main-menu", "comment-text", "comment-body", "post-comments", "related-posts sidebar"])
+def test_formulas_belong_to_the_article():
+    page = "<article><p>A long sentence, with commas, says that <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds, and more, and more.</p></article>"
+    assert html_text.main_text(page) == "A long sentence, with commas, says that x=2 holds, and more, and more."
+
+
+@pytest.mark.parametrize("name", ["commentlist", "commentbox", "footerlinks", "adbox", "sidebarwrap", "entry-footer", "article-footer", "page-sidebar", "content-ad", "story-share", "main-menu", "comment-text", "comment-body", "post-comments", "related-posts sidebar"])
 def test_boilerplate_inside_the_article_goes(name):
     page = f"<body><article><h1>Head</h1><p>{PROSE * 3}</p><div class='{name}'><p>Not of the article, {PROSE}</p></div><p>{PROSE * 2}</p></article></body>"
     assert "Not of the article" not in html_text.main_text(page)

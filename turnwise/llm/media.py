@@ -4,8 +4,10 @@ Storing: any bytes become the samples of an 8-bit mono WAV file, zero-padded to
 be read back bit for bit. Features: polyphase resampling, overlapped log-mel filterbanks, and segmentation of the
 frame energy with hysteresis (a segment starts above one level and ends below a lower one).
 
-Media are written to a Parquet table in the shared folder and read back from there; features are one Arrow pass over
-it. A file is worked on in blocks, so memory is a few times the largest file; nothing is shuffled.
+Media are written to a Parquet table in the shared folder and read back from there. Features are one Arrow pass over
+it, whose results are stored, too: a row holds an Arrow stream with a fixed-shape tensor and a time span for each window of some files, and a second
+stream with the time spans of their loud segments; digests are made of what is read back from these. A file is worked on in blocks,
+so memory is a few times the largest file; nothing is shuffled.
 
 Defined results: null counts as empty, and an empty payload is 64 zero bytes; bytes that are no WAV file of this kind
 give a null payload and features; equal media give equal values, whatever batch they come in; repeated rows are kept;
@@ -25,20 +27,24 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import Scratch, small, text_or_empty
+from turnwise.llm.common import Scratch, small, stored, text_or_empty
 
 RATE = 16_000
 UNIT = 64
-#: The rate after resampling is RATE * UP / DOWN.
-UP, DOWN, TAPS = 1, 2, 16
+#: The rate after resampling is RATE * UP / DOWN, 6 kHz: three phases.
+UP, DOWN, TAPS = 3, 8, 16
 FFT, HOP, MELS = 256, 128, 32
 #: Frames of one tensor.
 FRAMES = 64
+#: Tensors are rounded to this and stored as 16-bit floats, which hold it exactly. Bytes of tensors in one stored row, unless one file has more.
+STEP = 1 / 64
+CHUNK_BYTES = 4 << 20
 #: Levels between the quiet and the loud tenth of the frames at which a segment starts and ends.
 START, STOP = 0.6, 0.4
 BLOCK = 4096
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_windows long, n_segments long, seconds double"
+DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_windows long, n_segments long, seconds double, loud_seconds double"
+CHUNK_SCHEMA = "files array<struct<doc_id:bigint,n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,seconds:double>>, windows binary, segments binary"
 FEATURE_SCHEMA = "doc_id long, window int, start_s double, end_s double, voiced double, tensor array<float>"
 
 
@@ -197,7 +203,7 @@ def tensor_array(tensor: np.ndarray):
     """(windows, frames, mels) numbers as an Arrow array of fixed-shape tensors."""
     import pyarrow as pa
 
-    kind = pa.fixed_shape_tensor(pa.float32(), tensor.shape[1:])
+    kind = pa.fixed_shape_tensor(pa.from_numpy_dtype(tensor.dtype), tensor.shape[1:])
     flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.ravel()), int(np.prod(tensor.shape[1:])))
     return pa.ExtensionArray.from_storage(kind, flat)
 
@@ -207,6 +213,81 @@ def read_tensors(array) -> np.ndarray:
     return array.to_numpy_ndarray()
 
 
+def write_stream(columns: dict) -> bytes:
+    """Arrow columns as a compressed Arrow stream."""
+    import pyarrow as pa
+
+    table = pa.table(list(columns.values()), names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def read_stream(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def window_streams(files: list[tuple[np.ndarray, list[tuple[int, int]], float]]) -> tuple[bytes, bytes]:
+    """The features of some files (tensors, loud spans in frames, seconds per frame) as two Arrow streams: windows, with their
+    place in the list, time span and tensor; and loud segments, with place and time span."""
+    import pyarrow as pa
+
+    tensors = np.concatenate([t for t, _, _ in files] or [np.zeros((0, FRAMES, MELS))])
+    rounded = (np.rint(tensors / STEP) * STEP).astype(np.float16)
+    file = np.repeat(np.arange(len(files)), [len(t) for t, _, _ in files])
+    start = np.concatenate([np.arange(len(t)) * FRAMES * step for t, _, step in files] or [np.zeros(0)])
+    length = np.repeat([FRAMES * step for _, _, step in files], [len(t) for t, _, _ in files])
+    windows = {"file": pa.array(file, pa.int32()), "start_s": pa.array(start), "end_s": pa.array(start + length), "tensor": tensor_array(rounded)}
+    spans = [(i, a * step, b * step) for i, (_, found, step) in enumerate(files) for a, b in found]
+    loud = {n: pa.array([x[k] for x in spans], t) for k, (n, t) in enumerate((("file", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())))}
+    return write_stream(windows), write_stream(loud)
+
+
+def stored_features(media: DataFrame) -> DataFrame:
+    """``CHUNK_SCHEMA`` rows of some of ``media`` (``doc_id``, ``n_bytes``, ``media``) each: what was read back from the files, and their features as Arrow streams."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "seconds"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+        facts: list[tuple] = []
+        made: list[tuple] = []
+        size = 0
+
+        def chunk():
+            structs = pa.StructArray.from_arrays([pa.array([f[i] for f in facts], k) for i, k in enumerate(kinds)], names=names)
+            files = pa.ListArray.from_arrays(pa.array([0, len(facts)], pa.int32()), structs)
+            streams = window_streams(made)
+            return pa.RecordBatch.from_arrays([files, *[pa.array([x], pa.binary()) for x in streams]], names=["files", "windows", "segments"])
+
+        for batch in small(batches):
+            for doc_id, n_bytes, item in zip(*[batch.column(i).to_pylist() for i in (0, 1)], batch.column(2), strict=True):
+                data = item.as_py() or b""
+                got = from_wav(data)
+                whole = (len(data), hashlib.sha256(data).hexdigest())
+                if got is None:
+                    facts.append((doc_id, n_bytes, None, None, None, *whole, None))
+                    made.append((np.zeros((0, FRAMES, MELS), np.float32), [], 0.0))
+                else:
+                    samples, rate = got
+                    facts.append((doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), *whole, len(samples) / rate))
+                    made.append(features(samples, rate))
+                size += made[-1][0].nbytes // 2
+                if size >= CHUNK_BYTES:
+                    yield chunk()
+                    facts.clear()
+                    made.clear()
+                    size = 0
+        if facts:
+            yield chunk()
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", F.col("media").cast("binary").alias("media")).mapInArrow(run, CHUNK_SCHEMA)
+
+
 def tensor_column(table):
     """A pyarrow table or batch of :func:`audio_features` with ``tensor`` as a fixed-shape tensor array."""
     import pyarrow as pa
@@ -220,41 +301,47 @@ def tensor_column(table):
     return pa.table(columns, pa.schema([pa.field(f.name, t) for f, t in zip(table.schema, fields, strict=True)]))
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """What is read back from each of ``media`` (``doc_id``, ``n_bytes``, ``media``), as digests: see ``DIGEST_SCHEMA``.
+def feature_digests(chunks: DataFrame) -> DataFrame:
+    """``DIGEST_SCHEMA`` rows of every file of :func:`stored_features`.
 
-    ``feature`` is the SHA-256 of the tensors, rounded to 1/64, and of the loud spans.
+    ``feature`` is the SHA-256 of the file's tensors and of its loud segments' time spans in milliseconds, as they are read from the stored streams.
     """
 
-    def row(item: bytes) -> tuple:
-        got = from_wav(item)
-        if got is None:
-            return (None, None, None, len(item), hashlib.sha256(item).hexdigest(), None, None, None, None)
-        samples, rate = got
-        tensor, spans, step = features(samples, rate)
-        # through the Arrow column that carries the tensors, as they are read from it
-        tensor = read_tensors(tensor_array(tensor))
-        rounded = np.rint(tensor * 64).astype("<i2").tobytes()
-        digest = hashlib.sha256(rounded + np.array(spans, "<i8").tobytes()).hexdigest()
-        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(item), hashlib.sha256(item).hexdigest(), digest, len(tensor), len(spans), len(samples) / rate)
-
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = [f.split()[0] for f in DIGEST_SCHEMA.split(", ")]
-        for batch in small(batches):
-            rows = [row(x.as_py() or b"") for x in batch.column(2)]
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
+        for batch in batches:
+            for facts, windows, segments in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                told, loud = read_stream(windows.as_py()), read_stream(segments.as_py())
+                tensors = read_tensors(told.column("tensor").chunk(0)) if told.num_rows else np.zeros((0, FRAMES, MELS), np.float16)
+                first = np.searchsorted(told.column("file").to_numpy(), np.arange(len(facts) + 1))
+                spans = np.column_stack([loud.column(c).to_numpy() for c in ("start_s", "end_s")])
+                first_span = np.searchsorted(loud.column("file").to_numpy(), np.arange(len(facts) + 1))
+                rows = []
+                for i, f in enumerate(facts):
+                    own, heard = tensors[first[i] : first[i + 1]], spans[first_span[i] : first_span[i + 1]]
+                    digest = hashlib.sha256(own.astype("<f2").tobytes() + np.rint(heard * 1000).astype("<i8").tobytes()).hexdigest()
+                    known = f["payload_bytes"] is not None
+                    tail = (digest, len(own), len(heard), f["seconds"], round(float((heard[:, 1] - heard[:, 0]).sum()), 6)) if known else (None,) * 5
+                    rows.append((f["doc_id"], f["n_bytes"], f["payload_bytes"], f["payload_sha256"], f["tail_crc32"], f["media_bytes"], f["media_sha256"], *tail))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return chunks.select("files", "windows", "segments").mapInArrow(run, DIGEST_SCHEMA)
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST_SCHEMA)
+def media_digests(media: DataFrame) -> DataFrame:
+    """What is read back from each of ``media`` (``doc_id``, ``n_bytes``, ``media``) and from its stored features, as digests: see ``DIGEST_SCHEMA``."""
+    return feature_digests(stored(stored_features(media), "media-features"))
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
     """Store each document as a media file, read the stored files back and give their digests and features'.
 
-    The media are deleted when the digests are stored; to keep them, write :func:`to_media` to a table of one's own.
+    The media are deleted when the features are stored, and these when the digests are; to keep them, write :func:`to_media` to a table of one's own.
     """
     with Scratch(docs.sparkSession) as scratch:
-        return scratch.kept(media_digests(scratch.stored(to_media(docs), "media")), "media-digests")
+        with Scratch(docs.sparkSession) as first:
+            chunks = scratch.stored(stored_features(first.stored(to_media(docs), "media")), "media-features")
+        return scratch.kept(feature_digests(chunks), "media-digests")
