@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import ranks
@@ -101,9 +101,14 @@ def success_breakdown(sessions: DataFrame) -> DataFrame:
     return got.select("outcome", "sessions", ranks.percent(F.col("sessions"), F.col("total")).alias("pct")).orderBy("outcome")
 
 
+def drawn(seed: int) -> Column:
+    """The order in which samples are drawn: by a seeded digest of the ids, the same in every run and in any engine."""
+    return F.md5(F.concat(F.col("query_id"), F.lit(f":{seed}")))
+
+
 def sample_sessions(sessions: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` sessions, chosen by a seeded hash of their ids: the same in every run."""
-    return sessions.orderBy(F.xxhash64(F.col("query_id"), F.lit(seed)), "pos").limit(n)
+    """``n`` sessions, chosen by a seeded digest of their ids."""
+    return sessions.orderBy(drawn(seed), "pos").limit(n)
 
 
 def dialogues(sessions: DataFrame) -> DataFrame:
@@ -155,9 +160,9 @@ def window_rate(sessions: DataFrame, n: int) -> DataFrame:
 
 
 def outcome_examples(sessions: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
-    """Up to ``n`` sessions of each outcome, chosen by a seeded hash; the limit is pushed below the exchange."""
+    """Up to ``n`` sessions of each outcome, chosen by a seeded digest; the limit is pushed below the exchange."""
     outcome = F.when(F.coalesce("success", F.lit(False)), F.concat(F.lit("turn_"), F.col("success_turn").cast("string"))).otherwise(F.lit("no_success"))
-    w = Window.partitionBy("outcome").orderBy(F.xxhash64(F.col("query_id"), F.lit(seed)), "pos")
+    w = Window.partitionBy("outcome").orderBy(drawn(seed), "pos")
     return sessions.withColumn("outcome", outcome).withColumn("__n", F.row_number().over(w)).where("__n <= " + str(int(n))).drop("__n")
 
 

@@ -285,7 +285,9 @@ def public_sessions(spark, sf_dir):
     return exporting.public_sessions(sessions(spark, sf_dir), "conv").select("session_id", "subset", F.array_join("ground_truth_ids", ",").alias("ground_truth_ids"), "num_turns")
 
 
-@query()
+@query(
+    f"WITH {SESS}, s AS (SELECT * FROM sess ORDER BY md5(concat(CAST(conv_id AS VARCHAR), ':42')) LIMIT 3) SELECT CAST(f.conv_id AS VARCHAR) AS query_id, CAST(s.last_rank.r AS INTEGER) AS final_rank, CAST(f.i AS INTEGER) AS turn, CASE WHEN f.i = 0 THEN s.original_query ELSE f.relative_caption END AS user_input, CASE WHEN f.selected_image IS NULL THEN 'initial search' ELSE concat('selected ', f.selected_image) END AS system_action, CAST(f.rnk AS INTEGER) AS best_gt_rank, f.i = s.success_turn AS success FROM flat AS f JOIN s ON f.conv_id = s.conv_id"
+)
 def report_examples(spark, sf_dir):
     return stats.dialogues(stats.sample_sessions(sessions(spark, sf_dir), 3)).select("query_id", "final_rank", F.inline("dialogue"))
 
@@ -314,7 +316,9 @@ def trial_run(spark, sf_dir):
     return resume.first_n(resume.missing(s, s.where("success"), "query_id")).select("query_id")
 
 
-@query()
+@query(
+    f"WITH {SESS}, o AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, CASE WHEN success THEN concat('turn_', success_turn) ELSE 'no_success' END AS outcome FROM sess), n AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY md5(concat(query_id, ':42'))) AS nth FROM o) SELECT outcome, query_id FROM n WHERE nth <= 3"
+)
 def outcome_examples(spark, sf_dir):
     return stats.outcome_examples(sessions(spark, sf_dir)).select("outcome", "query_id")
 
