@@ -28,10 +28,10 @@ def last_rows(sessions: DataFrame) -> DataFrame:
     return last_by(sessions, "query_id", "pos")
 
 
-def last_row_facts(sessions: DataFrame) -> DataFrame:
+def last_row_facts(sessions: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """(query_id, multi_turn, original_query): of each id's last row, whether it succeeded after the first turn, and
-    whether its query isn't blank."""
-    last = last_rows(sessions.select("query_id", "pos", "success_turn", "original_query"))
+    whether its query isn't blank. ``last``, here and below: the ids' last rows, where they are at hand."""
+    last = last_rows(sessions.select("query_id", "pos", "success_turn", "original_query")) if last is None else last
     asked = F.length(text.py_strip(F.coalesce("original_query", F.lit("")))) > 0
     return last.select("query_id", (F.coalesce("success_turn", F.lit(0)) > 0).alias("multi_turn"), asked.alias("original_query"))
 
@@ -73,9 +73,10 @@ def rank_facts(turns: DataFrame, margin: float = RANK_MARGIN) -> DataFrame:
     return rank_jumps(turns, margin).select("query_id", fine.alias("fine"))
 
 
-def modification_texts(sessions: DataFrame) -> DataFrame:
+def modification_texts(sessions: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """(query_id, i, text): the texts that a session's turns add; the first is the original query. Blank ones are left out."""
-    flat = last_rows(sessions.select("query_id", "pos", "original_query", "turns")).select("query_id", "original_query", F.posexplode("turns").alias("i", "t"))
+    last = last_rows(sessions.select("query_id", "pos", "original_query", "turns")) if last is None else last
+    flat = last.select("query_id", "original_query", F.posexplode("turns").alias("i", "t"))
     said = flat.select("query_id", "i", F.when(F.col("i") == 0, F.col("original_query")).otherwise(F.col("t.relative_caption")).alias("text"))
     return said.where(F.coalesce("text", F.lit("")) != "")
 
@@ -95,18 +96,18 @@ def diverse(sessions: DataFrame, ids: DataFrame, encoded: DataFrame, least: floa
     return ids.join(too_alike(modification_texts(sessions), encoded, least), "query_id", "left_anti")
 
 
-def repeats_an_image(sessions: DataFrame, hashes: DataFrame) -> DataFrame:
+def repeats_an_image(sessions: DataFrame, hashes: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """Ids that select an image with the content of the reference image, or the same content twice.
 
     ``hashes`` (image_id, img_hash); images of unknown content don't count.
     """
     known = hashes.select("image_id", "img_hash").dropDuplicates(["image_id"])
-    last = last_rows(sessions.select("query_id", "pos", "reference_image_id", "turns"))
-    ref = last.select("query_id", F.col("reference_image_id").alias("image_id")).join(known, "image_id").select("query_id", F.col("img_hash").alias("ref_hash"))
-    picked = last.select("query_id", F.explode("turns").alias("t")).select("query_id", F.col("t.selected_image").alias("image_id")).where("image_id IS NOT NULL").join(known, "image_id")
-    twice = picked.groupBy("query_id", "img_hash").count().where("count > 1").select("query_id")
-    as_ref = picked.join(ref, "query_id").where(F.col("img_hash") == F.col("ref_hash")).select("query_id")
-    return twice.unionByName(as_ref).distinct()
+    last = last_rows(sessions.select("query_id", "pos", "reference_image_id", "turns")) if last is None else last
+    images = F.concat(F.array(F.struct(F.lit(True).alias("is_ref"), F.col("reference_image_id").alias("image_id"))), F.transform("turns", lambda t: F.struct(F.lit(False).alias("is_ref"), t["selected_image"].alias("image_id"))))
+    asked = last.select("query_id", F.inline(images)).where("image_id IS NOT NULL").join(known, "image_id")
+    # a content with the reference among its uses and a selection, or with two selections
+    uses = asked.groupBy("query_id", "img_hash").agg(F.count_if(F.col("is_ref")).alias("refs"), F.count_if(~F.col("is_ref")).alias("picks"))
+    return uses.where("picks > 1 OR (picks > 0 AND refs > 0)").select("query_id").distinct()
 
 
 def hash_lookups(sessions: DataFrame, hashes: DataFrame) -> DataFrame:

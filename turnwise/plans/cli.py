@@ -185,11 +185,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     rows = sessions.read_any(spark, a.input)
     if a.command == "filter":
         options = curate.Options(**{s: getattr(a, s) for s in curate.STAGES}, margin=a.rank_margin, similarity=a.similarity_threshold)
-        said = curate.filters.modification_texts(rows).select("text").distinct()
         hashes = spark.read.parquet(a.hashes) if a.hashes else None
         if hashes is None and options.image_duplication:
             print("image_duplication is left out: no --hashes")
-        kept, log = curate.curate(rows, encoded=models.encode_column(said, "text", models.hashing_encoder), hashes=hashes, options=options)
+        kept, log = curate.curate(rows, encoded=lambda said: models.encode_column(said, "text", models.hashing_encoder), hashes=hashes, options=options)
         log.show(truncate=False)
         queries = spark.read.parquet(a.annotations) if a.annotations else None
         name = (rows.select("dataset").first() or [""])[0]

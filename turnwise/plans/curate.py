@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,18 +29,27 @@ class Options:
     similarity: float = filters.SIMILARITY
 
 
-def _flagged(sessions: DataFrame, turns: DataFrame, encoded: DataFrame | None, hashes: DataFrame | None, o: Options, on: dict[str, bool]) -> DataFrame:
-    """(query_id, pos) of every row whose id is a number, with a flag for each stage that runs."""
+Encoded = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _flagged(sessions: DataFrame, turns: DataFrame, encoded: Encoded | None, hashes: DataFrame | None, o: Options, on: dict[str, bool]) -> DataFrame:
+    """(query_id, pos) of every row whose id is a number, with a flag for each stage that runs.
+
+    Facts of ids are those of their last rows, which are found and written once.
+    """
+    last = cut(filters.last_rows(sessions.select("query_id", "pos", "success_turn", "original_query", "reference_image_id", "turns"))) if any(on[s] for s in STAGES[1:3] + STAGES[4:]) else None
     out = sessions.where(filters.numeric_id(F.col("query_id")).isNotNull()).select("query_id", "pos", F.coalesce("success", F.lit(False)).alias("success"))
     if on["multi_turn"] or on["original_query"]:
-        out = out.join(filters.last_row_facts(sessions), "query_id", "left")
+        out = out.join(filters.last_row_facts(sessions, last), "query_id", "left")
     if on["rank_margin"]:
         facts = filters.rank_facts(turns, o.margin).select("query_id", F.col("fine").alias("rank_margin"))
         out = out.join(facts, "query_id", "left").withColumn("rank_margin", F.coalesce("rank_margin", F.lit(True)))
     if on["text_similarity"]:
-        out = _without(out, filters.too_alike(filters.modification_texts(sessions), encoded, o.similarity), "text_similarity")
+        said = filters.modification_texts(sessions, last)
+        vectors = encoded(said.select("text").distinct()) if callable(encoded) else encoded
+        out = _without(out, filters.too_alike(said, vectors, o.similarity), "text_similarity")
     if on["image_duplication"]:
-        out = _without(out, filters.repeats_an_image(sessions, hashes), "image_duplication")
+        out = _without(out, filters.repeats_an_image(sessions, hashes, last), "image_duplication")
     return out
 
 
@@ -48,10 +58,10 @@ def _without(rows: DataFrame, bad: DataFrame, stage: str) -> DataFrame:
     return rows.join(bad.select("query_id", F.lit(False).alias(stage)), "query_id", "left").withColumn(stage, F.coalesce(stage, F.lit(True)))
 
 
-def curate(sessions: DataFrame, turns: DataFrame | None = None, encoded: DataFrame | None = None, hashes: DataFrame | None = None, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
+def curate(sessions: DataFrame, turns: DataFrame | None = None, encoded: Encoded | None = None, hashes: DataFrame | None = None, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept sessions, stage log). The log is (stage, stage_no, entering, leaving, filtered_pct).
 
-    ``turns`` defaults to the sessions' own; without ``encoded`` (text, vec) or ``hashes`` (image_id, img_hash) the stage
+    ``turns`` defaults to the sessions' own; ``encoded`` is a table (text, vec) or makes one of the texts (text); without it or ``hashes`` (image_id, img_hash) the stage
     that needs them is left out. A stage that nothing enters isn't logged. Sessions are cut once; each stage becomes a flag of an id; the flags
     are joined once, cut once, and counted for all stages in one aggregation.
     """

@@ -242,8 +242,7 @@ conv_id IN (SELECT conv_id FROM good_margin) AS f4, conv_id NOT IN (SELECT conv_
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = sessions(spark, sf_dir)
-    return curate.curate(s, encoded=_encoded(s), hashes=doc_hashes(spark, sf_dir), options=curate.Options(similarity=ALIKE))
+    return curate.curate(sessions(spark, sf_dir), encoded=lambda said: said.withColumn("vec", _letters(F.col("text"))), hashes=doc_hashes(spark, sf_dir), options=curate.Options(similarity=ALIKE))
 
 
 @query(_PIPE + f" SELECT {_ID}, CAST(success_turn AS INTEGER) AS success_turn, CAST(total_turns AS INTEGER) AS n_turns FROM flags WHERE f1 AND f2 AND f3 AND f4 AND f5 AND f6")
