@@ -153,6 +153,17 @@ def test_suggestions_are_encoded_together_and_told_apart():
     assert [g and g[0] for g in got] == ["blue", None, "old", "new"] and sizes == [2, 2, 2]
 
 
+def test_tokens_are_those_of_a_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["A red dress, with 12 buttons.", "", None, "naïve café 🎉"]
+    made = models.bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = models.count_tokens(spark.createDataFrame(list(enumerate(texts)), "i int, caption string"), "caption", made)
+    assert {r.i: r.tokens for r in got.collect()} == {i: len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_contents_become_vectors(spark, tmp_path):
     for name, data in {"a/1.jpg": b"abc", "a/2.jpg": b"", "b/3.png": bytes(range(256)) * 40}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)

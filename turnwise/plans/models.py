@@ -52,6 +52,37 @@ def encode_column(df: DataFrame, column: str, make: Callable[[], Encoder], batch
     return df.mapInArrow(run, schema)
 
 
+def bpe_counter(ranks: str, pattern: str) -> Callable[[], Callable[[list[str]], list[int]]]:
+    """Counts of a byte-pair vocabulary's tokens: ``ranks`` is a file of base-64 tokens and their ranks, ``pattern`` cuts texts before merging."""
+
+    def make() -> Callable[[list[str]], list[int]]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as file:
+            known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+
+    return make
+
+
+def count_tokens(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[int]]], name: str = "tokens") -> DataFrame:
+    """``df`` with the number of tokens of ``column``, a null text has none. ``make`` is called once per task: there the vocabulary is loaded."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` long"
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        count = make()
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index(column)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count(texts), pa.int64())], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
 def merged_text(caption: Column, change: Column) -> Column:
     """A caption and a change as one description (the default joiner)."""
     return F.concat_ws(", ", F.nullif(caption, F.lit("")), F.nullif(change, F.lit("")))

@@ -511,9 +511,9 @@ def processable_queries(spark, sf_dir):
     return completeness.processable(*_needs(spark, sf_dir)).select("query_id")
 
 
-@query("WITH c AS (SELECT len(regexp_extract_all(text, '[0-9A-Za-z_]+')) AS o FROM documents) SELECT count(*) AS calls, CAST(sum(o + 85) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(o + 85) / 1000.0::DOUBLE * 0.00015::DOUBLE + sum(o) / 1000.0::DOUBLE * 0.0006::DOUBLE, 6) AS cost FROM c")
+@query("WITH c AS (SELECT len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS o FROM documents) SELECT count(*) AS calls, CAST(sum(o + 85) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(o + 85) / 1000.0::DOUBLE * 0.00015::DOUBLE + sum(o) / 1000.0::DOUBLE * 0.0006::DOUBLE, 6) AS cost FROM c")
 def token_cost(spark, sf_dir):
-    words = F.regexp_count("text", F.lit("[0-9A-Za-z_]+")).cast("long")
+    words = text.token_count(F.col("text")).cast("long")
     calls = table(spark, sf_dir, "documents").select(words.alias("input_tokens"), words.alias("output_tokens"))
     return stats.token_costs(calls).drop("cost_per_call").withColumn("cost", F.round("cost", 6))
 
