@@ -122,7 +122,7 @@ def _met(blocks: DataFrame, parts: DataFrame, values: int) -> DataFrame:
     groups = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.withColumn("g", (F.monotonically_increasing_id() % groups).cast("int"))
     asked = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return asked.join(dealt.hint("shuffle_hash"), "g").drop("g")
+    return asked.join(dealt.hint("merge"), "g").drop("g")  # a group's parts are kept on disk where they don't fit
 
 
 def _each(batch, names: list[str]) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray, np.ndarray]]:
