@@ -1,9 +1,9 @@
 """Exact cosine search with deterministic ranks, and ranks of ground truths.
 
-Both are a product of matrices in blocks. Queries are packed into blocks and the corpus into parts, each a row with a
-matrix of bounded size; blocks and parts meet in one equi-join, and a task keeps the best hits of the blocks that it is working
-on. Queries of a checked size are broadcast, so the corpus is read where it lies; beyond it, parts are dealt
-out to groups once and every group gets all blocks. Nothing is streamed through the driver, and the corpus is read once.
+Both are a product of matrices in blocks, and read the corpus once. Queries of a checked size are broadcast, so the corpus stays
+where it lies. Beyond it, queries are packed into blocks and the corpus into parts, each a row with a
+matrix of bounded size; parts are dealt out to groups once, every group gets all blocks, and they meet in one
+equi-join. A task keeps the best hits of the queries that it is working on.
 """
 
 from __future__ import annotations
@@ -113,16 +113,28 @@ def packed(rows: DataFrame, keys: list[str], values: int, normalise: bool = True
     return rows.where("vec IS NOT NULL").select(*columns).mapInArrow(run, schema)
 
 
-def _met(blocks: DataFrame, parts: DataFrame, values: int) -> DataFrame:
-    """Every block with every part, through one equi-join; ``values`` is the size of all blocks together."""
+def _met(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every block with every part, through one equi-join: a group of parts is kept on disk where it doesn't fit."""
     parts = parts.select(*[F.col(c).alias(f"part_{c}") for c in parts.columns])
-    blocks = blocks.withColumn("block", F.monotonically_increasing_id())
-    if values <= BROADCAST_VALUES:
-        return parts.withColumn("g", F.lit(0)).join(F.broadcast(blocks.withColumn("g", F.lit(0))), "g").drop("g")
     groups = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.withColumn("g", (F.monotonically_increasing_id() % groups).cast("int"))
-    asked = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return asked.join(dealt.hint("merge"), "g").drop("g")  # a group's parts are kept on disk where they don't fit
+    asked = blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return asked.join(dealt.hint("merge"), "g").drop("g")
+
+
+def _vectors(column, normalise: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(which vectors of an Arrow column are finite, those as a matrix)."""
+    m = _matrix(column) if len(column) else np.zeros((0, 1))
+    fine = np.isfinite(m).all(axis=1)
+    return fine, _unit(m[fine]) if normalise else m[fine]
+
+
+def _corpus_batches(batches: Iterable, normalise: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indexes, items) of Arrow batches of (corpus_idx, vec)."""
+    for batch in batches:
+        fine, items = _vectors(batch.column(1), normalise)
+        if len(items):
+            yield batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[fine], items
 
 
 def _each(batch, names: list[str]) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray, np.ndarray]]:
@@ -143,24 +155,51 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int =
     ``TILE_VALUES`` similarities at a time. Queries without a vector have no hits, items without one are none. Without ``normalise`` the similarity is the
     plain product.
     """
-    kind = queries.schema["query_id"].dataType.simpleString()
-    blocks = packed(queries, ["query_id"], block_values, normalise)
-    parts = packed(corpus.withColumn("corpus_idx", F.col("corpus_idx").cast("long")), ["corpus_idx"], PART_VALUES, normalise)
-    found = _met(blocks, parts, _values(queries)).mapInArrow(_task_topk(k), f"query_id {kind}, corpus_idx long, sim double")
-    return _ranked(found, k)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, corpus_idx long, sim double"
+    items = corpus.where("vec IS NOT NULL").select(F.col("corpus_idx").cast("long").alias("corpus_idx"), "vec")
+    if _values(queries) <= BROADCAST_VALUES:
+        asked = queries.where("vec IS NOT NULL").select("query_id", "vec").toArrow().combine_chunks()
+        fine, q = _vectors(_whole(asked, "vec"), normalise)
+        shared = corpus.sparkSession.sparkContext.broadcast((_whole(asked, "query_id").to_numpy(zero_copy_only=False)[fine], q))
+        return _ranked(items.mapInArrow(_corpus_topk(shared, k, normalise), schema), k)
+    blocks, parts = packed(queries, ["query_id"], block_values, normalise), packed(items, ["corpus_idx"], PART_VALUES, normalise)
+    return _ranked(_met(blocks, parts).mapInArrow(_task_topk(k), schema), k)
+
+
+def _whole(table, name: str):
+    """A column of an Arrow table as one array."""
+    import pyarrow as pa
 
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
-def _task_topk(k: int) -> Callable:
+
+def _hits(ids: np.ndarray, sims: np.ndarray, places: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sims.shape[1])), pa.array(places.ravel()), pa.array(sims.ravel())], names=["query_id", "corpus_idx", "sim"])
+
+
+def _corpus_topk(shared, k: int, normalise: bool) -> Callable:
     def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
+        ids, q = shared.value
+        sims, places = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for idx, items in _corpus_batches(batches, normalise):
+            if len(q):
+                sims, places = _advanced(sims, places, q, idx, items, k)
+        if sims.size:
+            yield _hits(ids, sims, places)
+
+    return run
 
+
+def _task_topk(k: int) -> Callable:
+    def run(batches: Iterable) -> Iterator:
         best: OrderedDict = OrderedDict()
         held = 0
 
         def hits():
-            _, (ids, sims, places) = best.popitem(last=False)
-            rows = pa.array(np.repeat(np.arange(len(sims)), sims.shape[1]))
-            return pa.RecordBatch.from_arrays([ids.take(rows), pa.array(places.ravel()), pa.array(sims.ravel())], names=["query_id", "corpus_idx", "sim"])
+            return _hits(*best.popitem(last=False)[1])
 
         for batch in batches:
             for block, own, q, idx, items in _each(batch, ["query_id"]):
@@ -169,7 +208,7 @@ def _task_topk(k: int) -> Callable:
                     while best and held > KEPT_HITS:
                         held -= k * len(next(iter(best.values()))[1])
                         yield hits()
-                    best[block] = own["query_id"].values, np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+                    best[block] = own["query_id"].values.to_numpy(zero_copy_only=False), np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
                 ids, sims, places = best[block]
                 best[block] = ids, *_advanced(sims, places, q, idx, items, k)
         while best:
@@ -217,10 +256,21 @@ def ground_truth_ranks(queries: DataFrame, truths: DataFrame, corpus: DataFrame,
     vec_of = corpus.select(F.col("corpus_idx").alias("gt_idx"), F.col("vec").alias("gt_vec"))
     asked = queries.where("vec IS NOT NULL").select("query_id", vectors.as_doubles(F.col("vec")).alias("vec"))
     q = wanted.join(asked, "query_id").join(vec_of, "gt_idx").select("query_id", "gt_idx", "vec", "gt_vec")
-    blocks = packed(q, ["query_id", "gt_idx"], block_values, against="gt_vec")
-    size = queries.select(F.max(F.size("vec"))).first()[0] or 1
-    found = _met(blocks, packed(corpus, ["corpus_idx"], PART_VALUES), wanted.count() * size)
-    counted = found.mapInArrow(_task_better, f"query_id {kind}, gt_idx long, better long").groupBy("query_id", "gt_idx").agg((F.sum("better") + 1).cast("int").alias("rank"))
+    schema = f"query_id {kind}, gt_idx long, better long"
+    items = corpus.select("corpus_idx", "vec")
+    if _values(queries) * wanted_per_query(wanted) <= BROADCAST_VALUES:
+        asked = q.toArrow().combine_chunks()
+        fine, m = _vectors(_whole(asked, "vec"))
+        own, g = _vectors(_whole(asked, "gt_vec"))
+        both = fine & own
+        m, g = m[both[fine]], g[both[own]]
+        keys = [_whole(asked, c).to_numpy(zero_copy_only=False)[both] for c in ("query_id", "gt_idx")]
+        shared = corpus.sparkSession.sparkContext.broadcast((*keys, m, np.einsum("ij,ij->i", m, g)))
+        found = items.mapInArrow(_corpus_better(shared), schema)
+    else:
+        blocks = packed(q, ["query_id", "gt_idx"], block_values, against="gt_vec")
+        found = _met(blocks, packed(items, ["corpus_idx"], PART_VALUES)).mapInArrow(_task_better, schema)
+    counted = found.groupBy("query_id", "gt_idx").agg((F.sum("better") + 1).cast("int").alias("rank"))
     return wanted.join(counted, ["query_id", "gt_idx"], "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
@@ -243,15 +293,36 @@ def _task_better(batches: Iterable) -> Iterator:
                     yield counts()
                 better[block] = own["query_id"].values, own["gt_idx"].values, np.zeros(len(q), np.int64)
             gts = own["gt_idx"].values.to_numpy(zero_copy_only=False)
-            sims = np.frombuffer(own["own"].as_buffer(), np.float64)
-            step = max(1, TILE_VALUES // len(idx))
-            for at in range(0, len(q), step):
-                some = slice(at, at + step)
-                better[block][2][some] += _better(q[some] @ items.T, sims[some], gts[some], idx)
+            better[block][2][:] += _all_better(q, np.frombuffer(own["own"].as_buffer(), np.float64), gts, idx, items)
     while better:
         yield counts()
 
 
+def wanted_per_query(wanted: DataFrame) -> int:
+    """The most ground truths that one query has."""
+    return wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+
+
+def _corpus_better(shared) -> Callable:
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        ids, gts, q, own = shared.value
+        better = np.zeros(len(q), np.int64)
+        for idx, items in _corpus_batches(batches):
+            if len(q):
+                better += _all_better(q, own, gts, idx, items)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gts), pa.array(better)], names=["query_id", "gt_idx", "better"])
+
+    return run
+
+
+def _all_better(q: np.ndarray, own: np.ndarray, gts: np.ndarray, idx: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """How many of a part's items are better than each truth, in tiles."""
+    step = max(1, TILE_VALUES // len(idx))
+    return np.concatenate([_better(q[at : at + step] @ items.T, own[at : at + step], gts[at : at + step], idx) for at in range(0, len(q), step)])
+
+
 def _better(sims: np.ndarray, own: np.ndarray, gts: np.ndarray, idx: np.ndarray) -> np.ndarray:
     """How many of a tile's items are better than each truth: more alike, or as alike and earlier. Few rows have ties."""
     above = (sims > (own + EPSILON)[:, None]).sum(axis=1)
