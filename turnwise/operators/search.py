@@ -21,6 +21,8 @@ from turnwise.functions import vectors
 BLOCK_VALUES = 1_000_000
 PART_VALUES = 500_000
 BROADCAST_VALUES = 8_000_000
+#: Queries that are broadcast at most.
+BROADCAST_ROWS = 10_000
 #: Similarities of one product.
 TILE_VALUES = 4_000_000
 #: Hits that a task keeps before it hands them on.
@@ -157,8 +159,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int =
     """
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, corpus_idx long, sim double"
     items = corpus.where("vec IS NOT NULL").select(F.col("corpus_idx").cast("long").alias("corpus_idx"), "vec")
-    if _values(queries) <= BROADCAST_VALUES:
-        asked = queries.where("vec IS NOT NULL").select("query_id", "vec").toArrow().combine_chunks()
+    if (asked := _few(queries.where("vec IS NOT NULL").select("query_id", "vec"))) is not None:
         fine, q = _vectors(_whole(asked, "vec"), normalise)
         shared = corpus.sparkSession.sparkContext.broadcast((_whole(asked, "query_id").to_numpy(zero_copy_only=False)[fine], q))
         return _ranked(items.mapInArrow(_corpus_topk(shared, k, normalise), schema), k)
@@ -166,6 +167,15 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int =
     return _ranked(_met(blocks, parts).mapInArrow(_task_topk(k), schema), k)
 
 
+def _few(rows: DataFrame):
+    """``rows`` as an Arrow table if they are at most ``BROADCAST_ROWS`` and their ``vec`` at most ``BROADCAST_VALUES`` values; otherwise None, and no
+    more than that many have been looked at."""
+    got = rows.limit(BROADCAST_ROWS + 1).toArrow().combine_chunks()
+    if got.num_rows > BROADCAST_ROWS or len(_whole(got, "vec").flatten()) > BROADCAST_VALUES:
+        return None
+    return got
+
+
 def _whole(table, name: str):
     """A column of an Arrow table as one array."""
     import pyarrow as pa
@@ -258,13 +268,12 @@ def ground_truth_ranks(queries: DataFrame, truths: DataFrame, corpus: DataFrame,
     q = wanted.join(asked, "query_id").join(vec_of, "gt_idx").select("query_id", "gt_idx", "vec", "gt_vec")
     schema = f"query_id {kind}, gt_idx long, better long"
     items = corpus.select("corpus_idx", "vec")
-    if _values(queries) * wanted_per_query(wanted) <= BROADCAST_VALUES:
-        asked = q.toArrow().combine_chunks()
-        fine, m = _vectors(_whole(asked, "vec"))
-        own, g = _vectors(_whole(asked, "gt_vec"))
+    if (few := _few(q)) is not None:
+        fine, m = _vectors(_whole(few, "vec"))
+        own, g = _vectors(_whole(few, "gt_vec"))
         both = fine & own
         m, g = m[both[fine]], g[both[own]]
-        keys = [_whole(asked, c).to_numpy(zero_copy_only=False)[both] for c in ("query_id", "gt_idx")]
+        keys = [_whole(few, c).to_numpy(zero_copy_only=False)[both] for c in ("query_id", "gt_idx")]
         shared = corpus.sparkSession.sparkContext.broadcast((*keys, m, np.einsum("ij,ij->i", m, g)))
         found = items.mapInArrow(_corpus_better(shared), schema)
     else:
@@ -298,11 +307,6 @@ def _task_better(batches: Iterable) -> Iterator:
         yield counts()
 
 
-def wanted_per_query(wanted: DataFrame) -> int:
-    """The most ground truths that one query has."""
-    return wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-
-
 def _corpus_better(shared) -> Callable:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
