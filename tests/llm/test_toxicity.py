@@ -78,6 +78,17 @@ def test_viterbi_finds_the_best_of_all_ways(logp):
         assert max(map(value, got)) == pytest.approx(best, abs=1e-6), (shown, way, rest)
 
 
+def test_pairs_of_letters_are_judged_as_by_the_whole_search(logp):
+    channel, rng, judged = tox.Channel(logp), np.random.default_rng(4), 0
+    for _ in range(4000):
+        word = "".join(rng.choice(list("aeioulrstnéß"), rng.integers(2, 14)))
+        got = channel._undoubled(word)
+        if got is not None:
+            judged += got != word
+            assert got == channel.decode(tox.lattice(word)), word
+    assert judged > 100
+
+
 def test_disguised_words_are_restored(logp):
     channel = tox.Channel(logp)
     assert [channel.restore(w) for w in DISGUISED] == PLAIN

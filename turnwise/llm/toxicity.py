@@ -188,6 +188,7 @@ class Channel:
         self.logp, self.limit = logp, cache
         self.known: dict[str, tuple[str, ...]] = {}
         self.restored: dict[str, str] = {}
+        self.halved: dict[tuple[str, str, str], bool] = {}
         self.symbol_of: dict[str, int] = {}
 
     def _symbol(self, c: str) -> int:
@@ -251,7 +252,8 @@ class Channel:
         elif not WORDS.search(shown):
             got = ()
         else:
-            made = self.decode(lattice(shown))
+            made = self._undoubled(inner) if inner.isalpha() and not TWIN.search(inner) else None
+            made = self.decode(lattice(shown)) if made is None else shown.replace(inner, made, 1)
             got = tuple(WORDS.findall(shown))
             if made != shown:
                 self.restored[shown] = made
@@ -259,6 +261,36 @@ class Channel:
         self.known[shown] = got
         return got
 
+    def _undoubled(self, word: str) -> str | None:
+        """What :meth:`decode` makes of a word whose only signs are pairs of a letter, each judged by the letters near it.
+
+        Contexts are three letters long, so a pair's two alternatives differ only up to the third letter behind it. Pairs nearer to each
+        other, and longer runs, are left to the whole search: None.
+        """
+        out, at = [], 0
+        for m in TWICE.finditer(word):
+            i, j = m.span()
+            if (at and i < at + 3) or word[j : j + 1] == m.group(1) or (i and word[i - 1] == m.group(1)):
+                return None
+            key = word[max(0, i - 3) : i], m.group(1), word[j : j + 3]
+            drop = self.halved.get(key)
+            if drop is None:
+                if len(self.halved) >= self.limit:
+                    self.halved.clear()
+                drop = self.halved[key] = self._halves(*key)
+            out.append(word[at : i + 1] if drop else word[at:j])
+            at = j
+        return "".join([*out, word[at:]])
+
+    def _halves(self, before: str, letter: str, behind: str) -> bool:
+        """Whether one letter between its neighbours is likelier than two; with fewer than three neighbours the word ends there."""
+        state, _ = self._read(0, before)
+        told = []
+        for text in (letter * 2 + behind, letter + behind):
+            to, gain = self._read(state, text)
+            told.append(gain + (self.logp[to * SYMBOLS] if len(behind) < 3 else 0.0))
+        return told[1] - DOUBLED > told[0]
+
     def spaced(self, text: str) -> list[tuple[str, str]]:
         """(shown, restored) of runs of single characters with spaces between them, in lower case."""
         return [(m.group(), self.decode(lattice(m.group()))) for m in SPACED.finditer(text)]
