@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import time
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise.functions import vectors
 from turnwise.operators import search
 
 
@@ -106,3 +110,34 @@ def test_vectors_that_are_not_finite_are_left_out(spark):
     t = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "query_id long, gt_idx long")
     assert {(r.query_id, r.gt_idx): r["rank"] for r in search.ground_truth_ranks(q, t, c).collect()} == {(1, 1): 1, (1, 2): -1, (2, 1): -1}
     assert search.best_ranks(search.ground_truth_ranks(q, t, c)).where(F.col("query_id") == 2).first().best_gt_rank == -1
+
+
+def test_copies_have_one_similarity_and_go_by_their_place(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(90, 64)).astype(np.float32)
+    items = some[rng.permutation(np.repeat(np.arange(90), 13))]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "corpus_idx long, vec array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some[:40])], "query_id long, vec array<float>")
+    unit_of = lambda v: [x / math.sqrt(functools.reduce(lambda s, y: s + y * y, v, 0.0)) for x in v]
+    units, asked = [unit_of(v) for v in items.astype(float).tolist()], [unit_of(v) for v in some[:40].astype(float).tolist()]
+    sims = [[functools.reduce(lambda s, p: s + p[0] * p[1], zip(q, v, strict=True), 0.0) for v in units] for q in asked]
+    want = {(i, n + 1): (j, s[j]) for i, s in enumerate(sims) for n, j in enumerate(sorted(range(len(s)), key=lambda j, s=s: (-s[j], j))[:20])}
+    for f in (search.topk, search.topk_sql):
+        assert {(r.query_id, r["rank"]): (r.corpus_idx, r.sim) for r in f(queries, corpus, 20).collect()} == want
+
+
+def test_queries_meet_a_corpus_that_is_dealt_out(spark):
+    corpus = spark.range(50).coalesce(1).selectExpr("id AS corpus_idx", "array(id + 1.0D, 1.0D) AS vec")
+    queries = corpus.selectExpr("corpus_idx AS query_id", "vec")
+    truths = queries.selectExpr("query_id", "query_id AS gt_idx")
+    for got in (search.topk(queries, corpus), search.ground_truth_ranks(queries, truths, corpus)):
+        assert "hashpartitioning(corpus_idx" in got._jdf.queryExecution().executedPlan().toString()
+    joined = search.topk_sql(queries, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in joined and "CartesianProduct" not in joined
+
+
+def test_a_norm_is_worked_out_once_for_a_vector(spark):
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x.cast("double")).alias("v")).localCheckpoint()
+    began = time.time()
+    assert len(long.select(vectors.normalised(F.col("v")).alias("u")).first().u) == 20_000
+    assert time.time() - began < 10

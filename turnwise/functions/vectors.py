@@ -27,9 +27,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once and not for each element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalised(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(TINY))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    scaled = lambda w: _once(F.greatest(norm(w), F.lit(TINY)), lambda n: F.transform(w, lambda x: x.cast("double") / n))
+    return _once(v, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,6 +47,10 @@ def add_scaled(a: Column, b: Column, scale: float) -> Column:
 
 def mean_of(vectors: Column) -> Column:
     """Element-wise mean of an array of vectors; null if there is none."""
+    return _once(vectors, _mean)
+
+
+def _mean(vectors: Column) -> Column:
     n = F.size(vectors)
     first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double"))
     total = F.aggregate(F.slice(vectors, 2, F.greatest(n - 1, F.lit(0))), first, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))

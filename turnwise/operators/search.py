@@ -1,7 +1,7 @@
 """Exact cosine search with deterministic ranks, and ranks of ground truths.
 
-Both are a product of matrices in blocks, and read the corpus once. Queries of a checked size are broadcast, so the corpus stays
-where it lies. Beyond it, queries are packed into blocks and the corpus into parts, each a row with a
+Both are a product of matrices in blocks, and read the corpus once. Queries of a checked size are broadcast, and the corpus is dealt
+out to all cores. Beyond it, queries are packed into blocks and the corpus into parts, each a row with a
 matrix of bounded size; parts are dealt out to groups once, every group gets all blocks, and they meet in one
 equi-join. A task keeps the best hits of the queries that it is working on.
 """
@@ -48,16 +48,18 @@ def restrict_by_hash(corpus: DataFrame, space: DataFrame, metadata: DataFrame, f
 
 
 def topk_sql(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int = BROADCAST_VALUES) -> DataFrame:
-    """(query_id, rank, corpus_idx, sim) by expressions alone, for few queries: each block of them is broadcast and scans the corpus."""
-    q = queries.where("vec IS NOT NULL").select("query_id", vectors.normalised(F.col("vec")).alias("__q"))
-    c = corpus.where("vec IS NOT NULL").select("corpus_idx", vectors.normalised(F.col("vec")).alias("__c"))
-    blocks = -(-_values(queries) // block_values)
-    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [q]
-    out = None
-    for part in parts:
-        sims = c.crossJoin(F.broadcast(part)).select("query_id", "corpus_idx", vectors.dot(F.col("__q"), F.col("__c")).alias("sim"))
-        out = sims if out is None else out.unionByName(sims)
-    return _ranked(out, k)
+    """As :func:`topk`, always through the equi-join of blocks and parts: no query passes through the driver."""
+    blocks = packed(queries, ["query_id"], min(block_values, BLOCK_VALUES))
+    return _joined(blocks, corpus.select(F.col("corpus_idx").cast("long").alias("corpus_idx"), "vec"), k, _hit_schema(queries))
+
+
+def _hit_schema(queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, corpus_idx long, sim double"
+
+
+def _joined(blocks: DataFrame, items: DataFrame, k: int, schema: str, normalise: bool = True) -> DataFrame:
+    parts = packed(items, ["corpus_idx"], PART_VALUES, normalise)
+    return _ranked(_met(blocks, parts).mapInArrow(_task_topk(k), schema), k)
 
 
 def _ranked(sims: DataFrame, k: int) -> DataFrame:
@@ -66,13 +68,13 @@ def _ranked(sims: DataFrame, k: int) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "corpus_idx", "sim")
 
 
-def _values(queries: DataFrame) -> int:
-    got = queries.agg(F.count("vec"), F.max(F.size("vec"))).first()
-    return got[0] * max(got[1] or 0, 1)
+def _sums(m: np.ndarray) -> np.ndarray:
+    """The sum of each row, added up value by value as SQL does: equal rows have equal sums, which a matrix product doesn't promise."""
+    return np.cumsum(m, axis=1)[:, -1] if m.shape[1] else np.zeros(len(m))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vectors.TINY)
+    return v / np.maximum(np.sqrt(_sums(v * v)), vectors.TINY)[:, None]
 
 
 def _matrix(column) -> np.ndarray:
@@ -157,14 +159,18 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_values: int =
     ``TILE_VALUES`` similarities at a time. Queries without a vector have no hits, items without one are none. Without ``normalise`` the similarity is the
     plain product.
     """
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, corpus_idx long, sim double"
+    schema = _hit_schema(queries)
     items = corpus.where("vec IS NOT NULL").select(F.col("corpus_idx").cast("long").alias("corpus_idx"), "vec")
     if (asked := _few(queries.where("vec IS NOT NULL").select("query_id", "vec"))) is not None:
         fine, q = _vectors(_whole(asked, "vec"), normalise)
         shared = corpus.sparkSession.sparkContext.broadcast((_whole(asked, "query_id").to_numpy(zero_copy_only=False)[fine], q))
-        return _ranked(items.mapInArrow(_corpus_topk(shared, k, normalise), schema), k)
-    blocks, parts = packed(queries, ["query_id"], block_values, normalise), packed(items, ["corpus_idx"], PART_VALUES, normalise)
-    return _ranked(_met(blocks, parts).mapInArrow(_task_topk(k), schema), k)
+        return _ranked(_spread(items).mapInArrow(_corpus_topk(shared, k, normalise), schema), k)
+    return _joined(packed(queries, ["query_id"], block_values, normalise), items, k, schema, normalise)
+
+
+def _spread(items: DataFrame) -> DataFrame:
+    """The corpus, dealt out to all cores: a file with one row group is read by one task, which would do all the work."""
+    return items.repartition("corpus_idx")
 
 
 def _few(rows: DataFrame):
@@ -228,14 +234,30 @@ def _task_topk(k: int) -> Callable:
 
 
 def _advanced(best_sim: np.ndarray, best_idx: np.ndarray, q: np.ndarray, idx: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best of what was best and a part's items, for each query, in tiles."""
+    """The ``k`` best of what was best and a part's items, for each query, in tiles.
+
+    A product of matrices only says which items can be among them; their similarities are summed one by one.
+    """
     step = max(1, TILE_VALUES // len(idx))
-    got = [_merged(best_sim[at : at + step], best_idx[at : at + step], q[at : at + step] @ items.T, idx, k) for at in range(0, len(q), step)]
+    margin = EPSILON * max(1.0, float(np.sqrt((q * q).sum(axis=1).max(initial=0) * (items * items).sum(axis=1).max(initial=0))))
+    got = []
+    for at in range(0, len(q), step):
+        some = q[at : at + step]
+        got.append(_merged(best_sim[at : at + step], best_idx[at : at + step], some @ items.T, idx, k, margin, lambda rows, cols, some=some: _dots(some, items, rows, cols)))
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def _merged(best_sim: np.ndarray, best_idx: np.ndarray, sims: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Only similarities from the k-th best on are sorted: that of a query's hits so far, or of the tile if there aren't k yet."""
+def _dots(q: np.ndarray, items: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The products of some rows of ``q`` with some of ``items``, of bounded size at a time."""
+    step = max(1, TILE_VALUES // max(1, q.shape[1]))
+    return np.concatenate([np.zeros(0), *(_sums(q[rows[at : at + step]] * items[cols[at : at + step]]) for at in range(0, len(rows), step))])
+
+
+def _merged(best_sim: np.ndarray, best_idx: np.ndarray, sims: np.ndarray, idx: np.ndarray, k: int, margin: float = 0.0, exact: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Only similarities from the k-th best on are sorted: that of a query's hits so far, or of the tile if there aren't k yet.
+
+    With ``exact``, ``sims`` may be off by ``margin``, and the similarities of (rows, columns) are asked for.
+    """
     n, m = sims.shape
     width = best_sim.shape[1]
     if width >= k:
@@ -244,9 +266,9 @@ def _merged(best_sim: np.ndarray, best_idx: np.ndarray, sims: np.ndarray, idx: n
         floor = np.partition(sims, m - k, axis=1)[:, m - k]
     else:
         floor = np.full(n, -np.inf)
-    rows, cols = np.nonzero(sims >= floor[:, None])
+    rows, cols = np.nonzero(sims >= (floor - margin)[:, None])
     row = np.concatenate([np.repeat(np.arange(n), width), rows])
-    sim, place = np.concatenate([best_sim.ravel(), sims[rows, cols]]), np.concatenate([best_idx.ravel(), idx[cols]])
+    sim, place = np.concatenate([best_sim.ravel(), sims[rows, cols] if exact is None else exact(rows, cols)]), np.concatenate([best_idx.ravel(), idx[cols]])
     order = np.lexsort((place, -sim, row))
     per_row = np.bincount(row, minlength=n)
     nth = np.arange(len(order)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
@@ -275,7 +297,7 @@ def ground_truth_ranks(queries: DataFrame, truths: DataFrame, corpus: DataFrame,
         m, g = m[both[fine]], g[both[own]]
         keys = [_whole(few, c).to_numpy(zero_copy_only=False)[both] for c in ("query_id", "gt_idx")]
         shared = corpus.sparkSession.sparkContext.broadcast((*keys, m, np.einsum("ij,ij->i", m, g)))
-        found = items.mapInArrow(_corpus_better(shared), schema)
+        found = _spread(items).mapInArrow(_corpus_better(shared), schema)
     else:
         blocks = packed(q, ["query_id", "gt_idx"], block_values, against="gt_vec")
         found = _met(blocks, packed(items, ["corpus_idx"], PART_VALUES)).mapInArrow(_task_better, schema)
