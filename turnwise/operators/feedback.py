@@ -34,8 +34,9 @@ def select_candidate(shown: DataFrame, used: DataFrame, targets: DataFrame, capt
 def others_mean(shown: DataFrame, selected: DataFrame, corpus: DataFrame, id_col: str = "corpus_idx") -> DataFrame:
     """(query_id, others_mean): the mean unit vector of the shown items that weren't selected."""
     left = shown.select("query_id", "rank", F.col(id_col).alias("id")).join(selected.select("query_id", F.col("selected").alias("id")), ["query_id", "id"], "left_anti")
-    got = left.join(corpus.select(F.col(id_col).alias("id"), vectors.normalised(F.col("vec")).alias("v")), "id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"])
+    got = left.join(corpus.select(F.col(id_col).alias("id"), F.col("vec").alias("v")), "id")
+    # only what is shown is scaled, not the corpus
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: vectors.normalised(x["v"]))
     return got.groupBy("query_id").agg(vectors.mean_of(ordered).alias("others_mean"))
 
 
