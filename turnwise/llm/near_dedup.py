@@ -378,8 +378,8 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("same"), text.alias("text"))
 
 
-def further_sketches(words: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """(node, keys) of some nodes, by the functions of a further round."""
+def further_sketches(words: DataFrame, turn: int) -> DataFrame:
+    """(node, keys) of (node, n, words), by the functions of a further round."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -389,7 +389,7 @@ def further_sketches(words: DataFrame, nodes: DataFrame, turn: int) -> DataFrame
             keys = [keys_of(np.frombuffer(x.as_py(), np.uint32), MORE, first) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
-    return words.join(nodes.hint("merge"), "node", "left_semi").select("node", "words").mapInArrow(run, "node long, keys array<long>")
+    return words.select("node", "words").mapInArrow(run, "node long, keys array<long>")
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
@@ -431,12 +431,15 @@ def named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
+def undecided(met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(node) of the members of buckets that hold members not compared with each other and of different labels."""
-    many = met.where("size > 3").select("node", "bucket")
-    told = named(many, labels)
-    mixed = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return told.join(mixed.hint("merge"), "bucket", "left_semi").select("node").distinct()
+    many = met.where("size > 3").select("node", "bucket", "size")
+    mixed = scratch.stored(named(many, labels).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
+    # a node's largest bucket settles most; only nodes that it leaves open look into all of theirs
+    largest = many.groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("bucket"))
+    sure = scratch.stored(largest.join(mixed.hint("merge"), "bucket", "left_semi").select("node"), "sure")
+    open_ = many.select("node", "bucket").join(sure.hint("merge"), "node", "left_anti")
+    return sure.unionByName(open_.join(mixed.hint("merge"), "bucket", "left_semi").select("node").distinct())
 
 
 def _most(longer: int, least: float) -> int:
@@ -509,10 +512,12 @@ def linked(pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float =
 
 
 def further_linked(near: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
-    """``near`` (node, label), with the components joined that the similar ones of (a, b) join."""
+    """``near`` (node, label), with the components joined that the similar ones of (a, b) join; ``near`` itself if they join none."""
     rest = scratch.stored(across(pairs, near), "rest")
     more = verified(rest.select("a", "b"), words, least)
-    joined = more.join(rest.hint("merge"), ["a", "b"]).select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct()
+    joined = scratch.stored(more.join(rest.hint("merge"), ["a", "b"]).select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct(), "joined")
+    if joined.isEmpty():
+        return near
     far = components(joined).select(F.col("node").alias("old"), F.col("label").alias("top"))
     known = near.select("node", F.col("label").alias("old")).unionByName(far.select(F.col("old").alias("node"), "old")).distinct()
     # a label that isn't a node of the first round stands for a single document
@@ -563,28 +568,26 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tup
     whole = identified(docs).join(chosen.hint("merge"), ["same", "doc_id"]).select("node", "text")
     words = scratch.stored(word_numbers(whole).dropDuplicates(["node"]), "words")
     labels = scratch.stored(linked(pairs, words, scratch, least), "labels")
-    left = scratch.stored(undecided(met, labels), "undecided")
+    left = scratch.stored(undecided(met, labels, scratch), "undecided")
     for turn in range(FURTHER_MOST):
         if left.isEmpty():
             break
-        again = scratch.stored(meetings_across(named(further_sketches(words, left, turn), labels)), "meetings")
+        # all pairs to come are of these nodes: no round reads the words of more than the one before left
+        words = scratch.stored(words.join(left.hint("merge"), "node", "left_semi"), "words")
+        again = scratch.stored(meetings_across(named(further_sketches(words, turn), labels)), "meetings")
         more = scratch.stored(of_like_length(candidate_pairs(again), words.select("node", "n"), least), "pairs")
-        before, labels = labels, scratch.stored(further_linked(labels, more, words, scratch, least), "labels")
-        if turn + 1 >= FURTHER and not _changed(before, labels):
+        joined = further_linked(labels, more, words, scratch, least)
+        if joined is not labels:
+            labels = scratch.stored(joined, "labels")
+        elif turn + 1 >= FURTHER:
             break
-        left = scratch.stored(undecided(again, labels), "undecided")
+        left = scratch.stored(undecided(again, labels, scratch), "undecided")
     own = named(texts.where("node IS NOT NULL").select("same", "doc_id", "node"), labels)
     least_of = own.groupBy("label").agg(F.min(F.struct("doc_id", "same")).alias("least"))
     told = own.join(least_of.hint("merge"), "label").select("same", "doc_id", F.col("least.doc_id").alias("cluster_id"), (F.col("least.same") == F.col("same")).alias("kept"))
     return seen.select("doc_id", "same"), told
 
 
-def _changed(before: DataFrame, after: DataFrame) -> bool:
-    """Whether the components of ``after`` (node, label) are other ones than those of ``before``: they have only grown together."""
-    size = lambda labels: tuple(labels.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.col("label"))).first())
-    return size(before) != size(after)
-
-
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class of near-duplicates, all columns kept: the one with the least ``doc_id``.
 
