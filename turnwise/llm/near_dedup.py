@@ -26,8 +26,10 @@ Plan, from a hot group's point of view:
    six in text order; ``FURTHER`` rounds, and then as long as a round finds links), in which steps 2 to 4 are repeated for pairs of different classes, with last members
    by another order in every bucket. The more k-mers in order a sketch has, the fewer unlike texts share it, however
    much text they have in common; so every round leaves smaller buckets, and goes on with those still mixed.
-6. Labels spread over the links by minima, with pointer jumping, until none changes; each round is cut by a checkpoint
-   in the shared folder.
+6. Components are found by contraction: each partition joins what its links join and hands on a row per node, the rows
+   of a node meet in one partition, and only roots that meet there are links of the next level, written to the shared folder.
+7. Numbers of words and labels travel with the keys, so that no pair is joined with its documents for them: on small
+   tables the number of shuffles is what counts. The files of each are deleted when the query that made them ends.
 
 All joins are merge joins, at every size: none depends on a side being small. Intermediate tables are deleted.
 
@@ -41,13 +43,14 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import Scratch, cut, text_or_empty
+from turnwise.llm.common import Scratch, stored, text_or_empty
 
 K = 5
 #: Sketches of a first round as (k, k-mers of a sketch, functions); those of each further round of mixed buckets.
@@ -379,25 +382,29 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def further_sketches(words: DataFrame, turn: int) -> DataFrame:
-    """(node, keys) of (node, n, words), by the functions of a further round."""
+    """(node, n, keys) of (node, n, words), by the functions of a further round."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         first = 1001 + 100 * turn
         for batch in batches:
-            keys = [keys_of(np.frombuffer(x.as_py(), np.uint32), MORE, first) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            keys = [keys_of(np.frombuffer(x.as_py(), np.uint32), MORE, first) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "keys"])
 
-    return words.select("node", "words").mapInArrow(run, "node long, keys array<long>")
+    return words.select("node", "n", "words").mapInArrow(run, "node long, n int, keys array<long>")
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """(node, bucket, lo, hi, size) of (node, keys): every member of a bucket of several with its first and last member."""
+def meetings(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, bucket, lo, hi, size) of (node, n, keys): every member of a bucket of several with its first and last member.
+
+    ``lo`` and ``hi`` are null where they are the member itself, or their number of words forbids the similarity.
+    """
     member = members(nodes)
-    rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id"))
+    rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id"), "n")
     ends = member.groupBy("bucket").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count(F.lit(1)).alias("size")).where("lo.id <> hi.id")
-    return member.join(ends.hint("merge"), "bucket").select("node", "bucket", F.col("lo.id").alias("lo"), F.col("hi.id").alias("hi"), "size")
+    other = lambda c: F.when((F.col(f"{c}.id") != F.col("node")) & of_like_length("n", f"{c}.n", least), F.col(f"{c}.id")).alias(c)
+    return member.join(ends.hint("merge"), "bucket").select("node", "bucket", other("lo"), other("hi"), "size")
 
 
 def members(nodes: DataFrame) -> DataFrame:
@@ -406,26 +413,35 @@ def members(nodes: DataFrame) -> DataFrame:
     return nodes.where("keys IS NOT NULL").select(*rest, F.posexplode("keys").alias("band", "key")).select(*rest, F.xxhash64("band", "key").alias("bucket"))
 
 
-def meetings_across(nodes: DataFrame) -> DataFrame:
-    """(node, bucket, lo, hi, size) of (node, label, keys): as :func:`meetings`, of buckets with several labels.
+def meetings_across(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, label, bucket, lo, hi, size) of (node, n, label, keys): as :func:`meetings`, of buckets with several labels.
 
-    The last member is that by an order of the bucket's own. ``lo`` and ``hi`` are null where they have the member's own label.
+    The last member is that by an order of the bucket's own. ``lo`` and ``hi`` have an ``id`` and a ``label``, and are null
+    also where they have the member's own label.
     """
     member = members(nodes)
-    by = lambda h: F.struct(h.alias("h"), F.col("node").alias("id"), "label")
+    by = lambda h: F.struct(h.alias("h"), F.col("node").alias("id"), "label", "n")
     lo, hi = F.min(by(F.xxhash64("node"))), F.max(by(F.xxhash64("node", "bucket")))
     ends = member.groupBy("bucket").agg(lo.alias("lo"), hi.alias("hi"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"))
     met = member.join(ends.where("least <> most").hint("merge"), "bucket")
-    other = lambda c: F.when(F.col(f"{c}.label") != F.col("label"), F.col(f"{c}.id")).alias(c)
-    return met.select("node", "bucket", other("lo"), other("hi"), "size")
+    end = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.label").alias("label"))
+    other = lambda c: F.when((F.col(f"{c}.label") != F.col("label")) & of_like_length("n", f"{c}.n", least), end(c)).alias(c)
+    return met.select("node", "label", "bucket", other("lo"), other("hi"), "size")
 
 
 def candidate_pairs(met: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, from meetings: every member of a bucket with the bucket's first and last member."""
-    two = met.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
+    two = met.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("other IS NOT NULL")
     return two.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def candidate_pairs_across(met: DataFrame) -> DataFrame:
+    """Distinct (a, b, a_label, b_label), a < b, from :func:`meetings_across`."""
+    two = met.select(F.struct(F.col("node").alias("id"), "label").alias("one"), F.explode(F.array("lo", "hi")).alias("other")).where("other IS NOT NULL")
+    a, b = F.least("one", "other"), F.greatest("one", "other")
+    return two.select(a["id"].alias("a"), b["id"].alias("b"), a["label"].alias("a_label"), b["label"].alias("b_label")).distinct()
+
+
 def named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes`` with their ``label``; one without a label is its own."""
     return nodes.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -447,12 +463,9 @@ def _most(longer: int, least: float) -> int:
     return int(longer * (1 - least) + 1e-9)
 
 
-def of_like_length(pairs: DataFrame, sizes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of (a, b) whose numbers of words allow the similarity."""
-    for x in "ab":
-        pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n")).hint("merge"), x)
-    longer = F.greatest("a_n", "b_n")
-    return pairs.where(F.abs(F.col("a_n") - F.col("b_n")) <= F.floor(longer * (1 - least) + 1e-9)).select("a", "b")
+def of_like_length(one: str, other: str, least: float = SIMILARITY) -> F.Column:
+    """Whether two numbers of words allow the similarity."""
+    return F.abs(F.col(one) - F.col(other)) <= F.floor(F.greatest(one, other) * (1 - least) + 1e-9)
 
 
 def word_numbers(texts: DataFrame) -> DataFrame:
@@ -471,23 +484,23 @@ def word_numbers(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of (a, b) whose alignment says similar."""
+    """Those of (a, b) whose alignment says similar; further columns are kept."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            numbers = [(np.frombuffer(c.as_py(), np.uint32) for c in batch.column(i)) for i in (2, 3)]
+            numbers = [(np.frombuffer(c.as_py(), np.uint32) for c in column) for column in batch.columns[-2:]]
             keep = [similar(x, y, least) for x, y in zip(*numbers, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
 
     # the one of a pair that is the first of more pairs is met last
     swap = F.xxhash64("a") < F.xxhash64("b")
-    turned = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("one"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("hub"))
+    turned = pairs.select("*", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("one"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("hub"))
     left = words.select(F.col("node").alias("one"), F.col("words").alias("one_words"))
     right = words.select(F.col("node").alias("hub"), F.col("words").alias("hub_words"))
     met = turned.join(left.hint("merge"), "one").join(right.hint("merge"), "hub")
-    return met.select(F.least("one", "hub").alias("a"), F.greatest("one", "hub").alias("b"), "one_words", "hub_words").mapInArrow(run, "a long, b long")
+    return met.select(*pairs.columns, "one_words", "hub_words").mapInArrow(run, pairs.schema)
 
 
 def first_partners(pairs: DataFrame) -> DataFrame:
@@ -507,66 +520,129 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """(node, label) of the components that the similar ones of (a, b) make."""
     first = scratch.stored(first_partners(pairs), "first")
-    near = components(verified(first, words, least))
-    return further_linked(near, pairs.join(first.hint("merge"), ["a", "b"], "left_anti"), words, scratch, least)
+    near = scratch.stored(components(verified(first, words, least), scratch), "near")
+    return further_linked(near, across(pairs.join(first.hint("merge"), ["a", "b"], "left_anti"), near), words, scratch, least)
 
 
 def further_linked(near: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
-    """``near`` (node, label), with the components joined that the similar ones of (a, b) join; ``near`` itself if they join none."""
-    rest = scratch.stored(across(pairs, near), "rest")
-    more = verified(rest.select("a", "b"), words, least)
-    joined = scratch.stored(more.join(rest.hint("merge"), ["a", "b"]).select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct(), "joined")
+    """``near`` (node, label), with the components joined that the similar ones of (a, b, a_label, b_label) join; ``near`` itself if they join none."""
+    joined = scratch.stored(verified(pairs, words, least).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), "joined")
     if joined.isEmpty():
         return near
-    far = components(joined).select(F.col("node").alias("old"), F.col("label").alias("top"))
-    known = near.select("node", F.col("label").alias("old")).unionByName(far.select(F.col("old").alias("node"), "old")).distinct()
+    far = grouped(joined, scratch).select(F.col("node").alias("old"), F.col("label").alias("top"))
+    known = near.select("node", F.col("label").alias("old")).unionByName(far.select(F.col("old").alias("node"), "old"))
     # a label that isn't a node of the first round stands for a single document
     single = known.groupBy("node").agg(F.min("old").alias("old"))
     return single.join(far.hint("merge"), "old", "left").select("node", F.coalesce("top", "old").alias("label"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node of (a, b) links; the label is the least node of its component."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).toDF("node", "next").distinct())
-    labels = cut(edges.groupBy("node").agg(F.least(F.first("node"), F.min("next")).alias("label")))
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots): the distinct nodes of the links, in order, and the first node of each one's component by a fixed random order."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(_mixed(nodes.view(np.uint64)))
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    x, y = rank[at[: len(a)]], rank[at[len(a) :]]
+    top = np.arange(len(nodes))
+    while (top[x] != top[y]).any():
+        u, v = top[x], top[y]
+        np.minimum.at(top, np.maximum(u, v), np.minimum(u, v))
+        while (top[top] != top).any():
+            top = top[top]
+    return nodes, nodes[order[top[rank]]]
+
+
+def _contracted(batches: Iterable) -> Iterator:
+    """(node, root) of links (node, root): what the links at hand join, a row per node, roots included."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _roots(*(c.to_numpy() for c in batch.columns))], names=["node", "root"])
+
+
+def _settled(batches: Iterable) -> Iterator:
+    """(node, root, open) of (node, root), all rows of a node at hand: a row per node; open are links of the next level, between roots."""
+    import pyarrow as pa
+
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if held:
+        of, to = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, roots = _roots(of, to)
+        for ids, is_open in ((np.unique(of), False), (np.unique(to), True)):
+            root = roots[np.searchsorted(nodes, ids)]
+            keep = root != ids if is_open else np.full(len(ids), True)
+            columns = [pa.array(ids[keep], pa.int64()), pa.array(root[keep], pa.int64()), pa.array(np.full(keep.sum(), is_open), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "open"])
+
+
+def grouped(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, label) of every node of (a, b) links; the label is some node of its component, the same for all.
+
+    A level leaves of each node at most a row a partition, however many links it has, and a part of the nodes as roots:
+    those that come first, in a random order, among their neighbours.
+    """
+    keep = scratch.stored if scratch else stored
+    open_, levels = links.select(F.col("a").alias("node"), F.col("b").alias("root")), []
     for _ in range(MAX_ROUNDS):
-        heard = edges.join(labels.select(F.col("node").alias("next"), "label").hint("merge"), "next").groupBy("node").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard.hint("merge"), "node").select("node", "label", F.least("label", "heard").alias("new"))
-        roots = labels.select(F.col("node").alias("new"), F.col("label").alias("root"))
-        after = cut(nearer.join(roots.hint("merge"), "new").select("node", F.col("label").alias("was"), F.least("new", "root").alias("label")))
-        labels = after.select("node", "label")
-        if after.where("label <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
+        met = open_.mapInArrow(_contracted, "node long, root long").repartition("node")
+        level = keep(met.mapInArrow(_settled, "node long, root long, open boolean"), "level")
+        levels.append(level.where("NOT open").select("node", F.col("root").alias("label")))
+        open_ = level.where("open").select("node", "root")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"roots still meet after {MAX_ROUNDS} levels")
+    labels = levels.pop()
+    for level in reversed(levels):
+        top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = level.join(top.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return labels
+
+
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """As :func:`grouped`; the label is the least node of its component."""
+    groups = grouped(links, scratch)
+    least = groups.groupBy("label").agg(F.min("node").alias("least"))
+    return groups.join(least.hint("merge"), "label").select("node", F.col("least").alias("label"))
+
 
+def repeats(seen: DataFrame) -> tuple[bool, bool]:
+    """Whether any id stands in several rows of :func:`sketch_table`, and whether with different texts."""
+    by_id = seen.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min("same") != F.max("same")).alias("unlike"))
+    found = by_id.agg(F.max(F.col("n") > 1).alias("rows"), F.max("unlike").alias("texts")).first()
+    return bool(found["rows"]), bool(found["texts"])
 
-def nodes_of(seen: DataFrame) -> DataFrame:
+
+def nodes_of(seen: DataFrame, unlike: bool) -> DataFrame:
     """(same, doc_id, node, n, keys): a row for each text of :func:`sketch_table`, with its least id and a number of its own.
 
-    The number is the id. Where different texts stand under one id, it is made of their digests; where there is no id at all, null.
+    The number is the id. Where different texts stand under one id (``unlike``: anywhere), it is made of their digests; where there
+    is no id at all, null.
     """
     texts = seen.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    twice = seen.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("doc_id")
-    if twice.isEmpty():
+    if not unlike:
         return texts.withColumn("node", F.col("doc_id"))
+    twice = seen.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("doc_id")
     own = -F.shiftrightunsigned(F.xxhash64("same"), 2) - F.lit(1 << 40)
     marked = texts.join(twice.withColumn("several", F.lit(True)).hint("merge"), "doc_id", "left")
     return marked.withColumn("node", F.when(F.col("several"), own).otherwise(F.col("doc_id"))).drop("several")
 
 
-def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, same) of every row, (same, doc_id, cluster_id, kept) of every text).
+def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, bool]:
+    """((doc_id, same) of every row, (same, doc_id, cluster_id, kept) of every text, whether any id stands in several rows).
 
     ``cluster_id`` is the least id of a text's class; ``kept`` marks the text that has it (of several, the least digest).
     """
     seen = scratch.stored(sketch_table(docs), "sketches")
-    texts = scratch.stored(nodes_of(seen), "texts")
-    met = scratch.stored(meetings(texts.where("node IS NOT NULL").select("node", "keys")), "meetings")
-    pairs = scratch.stored(of_like_length(candidate_pairs(met), texts.select("node", "n"), least), "pairs")
+    repeated, unlike = repeats(seen)
+    texts = scratch.stored(nodes_of(seen, unlike), "texts")
+    met = scratch.stored(meetings(texts.where("node IS NOT NULL").select("node", "n", "keys"), least), "meetings")
+    pairs = scratch.stored(candidate_pairs(met), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(met.where("size > 3").select("node")).distinct()
     chosen = texts.select("same", "node", "doc_id").join(involved.hint("merge"), "node", "left_semi")
     whole = identified(docs).join(chosen.hint("merge"), ["same", "doc_id"]).select("node", "text")
-    words = scratch.stored(word_numbers(whole).dropDuplicates(["node"]), "words")
+    numbers = word_numbers(whole)
+    words = scratch.stored(numbers.dropDuplicates(["node"]) if repeated else numbers, "words")
     labels = scratch.stored(linked(pairs, words, scratch, least), "labels")
     left = scratch.stored(undecided(met, labels, scratch), "undecided")
     for turn in range(FURTHER_MOST):
@@ -574,18 +650,31 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tup
             break
         # all pairs to come are of these nodes: no round reads the words of more than the one before left
         words = scratch.stored(words.join(left.hint("merge"), "node", "left_semi"), "words")
-        again = scratch.stored(meetings_across(named(further_sketches(words, turn), labels)), "meetings")
-        more = scratch.stored(of_like_length(candidate_pairs(again), words.select("node", "n"), least), "pairs")
-        joined = further_linked(labels, more, words, scratch, least)
+        again = scratch.stored(meetings_across(named(further_sketches(words, turn), labels), least), "meetings")
+        joined = further_linked(labels, candidate_pairs_across(again), words, scratch, least)
         if joined is not labels:
             labels = scratch.stored(joined, "labels")
+            left = scratch.stored(undecided(again, labels, scratch), "undecided")
         elif turn + 1 >= FURTHER:
             break
-        left = scratch.stored(undecided(again, labels, scratch), "undecided")
+        else:  # all these buckets have members of several labels
+            left = scratch.stored(again.where("size > 3").select("node").distinct(), "undecided")
     own = named(texts.where("node IS NOT NULL").select("same", "doc_id", "node"), labels)
     least_of = own.groupBy("label").agg(F.min(F.struct("doc_id", "same")).alias("least"))
     told = own.join(least_of.hint("merge"), "label").select("same", "doc_id", F.col("least.doc_id").alias("cluster_id"), (F.col("least.same") == F.col("same")).alias("kept"))
-    return seen.select("doc_id", "same"), told
+    return seen.select("doc_id", "same"), told, repeated
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """The files of a shuffle go when the query that made them ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -594,11 +683,10 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Of rows with equal ids and texts one stays, the first when they are written as JSON. Rows without ``doc_id`` all stay;
     they have no part in the classes.
     """
-    with Scratch(docs.sparkSession) as scratch:
+    with shuffles_deleted(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
         with_id = docs.where("doc_id IS NOT NULL")
-        seen, told = classes(with_id, scratch, least)
+        _, told, repeated = classes(with_id, scratch, least)
         chosen = scratch.kept(told.where("kept").select(F.col("doc_id").alias("__id"), F.col("same").alias("__same")), "chosen")
-        repeated = not seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     text = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
     kept = with_id.join(chosen.hint("merge"), (with_id["doc_id"].cast("long") == chosen["__id"]) & (text == chosen["__same"]), "left_semi")
     if repeated:
@@ -612,7 +700,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows without ``doc_id`` have the class of equal texts with one, or else none.
     """
-    with Scratch(docs.sparkSession) as scratch:
-        seen, told = classes(docs, scratch, least)
+    with shuffles_deleted(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
+        seen, told, _ = classes(docs, scratch, least)
         met = seen.join(told.select("same", "cluster_id").hint("merge"), "same", "left")
         return scratch.kept(met.select("doc_id", "cluster_id", (~F.col("doc_id").eqNullSafe(F.col("cluster_id"))).alias("is_duplicate")), "classes")
